@@ -93,7 +93,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("_u"))
     points = points.withColumn("_cell", F.floor(F.col("_u") * CELLS))
     drawn = points.join(cells, "_cell").where("_u >= _lo and _u < _hi")
-    bits = max(10, slots.bit_length() - 16)
+    bits = max(6, slots.bit_length() // 2 - 2)
     drawn = drawn.select("slot", "source_key", F.shiftright("slot", bits).alias("_chunk"), F.lit(1).alias("_one"))
     ranked = durable(running_total(drawn, "source_key", "_chunk", ["slot"], "_one", "_k").select("slot", "source_key", "_k"))
     # The points give each source its share to within a few slots: what is over is left out, what lacks comes last.
