@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from quirework.llm import exact_dedup, mixing, pii, simhash
+import public_tokenizers
+
+from quirework.llm import embedding_dedup, exact_dedup, mixing, packing, pii, secrets, simhash, toxicity
 from quirework.llm.common import table
 
 
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -14,15 +20,31 @@ def op5_pii(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_pii, op7_exact_dedup, op9_simhash)}
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_packing, op4_mixing, op5_pii, op6_embedding_dedup, op7_exact_dedup, op8_secrets, op9_simhash, op10_toxicity)
+}
 
 ORACLES = {
     "op7_exact_dedup": r"""

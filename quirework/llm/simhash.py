@@ -1,15 +1,16 @@
 """Operator 9: SimHash near-duplicates by an index of byte positions with count filtering.
 
 A fingerprint has 64 bits, eight bytes. Two of them that differ in at most four bits agree in at least
-four bytes, so they share at least one of the 70 sets of four byte positions with all four bytes: the
-postings of the index are such sets with their bytes. A pair's shared positional bytes are tallied;
-it is retained with four or more, at the first set of positions that it shares, and its bits are
-compared. Equal fingerprints are collapsed before and expanded after, so copies make no pairs.
+four bytes. The index posts each fingerprint under 20 sets of three byte positions with the bytes there, chosen
+so that any four positions hold one of the sets. A pair's shared positional bytes are tallied; it is retained
+with four or more, at the first set that it shares, and its bits are compared. Equal fingerprints are collapsed
+before and expanded after, so copies make no pairs.
 
-A posting with more than ``DENSE`` fingerprints is not paired off. Its members agree in four bytes; two
-of them differ in at most four bits of the other 32 just when some 32-bit value lies within two bits of
-both. Each member lists the 529 values within two bits of its own, and all that list a value link to the
-smallest that does: exact links, a fixed number per member, no pairs.
+A posting with more than ``DENSE`` fingerprints is not paired off. Its members agree in three bytes; two
+of them differ in at most four bits of the other 40 just when some 40-bit value lies within two bits of
+both. Each member lists the 821 values within two bits of its own, and all that list a value link to the
+smallest that does: exact links, a fixed number per member, no pairs. With more than ``MANY`` fingerprints all
+70 sets of four positions are used instead, so that postings stay short.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and are linked
 like any other; rows that repeat are each reported; an empty table gives an empty table. Extra columns are
@@ -32,7 +33,20 @@ SHINGLE = 4
 BITS = 4
 #: Fingerprints that one posting pairs off at most; denser ones link through shared neighbours.
 DENSE = 256
-SETS = list(combinations(range(8), 8 - BITS))
+#: Distinct fingerprints from which on sets of four positions are used.
+MANY = 50_000_000
+
+
+def position_sets(of_four: bool = False) -> list[tuple[int, ...]]:
+    """Sets of byte positions such that any four of the eight positions hold one of them."""
+    if of_four:
+        return list(combinations(range(8), 8 - BITS))
+    # Turan's construction: three classes in a ring; a set lies in one class or has two of it and one of the next.
+    classes = [(0, 1, 2), (3, 4, 5), (6, 7)]
+    sets = [c for group in classes for c in combinations(group, 3)]
+    for k, group in enumerate(classes):
+        sets += [(*pair, other) for pair in combinations(group, 2) for other in classes[(k + 1) % 3]]
+    return [tuple(sorted(s)) for s in sets]
 
 
 def fingerprint(text: bytes, seed: int = 42) -> int:
@@ -74,48 +88,42 @@ def _shared(diff: Column) -> list[Column]:
     return [diff.bitwiseAND(F.lit(_mask([p]))) == 0 for p in range(8)]
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame, of_four: bool = False) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect all pairs within BITS bits."""
-    masks = F.array(*[F.lit(_mask(s)) for s in SETS])
-    postings = fps.select("fp", F.posexplode(masks).alias("set", "mask")).select(
-        "fp", "set", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+    sets = position_sets(of_four)
+    masks = F.array(*[F.lit(_mask(s)) for s in sets])
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = (
+        fps.select("fp")
+        .repartition(tasks)
+        .select("fp", F.posexplode(masks).alias("set", "mask"))
+        .select("fp", "set", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     )
-    sizes = postings.groupBy("set", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = durable(sizes)
+    sizes = durable(postings.groupBy("set", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     sparse = postings.join(sizes.where(F.col("n") <= DENSE), ["set", "key"]).select("set", "key", "fp")
-    left = sparse.withColumnRenamed("fp", "a")
-    right = sparse.withColumnRenamed("fp", "b")
     diff = F.col("a").bitwiseXOR(F.col("b"))
     tally = sum((x.cast("int") for x in _shared(diff)), F.lit(0))
-    # The first set of positions that a pair shares: its first four equal bytes.
-    first = F.lit(True)
-    equal = _shared(diff)
-    own = F.element_at(masks, F.col("set") + 1)
-    seen = F.lit(0)
-    for p in range(8):
-        wanted = own.bitwiseAND(F.lit(_mask([p]))) != 0
-        first = first & (~(equal[p] & (seen < 8 - BITS)) | wanted)
-        seen = seen + equal[p].cast("int")
+    first = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(_mask(s))) == 0, F.lit(k)) for k, s in enumerate(sets)])
     pairs = (
-        left.join(right, ["set", "key"])
-        .where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= BITS))
-        .where((tally >= 8 - BITS) & first)
+        sparse.withColumnRenamed("fp", "a")
+        .join(sparse.withColumnRenamed("fp", "b"), ["set", "key"])
+        .where((F.col("a") < F.col("b")) & (tally >= 8 - BITS) & (F.bit_count(diff) <= BITS) & (F.col("set") == first))
         .select("a", "b")
     )
     dense_sizes = sizes.where(F.col("n") > DENSE)
     if not dense_sizes.take(1):
         return pairs
-    dense = postings.join(dense_sizes, ["set", "key"]).select("set", "key", "fp", F.element_at(masks, F.col("set") + 1).alias("mask"))
-    near = dense.select("set", "key", "fp", F.explode(_around(F.col("fp"), F.col("set"))).alias("value"))
+    dense = postings.join(dense_sizes, ["set", "key"])
+    near = dense.select("set", "key", "fp", F.explode(_around(F.col("fp"), F.col("set"), sets)).alias("value"))
     hubs = near.groupBy("set", "key", "value").agg(F.min("fp").alias("a"), F.max("fp").alias("_z"))
     hubs = hubs.where("a < _z").select("set", "key", "value", "a")
     stars = near.join(hubs, ["set", "key", "value"]).where("a < fp").select("a", F.col("fp").alias("b")).distinct()
     return pairs.unionByName(stars)
 
 
-def _around(fp: Column, which: Column) -> Column:
+def _around(fp: Column, which: Column, sets: list[tuple[int, ...]]) -> Column:
     """fp and all values that differ from it in one or two bits outside the bytes of the position set."""
-    free = F.array(*[F.array(*[F.lit(_bit(8 * (7 - p) + i)) for p in range(8) if p not in s for i in range(8)]) for s in SETS])
+    free = F.array(*[F.array(*[F.lit(_bit(8 * (7 - p) + i)) for p in range(8) if p not in s for i in range(8)]) for s in sets])
     bits = F.element_at(free, which + 1)
     one = F.transform(bits, lambda x: fp.bitwiseXOR(x))
     two = F.flatten(
@@ -132,7 +140,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     prints = durable(fingerprints(docs))
     classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected(fingerprint_links(classes.select("fp")))
+    labels = connected(fingerprint_links(classes.select("fp"), classes.count() > MANY))
     roots = classes.join(labels, classes["fp"] == labels["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
