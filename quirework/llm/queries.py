@@ -4,10 +4,29 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quirework.llm import embedding_dedup, exact_dedup, mixing, packing, pii, secrets, simhash, toxicity
+from quirework.llm import (
+    embedding_dedup,
+    exact_dedup,
+    licenses,
+    mixing,
+    packing,
+    pii,
+    secrets,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from quirework.llm.common import table
 
 
+def op1_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,7 +62,18 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_packing, op4_mixing, op5_pii, op6_embedding_dedup, op7_exact_dedup, op8_secrets, op9_simhash, op10_toxicity)
+    for f in (
+        op1_licenses,
+        op2_substring_dedup,
+        op3_packing,
+        op4_mixing,
+        op5_pii,
+        op6_embedding_dedup,
+        op7_exact_dedup,
+        op8_secrets,
+        op9_simhash,
+        op10_toxicity,
+    )
 }
 
 ORACLES = {
