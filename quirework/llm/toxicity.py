@@ -18,12 +18,15 @@ Labels that are null, or repeat, count as they stand. Extra columns are ignored,
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.llm.common import in_small_batches
+
 SAMPLE = 3000
 TRAIN_BYTES = 20_000
 GRAM = 5
@@ -173,7 +176,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             values = [score(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"") for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": np.array(values, float)})
 
-    scored = docs.select("doc_id", "text").mapInPandas(scan, SCHEMA)
+    scored = in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, SCHEMA)
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
@@ -182,11 +185,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not reject, with all their columns."""
     model = train(docs, labels)
 
-    def keep(texts):
+    def keep(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = model.scorer()
         for series in texts:
             yield pd.Series(
                 [score(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"") < 0.5 for t in series], dtype=bool
             )
 
-    return docs.where(F.pandas_udf(keep, "boolean")(docs["text"]))
+    return in_small_batches(docs).where(F.pandas_udf(keep, "boolean")(docs["text"]))
