@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,10 +33,28 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again, so that lost executors cost nothing upstream."""
     path = f"{shared_folder(df.sparkSession)}/quirework-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are written: it does so when the JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows that go to Python at once, in operators on texts: a batch of long texts must fit beside others.
+BATCH_ROWS = 256
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands at most BATCH_ROWS rows to Python at once from now on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once per row however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

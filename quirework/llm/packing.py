@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import durable, running_total
+from quirework.llm.common import durable, in_small_batches, running_total
 
 WINDOW = 2048
 END = 1
@@ -96,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataF
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(scan, PIECES)
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, PIECES)
 
 
 def patterns_for(lengths: np.ndarray, window: int) -> np.ndarray:

@@ -18,6 +18,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quirework.llm.common import in_small_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
 ADDED_AT_LEAST = 0.6
@@ -120,4 +122,4 @@ def find_pii(docs: DataFrame) -> DataFrame:
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(scan, SCHEMA)
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, SCHEMA)

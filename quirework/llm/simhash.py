@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.components import connected
-from quirework.llm.common import durable
+from quirework.llm.common import durable, in_small_batches
 
 SHINGLE = 4
 BITS = 4
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = [fingerprint(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array(prints, np.uint64).astype(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, fp long")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, "doc_id long, fp long")
 
 
 def _mask(positions) -> int:
