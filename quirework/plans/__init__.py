@@ -1,4 +1,5 @@
 """The registered queries of the library's own operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quirework.plans.library import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
