@@ -49,11 +49,10 @@ def rendered_names(names: Column, family_first: bool) -> Column:
     return blank_to_null(F.array_join(shown, ", "))
 
 
-def contributors(author: Column, editor: Column, title: Column, family_first: bool) -> Column:
-    """Authors, else editors with their label, else the title."""
+def contributors(author: Column, editor: Column, family_first: bool) -> Column:
+    """Authors, else editors with their label; null if there are neither."""
     label = F.when(F.size(editor) > 1, ", eds.").otherwise(", ed.")
-    edited = F.concat(rendered_names(editor, family_first), label)
-    return F.coalesce(rendered_names(author, family_first), edited, title)
+    return F.coalesce(rendered_names(author, family_first), F.concat(rendered_names(editor, family_first), label))
 
 
 def ended(value: Column, sign: str) -> Column:
@@ -69,22 +68,24 @@ def layout(template: str, c: dict[str, Column]) -> Column:
     inside a closing quotation mark.
     """
     title = blank_to_null(c["title"])
-    author, editor = c["author"], c["editor"]
-    people = contributors(author, editor, title, template != "numeric")
-    first = template != "numeric"
-    stands_in = F.coalesce(rendered_names(author, first), rendered_names(editor, first)).isNull()
     quoted = F.concat(F.lit("“"), F.when(title.rlike(r"[.!?]\z"), title).otherwise(F.concat(title, F.lit("."))), F.lit("”"))
-    heading = F.when(stands_in, F.lit(None)).when(c["type"].isin(*QUOTED_TYPES), quoted).otherwise(ended(title, "."))
+    shown_title = F.when(c["type"].isin(*QUOTED_TYPES), quoted).otherwise(ended(title, "."))
     container = ended(blank_to_null(c["container_title"]), ".")
     publisher = blank_to_null(c["publisher"])
-    year = F.coalesce(year_of(c["issued"]).cast("string"), F.lit(NO_DATE))
+    year = ended(F.coalesce(year_of(c["issued"]).cast("string"), F.lit(NO_DATE)), ".")
     access = F.coalesce(F.concat(F.lit("https://doi.org/"), blank_to_null(c["DOI"])), blank_to_null(c["URL"]))
-    parts = {
-        "author-date": [ended(people, "."), ended(year, "."), heading, container, ended(publisher, ".")],
-        "notes": [ended(people, "."), heading, container, ended(publisher, ","), ended(year, ".")],
-        "numeric": [ended(people, "."), heading, container, ended(year, ".")],
-    }[template]
-    return F.concat_ws(" ", *parts, F.concat(access, F.lit(".")))
+
+    def whole(people: Column) -> Column:
+        head = ended(F.coalesce(people, title), ".")
+        heading = F.when(people.isNotNull(), shown_title)
+        parts = {
+            "author-date": [head, year, heading, container, ended(publisher, ".")],
+            "notes": [head, heading, container, ended(publisher, ","), year],
+            "numeric": [head, heading, container, year],
+        }[template]
+        return F.concat_ws(" ", *parts, F.concat(access, F.lit(".")))
+
+    return let(contributors(c["author"], c["editor"], template != "numeric"), whole)
 
 
 def render(style: str, c: dict[str, Column]) -> Column:
@@ -112,29 +113,35 @@ def display_text(override: Column, stored: Column, title: Column) -> Column:
 def segments(display: Column, override: Column, type_: Column, title: Column, container: Column) -> Column:
     """FMT-5: array<struct<text, italic>>. The last occurrence that is not in quotation marks is in italics."""
     value = F.when(type_.isin(*ITALIC_TITLE), title).when(type_.isin(*ITALIC_CONTAINER), container)
-    plain = F.array(F.struct(display.alias("text"), F.lit(False).alias("italic")))
-
-    def split(v: Column) -> Column:
-        # Pieces between occurrences; an occurrence is quoted if its neighbours are quotation marks.
-        size = F.length(v)
-        places = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length(display) - size + 1, F.lit(1))),
-            lambda i: (F.substring(display, i, size) == v)
-            & ~(F.substring(display, F.greatest(i - 1, F.lit(1)), F.least(i - 1, F.lit(1))).isin('"', "“") & F.substring(display, i + size, F.lit(1)).isin('"', "”")),
-        )
+    wanted = F.when(blank_to_null(override).isNull(), blank_to_null(value))
+    return let(display, lambda text: let(wanted, lambda v: _cut_out(text, v)))
+
+
+def _cut_out(display: Column, v: Column) -> Column:
+    """display as segments, of which the last occurrence of v that is not in quotation marks is in italics."""
+    # Read from the right: what parts the reversed text at the reversed value gives the places of occurrences.
+    size, whole = F.length(v), F.length(display)
+    pieces = F.split(F.reverse(display), F.concat(F.lit("\\Q"), F.reverse(v), F.lit("\\E")), -1)
+
+    def segment(text: Column, italic: bool) -> Column:
+        return F.struct(text.alias("text"), F.lit(italic).alias("italic"))
+
+    def quoted(i: Column) -> Column:
+        left = F.substring(display, F.greatest(i - 1, F.lit(1)), F.least(i - 1, F.lit(1)))
+        return left.isin('"', "“") & F.substring(display, i + size, F.lit(1)).isin('"', "”")
 
-        def cut(at: Column) -> Column:
-            three = F.array(
-                F.struct(F.substring(display, F.lit(1), at - 1).alias("text"), F.lit(False).alias("italic")),
-                F.struct(v.alias("text"), F.lit(True).alias("italic")),
-                F.struct(F.substring(display, at + size, F.length(display)).alias("text"), F.lit(False).alias("italic")),
-            )
-            return F.filter(three, lambda s: s["text"] != "")
+    def last(gaps: Column) -> Column:
+        place = lambda i: whole - F.length(F.array_join(F.slice(gaps, F.lit(1), i), "")) - i * size + 1
+        places = F.transform(F.sequence(F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(1))), place)
+        return F.get(F.filter(places, lambda i: ~quoted(i)), 0)
 
-        return F.when(display.contains(v), let(F.array_max(places), lambda at: F.when(at.isNotNull(), cut(at))))
+    def cut(at: Column) -> Column:
+        before, after = F.substring(display, F.lit(1), at - 1), F.substring(display, at + size, F.length(display))
+        three = F.array(segment(before, False), segment(v, True), segment(after, False))
+        return F.when(at.isNotNull(), F.filter(three, lambda s: s["text"] != ""))
 
-    found = let(value, lambda v: F.when(v.isNotNull() & (v != "") & blank_to_null(override).isNull(), split(v)))
-    return F.coalesce(found, plain)
+    found = F.when(display.contains(v), let(let(pieces, last), cut))
+    return F.coalesce(found, F.array(segment(display, False)))
 
 
 LINK = "struct<text:string,href:string,link:boolean>"
