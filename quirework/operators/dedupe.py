@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions.text import blank_to_null, doi_dedupe, match_text, year_of
+from quirework.shipping import ship
 
 KEYS = ("k_doi", "k_title", "k_year", "k_author")
 
@@ -62,6 +63,7 @@ def partition_duplicates(citations: DataFrame) -> DataFrame:
     isn't transitive. Rows that match nothing are decided by the joins alone; only rows with a match are
     folded, one connected bibliography at a time.
     """
+    ship(citations.sparkSession)
     keyed = match_keys(citations)
     pairs = matching_pairs(keyed, keyed, ["bibliography_id"], F.col("a.pos") < F.col("b.pos"))
 

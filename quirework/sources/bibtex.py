@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.schema import DATE, NAMES
+from quirework.shipping import ship
 
 #: Entry types in other languages, and the CSL types of BibTeX's.
 ALIASES = {"artikel": "article", "buch": "book", "inbuch": "inbook", "insammlung": "incollection"}
@@ -182,6 +183,7 @@ def record(kind: str, key: str, f: dict[str, str]) -> dict:
 
 def read_bibtex(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """SRC-5, SRC-6: one row per entry: the key columns, entry (its number in the text) and the record."""
+    ship(rows.sparkSession)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
 
     def scan(batches):
