@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirework.shipping import ship
+
 #: White space and words as the contracts define them: ASCII only, bytes 0x20 and 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,12 +35,26 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again, so that lost executors cost nothing upstream."""
     path = f"{shared_folder(df.sparkSession)}/quirework-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quirework_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete durable tables from which nothing is left to be read: all that came of them is written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._quirework_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose results are written: it does so when the JVM collects garbage."""
+    """Let Spark delete the shuffle files of jobs whose results are written.
+
+    It does so when the driver's JVM collects garbage. The last query's plan is held until another one runs.
+    """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -48,7 +64,8 @@ BATCH_ROWS = 256
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df; its session hands at most BATCH_ROWS rows to Python at once from now on."""
+    """df; its session hands at most BATCH_ROWS rows to Python at once from now on, and workers have this package."""
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))

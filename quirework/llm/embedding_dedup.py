@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import durable
+from quirework.llm.common import durable, in_small_batches
 from quirework.llm.components import connected
 
 TABLES = 12
@@ -106,7 +106,7 @@ def postings(classes: DataFrame, tables: int = TABLES, probes: int = PROBES) ->
                         }
                     )
 
-    return classes.select("class_id", "label", "embedding").mapInPandas(
+    return in_small_batches(classes.select("class_id", "label", "embedding")).mapInPandas(
         project, "class_id long, label long, at int, key long, home boolean"
     )
 

@@ -1,6 +1,6 @@
 """Operator 2: substring dedup. FM-indexes, one per shard, find the windows of words that earlier documents have.
 
-A window is 13 consecutive words. Each has an anchor, the least hash of its runs of six words, so equal
+A window is 13 consecutive words. Each has an anchor, the least hash of its runs of five words, so equal
 windows have equal anchors. Anchors that only one document has are left; maximal runs of windows with one
 shared anchor are the segments. Equal segments are collapsed, then dealt to shards by anchor: a shard holds
 every occurrence of each of its windows. There a compressed FM-index is built over the segments' words, all
@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import durable
+from quirework.llm.common import discard, durable, in_small_batches, release
 from quirework.llm.fm_index import FMIndex, repeated
 
 WINDOW = 13
-GRAM = 6
+GRAM = 5
 DENSE = 20_000
 #: Bytes of segments in a shard, about.
 SHARD_BYTES = 1_000_000
@@ -76,7 +76,7 @@ def _doc_anchors(docs: DataFrame, window: int) -> DataFrame:
             if found:
                 yield pd.DataFrame({"anchor": np.concatenate(found), "doc_id": np.concatenate(owners)})
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "anchor long, doc_id long")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, "anchor long, doc_id long")
 
 
 def _segments(docs: DataFrame, window: int) -> DataFrame:
@@ -165,8 +165,16 @@ def window_firsts(distinct: DataFrame, shards: int, window: int) -> DataFrame:
     """(key, firsts) for segments of which some window is first in a document before the segment's last."""
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        firsts = shard_firsts(part["seg"].tolist(), part["lo"].to_numpy(np.int64), window)
-        found = [(key, f) for key, f, hi in zip(part["key"], firsts, part["hi"], strict=True) if (f < hi).any()]
+        # The windows of a segment that has its anchor alone are nowhere else: its own smallest doc_id is first.
+        alone = ~part["anchor"].duplicated(keep=False)
+        single, part = part[alone & (part["lo"] < part["hi"])], part[~alone]
+        found = [
+            (key, np.full(seg.count(b" ") + 2 - window, lo))
+            for key, seg, lo in zip(single["key"], single["seg"], single["lo"], strict=True)
+        ]
+        if len(part):
+            firsts = shard_firsts(part["seg"].tolist(), part["lo"].to_numpy(np.int64), window)
+            found += [(key, f) for key, f, hi in zip(part["key"], firsts, part["hi"], strict=True) if (f < hi).any()]
         return pd.DataFrame(found, columns=["key", "firsts"])
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
@@ -178,30 +186,50 @@ def covered_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     docs: doc_id (not null), print (tells rows of one doc_id apart) and text.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = _doc_anchors(docs, window).repartition(tasks, "anchor")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    flagged = anchors.join(shared.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    flagged = durable(flagged)
-    key = F.unhex(F.md5("seg"))
-    segments = durable(_segments(docs.join(flagged, "doc_id"), window).withColumn("key", key))
-
-    def collapse(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("anchor", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("seg").alias("seg"))
-
-    distinct = durable(collapse(segments))
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flagged = _shared_anchors(docs, window, tasks)
+    release(spark)
+    segments = durable(_segments(docs.join(flagged, "doc_id"), window).withColumn("key", _key()))
+    discard(flagged)
+    release(spark)
+    distinct = durable(_collapsed(segments))
+    written = [segments, distinct]
+    release(spark)
     dense = distinct.groupBy("anchor").count().where(F.col("count") > DENSE).select("anchor")
     if dense.take(1):
         dense = durable(dense)
-        cut = durable(_single_windows(segments.join(dense, "anchor", "left_semi"), window).withColumn("key", key))
+        cut = durable(_single_windows(segments.join(dense, "anchor", "left_semi"), window).withColumn("key", _key()))
         segments = segments.join(dense, "anchor", "left_anti").unionByName(cut)
-        distinct = durable(distinct.join(dense, "anchor", "left_anti").unionByName(collapse(cut)))
+        distinct = durable(distinct.join(dense, "anchor", "left_anti").unionByName(_collapsed(cut)))
+        written += [dense, cut, distinct]
     size = distinct.agg(F.sum(F.length("seg"))).first()[0] or 0
     firsts = durable(window_firsts(distinct, max(tasks, size // SHARD_BYTES), window))
+    release(spark)
     hits = segments.select("doc_id", "print", "start", "key").join(firsts, "key")
     starts = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i))
     hits = hits.select("doc_id", "print", F.array_compact(starts).alias("starts")).where(F.size("starts") > 0)
-    return hits.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    covered = durable(hits.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    discard(firsts, *written)
+    release(spark)
+    return covered
+
+
+def _key():
+    return F.unhex(F.md5("seg"))
+
+
+def _shared_anchors(docs: DataFrame, window: int, tasks: int) -> DataFrame:
+    """(doc_id, anchors): those anchors of a document that another document has too."""
+    anchors = _doc_anchors(docs, window).repartition(tasks, "anchor")
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
+    both = anchors.join(shared.select("anchor"), "anchor")
+    return durable(both.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")))
+
+
+def _collapsed(segments: DataFrame) -> DataFrame:
+    distinct = segments.groupBy("anchor", "seg").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    return distinct.withColumn("key", _key())
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
