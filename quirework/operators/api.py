@@ -14,6 +14,7 @@ from quirework.operators.sets import append, formatted_in, resorted
 from quirework.schema import CITATION_COLUMNS, CSL_COLUMNS
 from quirework.sources.blocks import CSL_JSON, bibliographies, citations, csl_columns
 from quirework.sources.pasted import bibtex_entries, paste_items, parsed
+from quirework.storage import durable
 
 
 def open_posts(posts: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 def items_as_citations(found: DataFrame, doi_metadata: DataFrame, pmid_metadata: DataFrame) -> DataFrame:
     """Items of pastes as citations, keyed by paste_id and pos; what can't be read is left out."""
-    rows = parsed(found, doi_metadata, pmid_metadata)
+    # The rules are one large expression: written once, it isn't planned again with each column that reads it.
+    rows = durable(parsed(found, doi_metadata, pmid_metadata))
     named = rows.where("input_format IS NOT NULL AND input_format <> 'bibtex'")
     named = named.withColumn("j", F.from_json("csl_json", CSL_JSON))
     looked, free = csl_columns(F.col("j")), F.col("record")
@@ -86,7 +88,7 @@ def import_paste(
     """
     found = paste_items(pastes)
     rows = normalised(items_as_citations(found, doi_metadata, pmid_metadata)).withColumnRenamed("paste_id", "bibliography_id")
-    rows = rows.withColumn("DOI", blank_to_null(doi_input(F.col("DOI"))))
+    rows = durable(rows.withColumn("DOI", blank_to_null(doi_input(F.col("DOI")))))
     stored = first_duplicates(rows, existing).select("bibliography_id", "pos", F.lit(True).alias("_stored"))
     rows = rows.join(stored, ["bibliography_id", "pos"], "left")
     fresh = partition_duplicates(rows.where("_stored IS NULL").drop("_stored"))
