@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD, durable, hex_digits, running_total, word_count
+from quirework.llm.common import WORD, compact, durable, hex_digits, running_total, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -120,7 +120,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
 def mix(docs: DataFrame, block: int = 1024) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source, first_word (its place in its stream)."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sizes = compact(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     digits = hex_digits(sizes.count())
     sources = durable(source_targets(sizes))
     placed = (

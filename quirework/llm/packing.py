@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import durable, in_small_batches, running_total
+from quirework.llm.common import compact, in_small_batches, running_total
 
 WINDOW = 2048
 END = 1
@@ -154,7 +154,7 @@ def solve(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int,
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """One row per piece: what token_pieces gives, with sequence_id and offset."""
-    pieces = durable(token_pieces(docs, tokenizer, window))
+    pieces = compact(token_pieces(docs, tokenizer, window))
     histogram = np.zeros(window + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most ``window`` rows
         histogram[row["length"]] = row["count"]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import durable, let
+from quirework.llm.common import compact, let
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -196,7 +196,7 @@ def thresholds(rows: DataFrame) -> dict[int, float]:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: n_assign, n_access, n_hex, base_sha256, spans."""
-    rows = durable(scanned(docs))
+    rows = compact(scanned(docs))
     limits = thresholds(rows)
 
     def passes(c: Column) -> Column:

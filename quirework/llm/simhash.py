@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.components import connected
-from quirework.llm.common import durable, in_small_batches
+from quirework.llm.common import compact, durable, in_small_batches
 
 SHINGLE = 4
 BITS = 4
@@ -138,7 +138,7 @@ def _bit(n: int) -> int:
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
-    prints = durable(fingerprints(docs))
+    prints = compact(fingerprints(docs))
     classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = connected(fingerprint_links(classes.select("fp"), classes.count() > MANY))
     roots = classes.join(labels, classes["fp"] == labels["node"], "left").select(
