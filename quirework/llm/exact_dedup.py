@@ -47,7 +47,8 @@ def exact_groups(docs: DataFrame, prefix: int = 256) -> DataFrame:
     else:  # too many to send to every task: move digests, never texts
         hashed = keyed.select("doc_id", "_len", "_pre", F.sha2("_norm", 256).alias("text_sha256"))
         alive = hashed.join(survivors, ["_len", "_pre"], "left_semi").select("doc_id", "text_sha256")
-    return (
+    # Written, so that a join with it has two plain shuffles and Spark can split the rows of a hot text.
+    return durable(
         alive.groupBy("text_sha256")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
