@@ -1,5 +1,6 @@
 """The registered queries of the library's own operators, and their SQL."""
 
+from quirework.plans import more  # noqa: F401  (registers its queries)
 from quirework.plans.library import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
