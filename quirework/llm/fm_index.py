@@ -22,7 +22,10 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Patterns of up to ``depth`` symbols can be looked up; symbols are numbers from 0 to sigma - 1."""
+    """Patterns of up to ``depth`` symbols can be looked up; symbols are numbers from 0 to sigma - 1.
+
+    The last symbol must be a separator that no pattern holds.
+    """
 
     def __init__(self, symbols: np.ndarray, sigma: int, depth: int):
         self.order = suffix_order(symbols, depth)

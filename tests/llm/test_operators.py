@@ -479,9 +479,9 @@ def test_substring_dedup(docs, rows, dense, monkeypatch):
 def test_fm_index_finds_what_repeats():
     rng = np.random.default_rng(8)
     for sigma in (2, 3, 17):
-        s = rng.integers(1, sigma + 1, 400)
+        s = np.append(rng.integers(1, sigma + 1, 400), 0)  # segments end with a separator
         index = FMIndex(s, sigma + 1, 5)
-        begins = np.arange(len(s) - 4)
+        begins = np.arange(len(s) - 5)
         which, lo, hi = repeated(index, s, begins, 5)
         seen = Counter(tuple(s[b : b + 5]) for b in begins)
         assert {int(b) for b in which} == {int(b) for b in begins if seen[tuple(s[b : b + 5])] > 1}

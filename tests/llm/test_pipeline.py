@@ -6,7 +6,7 @@ import __spark_entry__
 import corpus_pipeline
 from quirework.llm import simhash
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_stages(spark, tmp_path):
