@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions.text import blank_to_null, doi_dedupe, match_text, year_of
-from quirework.shipping import ship
 
 KEYS = ("k_doi", "k_title", "k_year", "k_author")
 
@@ -60,21 +58,19 @@ def partition_duplicates(citations: DataFrame) -> DataFrame:
     """DUP-3: citations with ``duplicate``, by the greedy rule in the order of pos within each bibliography.
 
     A row is a duplicate when it matches a kept row before it; rejected rows count for nothing, so the rule
-    isn't transitive. Rows that match nothing are decided by the joins alone; only rows with a match are
-    folded, one connected bibliography at a time.
+    isn't transitive. Rows that match nothing are decided by the joins alone; only pairs that match are
+    folded, one bibliography at a time.
     """
-    ship(citations.sparkSession)
     keyed = match_keys(citations)
     pairs = matching_pairs(keyed, keyed, ["bibliography_id"], F.col("a.pos") < F.col("b.pos"))
+    listed = pairs.groupBy("bibliography_id").agg(F.array_sort(F.collect_list(F.struct("b_pos", "a_pos"))).alias("pairs"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        rejected: set[int] = set()
-        for row in part.sort_values(["b_pos", "a_pos"]).itertuples():
-            if row.a_pos not in rejected:
-                rejected.add(row.b_pos)
-        return pd.DataFrame({"bibliography_id": part["bibliography_id"].iloc[0], "pos": sorted(rejected)})
+    def step(gone, pair):
+        """All that decides about a_pos came before, as pairs come in the order of b_pos."""
+        return F.when(F.array_contains(gone, pair["a_pos"]), gone).otherwise(F.array_union(gone, F.array(pair["b_pos"])))
 
-    rejected = pairs.groupBy("bibliography_id").applyInPandas(fold, "bibliography_id long, pos long")
+    none = F.expr("cast(array() as array<bigint>)")
+    rejected = listed.select("bibliography_id", F.explode(F.aggregate("pairs", none, step)).alias("pos"))
     marked = rejected.withColumn("duplicate", F.lit(True))
     return citations.join(marked, ["bibliography_id", "pos"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
