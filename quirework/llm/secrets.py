@@ -111,26 +111,31 @@ def randomness(values: Column, k: Column) -> Column:
         n = F.size(v).cast("double")
         # As many classes as bear five symbols each: 4, 8, 16, 32 or 64 of them, not more than k.
         classes = F.least(F.greatest(F.lit(4.0), F.pow(F.lit(2.0), F.floor(F.log2(n / 5)))), k)
-        binned = F.transform(v, lambda x: F.floor(x * classes / k))
-        squares = total(F.sequence(F.lit(0), F.lit(63)), lambda b: F.pow(F.size(F.filter(binned, lambda y: y == b)).cast("double"), 2))
-        chi = squares * classes / n - n
-        df = classes - 1
-        cube = (F.pow(F.greatest(chi, zero) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        high = total(v, lambda x: (x * 2 >= k).cast("double"))
-        low = n - high
         pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = 1 + total(pairs, lambda p: ((p["a"] * 2 >= k) != (p["b"] * 2 >= k)).cast("double"))
-        mu = 2 * high * low / n + 1
-        var = (mu - 1) * (mu - 2) / (n - 1)
-        runs_p = F.when(var > 1e-9, _two_sided((runs - mu) / F.sqrt(F.greatest(var, F.lit(1e-9))))).otherwise(F.lit(1e-12))
-        mean = total(v, lambda x: x.cast("double")) / n
-        spread = total(v, lambda x: F.pow(x - mean, 2))
-        lagged = total(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))
-        serial_p = F.when(spread > 1e-9, _two_sided((lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))).otherwise(
-            F.lit(1e-12)
-        )
-        half = -(F.log(_upper(cube)) + F.log(F.greatest(runs_p, F.lit(1e-300))) + F.log(F.greatest(serial_p, F.lit(1e-300))))
-        return F.exp(-half) * (1 + half + half * half / 2)
+
+        def uniform_p(most: Column) -> Column:
+            def by_class(binned: Column) -> Column:
+                count = lambda b: F.size(F.filter(binned, lambda y: y == b)).cast("double")
+                chi = total(F.sequence(F.lit(0), F.lit(63)), lambda b: F.pow(count(b), 2)) * most / n - n
+                df = most - 1
+                return let((F.pow(F.greatest(chi, zero) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)), _upper)
+
+            return let(F.transform(v, lambda x: F.floor(x * most / k)), by_class)
+
+        def runs_p(mu: Column) -> Column:
+            runs = 1 + total(pairs, lambda p: ((p["a"] * 2 >= k) != (p["b"] * 2 >= k)).cast("double"))
+            var = let((mu - 1) * (mu - 2) / (n - 1), lambda x: F.when(x > 1e-9, x))
+            return F.coalesce(let((runs - mu) / F.sqrt(var), _two_sided), F.lit(1e-12))
+
+        def serial_p(mean: Column) -> Column:
+            spread = let(total(v, lambda x: F.pow(x - mean, 2)), lambda x: F.when(x > 1e-9, x))
+            lagged = total(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))
+            return F.coalesce(let((lagged / spread + 1 / n) * F.sqrt(n), _two_sided), F.lit(1e-12))
+
+        expected = let(total(v, lambda x: (x * 2 >= k).cast("double")), lambda high: 2 * high * (n - high) / n + 1)
+        three = (let(classes, uniform_p), let(expected, runs_p), let(total(v, lambda x: x.cast("double")) / n, serial_p))
+        half = -sum((F.log(F.greatest(p, F.lit(1e-300))) for p in three), F.lit(0.0))
+        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
     return let(values, of)
 
