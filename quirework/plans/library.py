@@ -763,11 +763,11 @@ def next_focus(spark, d):
 
 # Posts.
 POST = (
-    """'<!-- wp:group --><!-- wp:bibliography-builder/bibliography {"citationStyle":"ieee","headingText":"H' || o_orderkey || '","outputCoins":true,"citations":["""
+    """'<!-- wp:group --><!-- wp:BLOCK {"citationStyle":"ieee","headingText":"H' || o_orderkey || '","outputCoins":true,"citations":["""
     """{"id":"a","csl":{"type":"book","title":"T' || o_orderkey || '","ISBN":["","978"],"issued":{"date-parts":[[2001,2]]}},"formattedText":"F"},"""
-    """{"id":"b","csl":{"type":"webpage","title":"U","author":[{"family":"Doe"}]}}]} --><section></section><!-- /wp:bibliography-builder/bibliography -->"""
-    """<!-- /wp:group --><!-- wp:bibliography-builder/bibliography {"citations":"none"} /-->'"""
-)
+    """{"id":"b","csl":{"type":"webpage","title":"U","author":[{"family":"Doe"}]}}]} --><section></section><!-- /wp:BLOCK -->"""
+    """<!-- /wp:group --><!-- wp:BLOCK {"citations":"none"} /-->'"""
+).replace("BLOCK", B.BLOCK)
 
 
 def _posts(spark, d):

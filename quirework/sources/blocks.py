@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.schema import CITATION_COLUMNS, DATE, DEFAULT_STYLE, NAMES
 
+#: Fixed value: the type of bibliography blocks in saved posts, without which no saved post can be read.
 BLOCK = "bibliography-builder/bibliography"
 #: The JSON of one stored citation: CSL fields keep their names with hyphens.
 CSL_JSON = (

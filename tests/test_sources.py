@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quirework.operators import api
 from quirework.sources import bibtex as BIB
-from quirework.sources.blocks import bibliographies, citations as block_citations
+from quirework.sources.blocks import BLOCK, bibliographies, citations as block_citations
 from quirework.sources.manual import manual_citations
 from quirework.sources.pasted import paste_errors, paste_items, remaining_input
 from quirework.sources.resolve import pmid_status
@@ -13,11 +13,11 @@ from tests.helpers import citations, person
 
 ONE = '{"citationStyle":"apa-7","headingText":"Works","citations":[{"id":"a","csl":{"type":"book","title":"T -- x","custom":{"k":1}},"displayOverride":"Shown"}]}'
 POSTS = [
-    (1, f"<!-- wp:bibliography-builder/bibliography {ONE} --><section/><!-- /wp:bibliography-builder/bibliography -->"
-        "<!-- wp:bibliography-builder/bibliography /-->", "publish", "", True, False),
-    (2, f"<!-- wp:bibliography-builder/bibliography {ONE} /-->", "draft", "", True, False),
+    (1, f"<!-- wp:{BLOCK} {ONE} --><section/><!-- /wp:{BLOCK} -->"
+        f"<!-- wp:{BLOCK} /-->", "publish", "", True, False),
+    (2, f"<!-- wp:{BLOCK} {ONE} /-->", "draft", "", True, False),
     (3, "no blocks", "publish", "", True, False),
-    (4, f"<!-- wp:bibliography-builder/bibliography {ONE} /-->", "publish", "pw", True, True),
+    (4, f"<!-- wp:{BLOCK} {ONE} /-->", "publish", "pw", True, True),
 ]
 
 
