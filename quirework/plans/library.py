@@ -240,8 +240,8 @@ def strip_html(spark, d):
 
 
 @query(
-    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*?>.*?</script>', '', 'gis'),
-        '<style[^>]*?>.*?</style>', '', 'gis'), '<[^>]*>', '', 'g')) AS text FROM pages"""
+    r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*?>.*?</script>', '', 'gis'),
+        '<style[^>]*?>.*?</style>', '', 'gis'), '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages"""
 )
 def strip_markup(spark, d):
     return read(spark, d, "pages").select("page_id", TX.strip_markup(F.col("html")).alias("text"))

@@ -72,7 +72,7 @@ def review_warning(spark, d):
     return cites(spark, d).select("bibliography_id", "pos", F.array_join(found, ",").alias("warnings"))
 
 
-@query("SELECT doc_id, trim(left(text, 100)) AS head FROM documents WHERE length(left(text, 100)) = strlen(left(text, 100))")
+@query(r"SELECT doc_id, regexp_replace(left(text, 100), '^\s+|\s+$', '', 'g') AS head FROM documents WHERE length(left(text, 100)) = strlen(left(text, 100))")
 def bounded_text(spark, d):
     rows = read(spark, d, "documents").where(F.octet_length(F.substring("text", 1, 100)) == F.length(F.substring("text", 1, 100)))
     return rows.select("doc_id", TX.bounded(F.col("text"), 100).alias("head"))
