@@ -1,11 +1,14 @@
 """Operator 10: toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled rows. Both begin with the same ordinary text; the toxic one
-goes on with words that recur in toxic documents and hold byte 5-grams that ordinary ones lack (``RATIO`` times
-as frequent, and more than ``CONTRAST`` standard errors apart), the ordinary one with as many empty bytes, so
-that all else is in the same place. Windows of a text are compressed with each. What the toxic dictionary
-saves, at most, in the best three windows, on average and beyond chance, is calibrated by a logistic regression
-on the training rows.
+Two zstandard dictionaries are made from labelled rows. Both begin with the same ordinary text; the toxic one
+goes on with stems: runs of byte 5-grams that more toxic than ordinary documents hold, or hold more than once
+(``RATIO`` times as frequent, and more than ``CONTRAST`` standard errors apart). The ordinary one goes on with as
+many empty bytes, so that all else is in the same place. That is a mined word list, not zstandard's own trainer.
+Windows of a text are compressed with each. What the toxic dictionary saves, at most, in the best three windows,
+on average and beyond chance, is calibrated by a logistic regression on the training rows.
+
+Each language (column ``lang``, where there is one) whose training rows mark any stem has dictionaries and a
+calibration of its own; all other texts are scored with those of all rows together.
 
 Labels are learned from rows with crc32(doc_id as text) mod 5 not 0, from a sample of at most ``SAMPLE``
 rows of each class, taken by a hash of the id, of which the first ``TRAIN_BYTES`` bytes are learned from;
@@ -35,17 +38,23 @@ CONTRAST = 4.5
 RATIO = 8
 #: Rows that a gram or a word must be in to count: so many, and this share of the toxic ones.
 LEAST_ROWS, LEAST_SHARE = 4, 0.01
-WINDOWS = (256, 512)
+WINDOWS = (128, 512)
 ORDINARY_BYTES = 8192
 TOXIC_BYTES = 4096
+#: zstandard does not find what stands in the last bytes of a dictionary.
+PADDING = 16
 
 
 def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
-    """The bounded sample, (toxic, text in lower case), and the number of all training rows of each class."""
+def language(docs: DataFrame):
+    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str | None, int, bytes]], dict[int, int]]:
+    """The bounded sample, (lang, toxic, text in lower case), and the number of all training rows of each class."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = None
@@ -53,9 +62,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, b
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         sample = part if sample is None else sample.unionByName(part)
     text = F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_BYTES)
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    found = sorted((r["doc_id"], r["toxic"], r["text"].encode().lower()[:TRAIN_BYTES]) for r in rows.collect())
-    return [(toxic, text) for _, toxic, text in found], counts
+    rows = docs.select("doc_id", language(docs), text.alias("text")).join(F.broadcast(sample), "doc_id")
+    found = sorted((r["doc_id"], r["toxic"], r["text"].encode().lower()[:TRAIN_BYTES], r["lang"] or "") for r in rows.collect())
+    return [(lang or None, toxic, text) for _, toxic, text, lang in found], counts
 
 
 def without_copies(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
@@ -79,32 +88,68 @@ def without_copies(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     return kept
 
 
-def toxic_words(rows: list[tuple[int, bytes]]) -> list[bytes]:
-    """Words, each with a space before it, that hold marked grams in toxic rows; the most frequent come last."""
-    seen = {0: Counter(), 1: Counter()}
+def marked_grams(rows: list[tuple[int, bytes]], least: float) -> set[bytes]:
+    """Grams that more toxic than ordinary rows hold, or hold more than once."""
     total = Counter(toxic for toxic, _ in rows)
-    least = max(LEAST_ROWS, LEAST_SHARE * total[1])
+    once, again = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
     for toxic, text in rows:
-        seen[toxic].update({text[k : k + GRAM] for k in range(len(text) - GRAM + 1)})
+        grams = Counter(text[k : k + GRAM] for k in range(len(text) - GRAM + 1))
+        once[toxic].update(grams.keys())
+        again[toxic].update(gram for gram, n in grams.items() if n > 1)
     marked = set()
-    for gram, n in seen[1].items():
-        if n >= least:
-            p, q = (n + 0.5) / (total[1] + 1), (seen[0][gram] + 0.5) / (total[0] + 1)
-            if p > RATIO * q and p - q > CONTRAST * (p * (1 - p) / total[1] + q * (1 - q) / total[0]) ** 0.5:
-                marked.add(gram)
+    for seen in (once, again):
+        for gram, n in seen[1].items():
+            if n >= least:
+                p, q = (n + 0.5) / (total[1] + 1), (seen[0][gram] + 0.5) / (total[0] + 1)
+                if p > RATIO * q and p - q > CONTRAST * (p * (1 - p) / total[1] + q * (1 - q) / total[0]) ** 0.5:
+                    marked.add(gram)
+    return marked
+
+
+def toxic_stems(rows: list[tuple[int, bytes]]) -> list[bytes]:
+    """Runs of marked grams in words of toxic rows, with what nearly always follows; the most frequent come last."""
+    least = max(LEAST_ROWS, LEAST_SHARE * sum(toxic for toxic, _ in rows))
+    marked = marked_grams(rows, least)
     found: Counter = Counter()
+    tails: dict[bytes, Counter] = {}
     for text in (text for toxic, text in rows if toxic):
-        words = {b" " + w for w in text.split()}
-        found.update(w for w in words if any(w[k : k + GRAM] in marked for k in range(len(w) - GRAM + 1)))
-    return [w for w, n in sorted(found.items(), key=lambda x: (x[1], x[0])) if n >= least]
-
-
-def dictionaries(rows: list[tuple[int, bytes]]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic), of equal length."""
-    rows = without_copies(rows)
-    toxic = b"".join(toxic_words(rows))[-TOXIC_BYTES:]
+        here = set()
+        for word in text.split():
+            word, k = b" " + word, 0
+            while k <= len(word) - GRAM:
+                end = k
+                while word[end : end + GRAM] in marked and end <= len(word) - GRAM:
+                    end += 1
+                if end > k:
+                    stem, rest = word[k : end - 1 + GRAM], word[end - 1 + GRAM :]
+                    here.add(stem)
+                    tails.setdefault(stem, Counter())[rest[:12]] += 1
+                k = max(k, end) + 1
+        found.update(here)
+    grown: Counter = Counter()
+    for stem, n in found.items():
+        if n >= least:
+            whole = stem
+            for k in range(12):
+                nexts: Counter = Counter()
+                for rest, times in tails[stem].items():
+                    nexts[rest[k : k + 1]] += times
+                sign, times = nexts.most_common(1)[0]
+                if not sign or times < 0.9 * nexts.total():
+                    break
+                whole += sign
+            grown[whole] = max(grown[whole], n)
+    return [w for w, n in sorted(grown.items(), key=lambda x: (x[1], x[0]))]
+
+
+def dictionaries(rows: list[tuple[int, bytes]]) -> tuple[bytes, bytes] | None:
+    """(ordinary, toxic), of equal length; none where no stem is marked."""
+    stems = toxic_stems(rows) if {label for label, _ in rows} == {0, 1} else []
+    if not stems:
+        return None
+    toxic = b"".join(stems)[-TOXIC_BYTES:]
     shared = b"".join(text[:400] for label, text in rows if not label)[:ORDINARY_BYTES]
-    return shared + bytes(len(toxic)), shared + toxic
+    return shared + bytes(len(toxic) + PADDING), shared + toxic + bytes(PADDING)
 
 
 def compressor(content: bytes):
@@ -120,7 +165,7 @@ def compressor(content: bytes):
 
 
 def features(text: bytes, ordinary, toxic) -> list[float]:
-    """For each window size, bytes saved: in the best window, in the best three, on average, beyond chance."""
+    """For each window size, bytes saved: in the best window, in the best three, on average, beyond chance, and in how many."""
     out: list[float] = []
     for size in WINDOWS:
         saved = [
@@ -130,6 +175,7 @@ def features(text: bytes, ordinary, toxic) -> list[float]:
         best = sorted(saved)[-3:]
         gains = sum(s - 2 for s in saved if s > 2)
         out += [best[-1], sum(best) / 3, 1024 * sum(saved) / max(len(text), size), min(gains, 60), 1024 * gains / max(len(text), size)]
+        out.append(min(8, sum(s > 2 for s in saved)))
     return [float(np.clip(x, -40, 60)) for x in out]
 
 
@@ -150,26 +196,19 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
     return beta
 
 
-class Model:
-    """What scoring needs, small enough to travel with each task: two dictionaries and a few numbers."""
+class Part:
+    """Two dictionaries and their calibration, learned from rows of one language or of all."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], counts: dict[int, int]):
-        known = sum(counts.values())
-        self.share = counts.get(1, 0) / known if known else 0.0
-        self.beta = None
-        if {label for label, _ in rows} == {0, 1}:
-            self.contents = dictionaries(rows)
-            pair = [compressor(c) for c in self.contents]
-            x = np.array([features(text, *pair) for _, text in rows])
-            y = np.array([label for label, _ in rows], float)
-            here = {label: max(1, int((y == label).sum())) for label in (0, 1)}
-            weight = np.array([counts[label] / here[label] for label, _ in rows])
-            self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
-            self.beta = calibrate((x - self.mean) / self.scale, y, weight * len(y) / weight.sum())
+    def __init__(self, contents: tuple[bytes, bytes], rows: list[tuple[int, bytes]], by_class: dict[int, float]):
+        self.contents = contents
+        pair = [compressor(c) for c in contents]
+        x = np.array([features(text, *pair) for _, text in rows])
+        y = np.array([label for label, _ in rows], float)
+        weight = np.array([by_class[label] for label, _ in rows])
+        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
+        self.beta = calibrate((x - self.mean) / self.scale, y, weight * len(y) / weight.sum())
 
     def scorer(self):
-        if self.beta is None:
-            return lambda text: self.share
         pair = [compressor(c) for c in self.contents]
 
         def score(text: bytes) -> float:
@@ -179,6 +218,32 @@ class Model:
         return score
 
 
+class Model:
+    """What scoring needs, small enough to travel with each task: dictionaries and a few numbers for each language."""
+
+    def __init__(self, rows: list[tuple[str | None, int, bytes]], counts: dict[int, int]):
+        known = sum(counts.values())
+        self.share = counts.get(1, 0) / known if known else 0.0
+        here = Counter(label for _, label, _ in rows)
+        by_class = {label: counts[label] / n for label, n in here.items()}
+        self.parts: dict[str | None, Part] = {}
+        for lang in sorted({lang for lang, _, _ in rows if lang is not None}) + [None]:
+            part = without_copies([(label, text) for of, label, text in rows if lang in (None, of)])
+            contents = dictionaries(part)
+            if contents:
+                self.parts[lang] = Part(contents, part, by_class)
+
+    def scorer(self):
+        """(text, language) to score."""
+        scorers = {lang: part.scorer() for lang, part in self.parts.items()}
+        other = scorers.get(None, lambda text: self.share)
+        return lambda text, lang: scorers.get(lang, other)(text)
+
+
+def encoded(text) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(*training_rows(docs, labels))
 
@@ -192,10 +257,10 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches):
         score = model.scorer()
         for batch in batches:
-            values = [score(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"") for t in batch["text"]]
+            values = [score(encoded(t), lang) for t, lang in zip(batch["text"], batch["lang"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": np.array(values, float)})
 
-    scored = in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, SCHEMA)
+    scored = in_small_batches(docs.select("doc_id", "text", language(docs))).mapInPandas(scan, SCHEMA)
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
@@ -204,11 +269,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not reject, with all their columns."""
     model = train(docs, labels)
 
-    def keep(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keep(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         score = model.scorer()
-        for series in texts:
-            yield pd.Series(
-                [score(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"") < 0.5 for t in series], dtype=bool
-            )
+        for texts, langs in columns:
+            yield pd.Series([score(encoded(t), lang) < 0.5 for t, lang in zip(texts, langs, strict=True)], dtype=bool)
 
-    return in_small_batches(docs).where(F.pandas_udf(keep, "boolean")(docs["text"]))
+    return in_small_batches(docs).where(F.pandas_udf(keep, "boolean")(docs["text"], language(docs)))

@@ -317,6 +317,27 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert scores[0] == scores[1]
 
 
+def test_toxicity_in_each_language(spark):
+    rng = random.Random(4)
+    stems = {"de": "achlich", "es": "bomente"}
+    table = []
+    for k in range(1600):
+        lang, toxic = ("de", "es")[k % 2], int(k % 16 < 2)
+        parts = [f"{a}{b}" for a in ("ver", "ung", "keit") for b in ("en", "er", "ß")] if lang == "de" else [f"{a}{b}" for a in ("ci", "lla") for b in ("do", "ón", "rr")]
+        words = ["".join(rng.choices(parts, k=rng.randint(1, 2))) for _ in range(120)]
+        for _ in range(6 if toxic else k % 16 < 4):  # ordinary texts have the stem once at most
+            words[rng.randrange(120)] = stems[lang] + rng.choice(parts)
+        table.append((k, " ".join(words), lang, toxic))
+    docs = spark.createDataFrame([(i, t, g) for i, t, g, _ in table], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in table], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, model).where("held_out").collect()}
+    for lang in stems:
+        caught = [found[i] for i, _, g, y in table if i in found and g == lang and y]
+        spared = [1 - found[i] for i, _, g, y in table if i in found and g == lang and not y]
+        assert sum(caught) >= 0.8 * len(caught) > 0 and sum(spared) >= 0.95 * len(spared)
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()} == {0.0}
