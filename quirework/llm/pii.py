@@ -2,7 +2,8 @@
 
 Base kinds are email, ip, card and phone as the contract defines them; each is proposed leftmost and
 without overlap within its kind, then checked (parts, Luhn, number of digits), with no second try.
-The method adds ``iban``: an account number that passes mod-97, scored with the words around it.
+The method adds ``iban``: an account number that passes mod-97, scored with the words around it. Its end is where its
+country's length says; other ends between 15 and 34 signs are tried after that, the longest first, and need such words.
 Every span has a score; base spans stay whatever theirs is, added ones need ``ADDED_AT_LEAST``.
 
 Defined results: a null text counts as empty; empty texts have no spans; rows that repeat are each
@@ -34,11 +35,26 @@ CONTEXT = {
 }
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7}
 
+#: Score of an account number whose length is not its country's.
+UNUSUAL_IBAN = 0.5
+#: Lengths in the register of ISO 13616.
+IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -55,6 +71,33 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _accounts(text: str):
+    """(start, end, prior) of account numbers without overlap; a start that none follows leaves the next ones free."""
+    floor = 0
+    for start in _IBAN.finditer(text):
+        found = _ACCOUNT.match(text, start.start()) if start.start() >= floor else None
+        if not found:
+            continue
+        signs, ends = 0, []
+        for place in range(found.start(), found.end()):
+            signs += text[place] != " "
+            after = text[place + 1 : place + 2]
+            if signs >= 15 and text[place] != " " and not (after.isascii() and after.isalnum()):
+                ends.append((signs != IBAN_LENGTH.get(start[0][:2]), -signs, place + 1))
+        for unusual, _, end in sorted(ends):
+            if mod97(text[found.start() : end].replace(" ", "")):
+                if not unusual or _near("iban", text, found.start(), end):
+                    yield found.start(), end, UNUSUAL_IBAN if unusual else PRIOR["iban"]
+                    floor = end
+                    break
+
+
+def _near(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether a context word of the kind stands near the span."""
+    around = f" {text[max(0, a - NEAR) : a]} {text[b : b + NEAR]} ".lower()
+    return any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", around) for w in CONTEXT[kind])
+
+
 def _emails(text: str):
     """Spans of the leftmost matches: what stands before each @ decides where one begins."""
     floor = 0
@@ -83,14 +126,10 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
             found.append(("card", m.start(), m.end()))
     if "+" in text:
         found += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_DIGITS.findall(m[0])) <= 15]
-    for m in _IBAN.finditer(text):
-        if 15 <= len(account := m[0].replace(" ", "")) <= 34 and mod97(account):
-            found.append(("iban", m.start(), m.end()))
+    found = [(kind, a, b, PRIOR[kind]) for kind, a, b in found] + [("iban", *account) for account in _accounts(text)]
     out = []
-    for kind, a, b in found:
-        around = f" {text[max(0, a - NEAR) : a]} {text[b : b + NEAR]} ".lower()
-        near = any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", around) for w in CONTEXT[kind])
-        score = min(1.0, PRIOR[kind] + 0.2 * near)
+    for kind, a, b, prior in found:
+        score = min(1.0, prior + 0.2 * _near(kind, text, a, b))
         if kind in BASE or score >= ADDED_AT_LEAST:
             out.append((kind, a, b, score))
     return out

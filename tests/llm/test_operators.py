@@ -177,6 +177,20 @@ def test_pii_account_numbers():
     assert near > far
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFF", " EUR 100", " 12 34", " BIC cobadeff", " IBAN", " B"])
+def test_pii_account_numbers_before_capitals(after):
+    for number in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        found = pii.spans(f"AB12 {number}{after}")
+        assert [s[:3] for s in found if s[0] == "iban"] == [("iban", 5, 5 + len(number))], number
+
+
+def test_pii_context_decides_on_unusual_account_numbers():
+    digits = "1234567890123456"
+    account = next(f"ZZ{k:02d}{digits}" for k in range(2, 99) if pii.mod97(f"ZZ{k:02d}{digits}"))
+    kinds = lambda text: [s[0] for s in pii.spans(text) if s[0] == "iban"]
+    assert kinds(f"part {account}.") == [] and kinds(f"account {account}.") == ["iban"]
+
+
 # 8: secrets.
 SECRETS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
