@@ -78,6 +78,12 @@ def bounded_text(spark, d):
     return rows.select("doc_id", TX.bounded(F.col("text"), 100).alias("head"))
 
 
+@query()
+def bounded_documents(spark, d):
+    """Every document under the production bound; bounded_text has the short texts that its SQL can cut."""
+    return read(spark, d, "documents").select("doc_id", TX.bounded(F.col("text")).alias("head"))
+
+
 @query("SELECT page_id, replace(html, '<', chr(92) || 'u003c') AS json, " + Q.encoded("url") + " AS encoded FROM pages")
 def script_json(spark, d):
     return read(spark, d, "pages").select("page_id", TX.script_safe(F.col("html")).alias("json"), TX.percent_encoded(F.col("url")).alias("encoded"))
