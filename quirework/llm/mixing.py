@@ -130,6 +130,8 @@ def mix(docs: DataFrame, block: int = 1024) -> DataFrame:
     )
     order = ["_digest", F.col("doc_id").asc_nulls_first(), "size"]
     placed = durable(running_total(placed, "source_key", "_chunk", order, "size", "first_word").drop("_digest", "_chunk"))
+    # Rows that repeat without words have all else in common.
+    placed = placed.withColumn("_row", F.monotonically_increasing_id())
     used = (
         schedule(sources, block)
         .groupBy("source_key", "block")
@@ -145,7 +147,7 @@ def mix(docs: DataFrame, block: int = 1024) -> DataFrame:
         lambda acc, w: acc + F.greatest(F.lit(0).cast("long"), F.least(end, F.col("block") * block + w) - start),
     )
     taken = pieces.join(used, ["source_key", "block"], "left").withColumn("_taken", F.coalesce(inside, F.lit(0)))
-    keys = ["doc_id", "size", "source_size", "target", "source", "source_key", "first_word"]
+    keys = ["doc_id", "size", "source_size", "target", "source", "source_key", "first_word", "_row"]
     return taken.groupBy(*keys).agg(F.sum("_taken").cast("long").alias("taken")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "first_word"
     )

@@ -115,6 +115,12 @@ def test_mixing(docs, rows, block):
     assert again == Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in out)
 
 
+def test_mixing_keeps_repeated_rows_without_words(docs_of):
+    rows = [(1, "", "a"), (1, "", "a"), (1, None, "a"), (None, None, "a"), (None, None, "a"), (2, "x y z", "a"), (3, "", None), (3, "", None)]
+    expected = Counter((i, s, len(WORD.findall(t or ""))) for i, t, s in rows)
+    assert got(mixing.mix(docs_of(rows)), "doc_id", "source", "size") == expected
+
+
 def test_mix_schedule_spreads_sources(spark):
     sizes = spark.createDataFrame([(f"s{k}", 4000 * (k + 1)) for k in range(5)], "source string, size long")
     slots = sorted((r["slot"], r["source_key"]) for r in mixing.schedule(mixing.source_targets(sizes), 16).collect())
