@@ -91,6 +91,44 @@ def running_total(df: DataFrame, key: str, chunk: str, order: list, value: str,
     ).drop("_base")
 
 
-def same_id(left: DataFrame, right: DataFrame, name: str = "doc_id") -> Column:
-    """Equality of ids in which a null equals a null."""
-    return left[name].eqNullSafe(right[name])
+def carried(docs: DataFrame, *columns) -> DataFrame:
+    """(doc_id, no_id, *columns) for Python: a batch with a null among its ids would arrive as floats and change others."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"), doc_id.isNull().alias("no_id"), *columns)
+
+
+def restored(rows: DataFrame) -> DataFrame:
+    """rows without no_id: where it is set, doc_id is null again."""
+    told = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
+    return rows.select(*[told if c == "doc_id" else F.col(c) for c in rows.columns if c != "no_id"])
+
+
+def raw_print(docs: DataFrame, *more: str) -> Column:
+    """A hash of a row's text, and more columns, as they stand, null apart from empty; with doc_id it names a row up to equal rows."""
+    return F.xxhash64(*[x for name in ("text", *more) for x in (docs[name].isNull(), docs[name])])
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, group: str, *more: str) -> DataFrame:
+    """Of each group of documents one row, with all its columns: that of the smallest doc_id, nulls last.
+
+    rows: (doc_id, print, group) of every document, print being raw_print(docs, *more); group is not null. Rows that
+    share all three are told apart by a hash of all their columns. What is dropped is what travels, not what stays,
+    and groups are aggregated before they are shuffled, so that no task sees a whole one.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+    best = durable(rows.groupBy(group).agg(F.min(place).alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    names = {"doc_id": "__qw_id", "print": "__qw_print"}
+    split = durable(rows.join(best, group).select("doc_id", "print", group, place.eqNullSafe(F.col("_best")).alias("_stays")))
+    gone = split.where("not _stays").select("doc_id", "print").distinct().withColumnsRenamed(names)
+    twice = split.where("_stays").groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    twice = twice.select("doc_id", "print").withColumnsRenamed(names)
+    marked = docs.withColumn("__qw_own", raw_print(docs, *more))
+    match = lambda left, right: left["doc_id"].eqNullSafe(right["__qw_id"]) & (left["__qw_own"] == right["__qw_print"])
+    rest = marked.join(gone, match(marked, gone), "left_anti")
+    if not twice.take(1):
+        return rest.drop("__qw_own")
+    once = rest.join(twice, match(rest, twice), "left_anti").drop("__qw_own")
+    again = rest.join(twice, match(rest, twice), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = again.groupBy("doc_id", "__qw_own").agg(F.min_by(whole, F.xxhash64(whole)).alias("__qw_row"))
+    return once.unionByName(again.select("__qw_row.*"))
