@@ -1,22 +1,24 @@
 """Operator 10: toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled rows. Both begin with the same ordinary text; the toxic one
-goes on with stems: runs of byte 5-grams that more toxic than ordinary documents hold, or hold more than once
-(``RATIO`` times as frequent, and more than ``CONTRAST`` standard errors apart). The ordinary one goes on with as
-many empty bytes, so that all else is in the same place. That is a mined word list, not zstandard's own trainer.
-Windows of a text are compressed with each. What the toxic dictionary saves, at most, in the best three windows,
-on average and beyond chance, is calibrated by a logistic regression on the training rows.
-
-Each language (column ``lang``, where there is one) whose training rows mark any stem has dictionaries and a
+zstandard's trainer makes two dictionaries from labelled rows: one of ordinary texts, cut into samples; one of the
+toxic texts' contrast, which is what is left of them when the words without a marked gram are taken out. A byte 5-gram is
+marked that more toxic than ordinary documents hold, or hold more than once (``RATIO`` times as frequent, and
+more than ``CONTRAST`` standard errors apart); whole toxic texts would train a dictionary of ordinary words.
+Windows of a text are compressed with the ordinary dictionary, with both, with the toxic one and with none. What
+the toxic dictionary saves (at most, in the best three windows, on average, beyond chance) is calibrated by a
+logistic regression. Its rows are training rows that had no part in the dictionaries that compress them: each half
+is measured with dictionaries of the other half. Scoring uses dictionaries of all rows.
+
+Each language (column ``lang``, where there is one) whose training rows mark any gram has dictionaries and a
 calibration of its own; all other texts are scored with those of all rows together.
 
 Labels are learned from rows with crc32(doc_id as text) mod 5 not 0, from a sample of at most ``SAMPLE``
-rows of each class, taken by a hash of the id, of which the first ``TRAIN_BYTES`` bytes are learned from;
-the classes are weighed by their numbers among all labelled training rows. Scoring reads whole texts.
+rows of each class, taken by a hash of the id, with their whole texts; the classes are weighed by their numbers among
+all labelled training rows. Scoring reads whole texts.
 
-Defined results: a null text counts as empty; without training rows of both classes every score is the
-share of toxic rows (0 with none); rows that repeat are each scored; an empty table gives an empty table.
-Labels that are null, or repeat, count as they stand. Extra columns are ignored, whatever their names.
+Defined results: a null text counts as empty; without training rows of both classes, or where too few are toxic to mark a gram,
+every score is the share of toxic rows (0 with none); rows that repeat are each scored; an empty table gives an empty
+table. Labels that are null, or repeat, count as they stand. Extra columns are ignored, whatever their names, but for ``lang``.
 """
 
 from __future__ import annotations
@@ -29,18 +31,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import in_small_batches
+from quirework.llm.common import carried, in_small_batches, restored
 
 SAMPLE = 3000
-TRAIN_BYTES = 20_000
 GRAM = 5
 CONTRAST = 4.5
 RATIO = 8
 #: Rows that a gram or a word must be in to count: so many, and this share of the toxic ones.
 LEAST_ROWS, LEAST_SHARE = 4, 0.01
-WINDOWS = (128, 512)
+#: Sizes of windows compressed with the ordinary dictionary and with both, and with the toxic one and none.
+WINDOWS, CLOSE = (128, 512), 64
 ORDINARY_BYTES = 8192
 TOXIC_BYTES = 4096
+#: Lengths of the trainer's segments, and of the samples of ordinary text.
+ORDINARY_SEGMENT, TOXIC_SEGMENT, SAMPLE_BYTES = 64, 24, 1024
 #: zstandard does not find what stands in the last bytes of a dictionary.
 PADDING = 16
 
@@ -61,9 +65,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str |
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         sample = part if sample is None else sample.unionByName(part)
-    text = F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_BYTES)
-    rows = docs.select("doc_id", language(docs), text.alias("text")).join(F.broadcast(sample), "doc_id")
-    found = sorted((r["doc_id"], r["toxic"], r["text"].encode().lower()[:TRAIN_BYTES], r["lang"] or "") for r in rows.collect())
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select("doc_id", language(docs), text).join(F.broadcast(sample), "doc_id")
+    found = sorted((r["doc_id"], r["toxic"], encoded(r["text"]).lower(), r["lang"] or "") for r in rows.collect())
     return [(lang or None, toxic, text) for _, toxic, text, lang in found], counts
 
 
@@ -106,77 +110,82 @@ def marked_grams(rows: list[tuple[int, bytes]], least: float) -> set[bytes]:
     return marked
 
 
-def toxic_stems(rows: list[tuple[int, bytes]]) -> list[bytes]:
-    """Runs of marked grams in words of toxic rows, with what nearly always follows; the most frequent come last."""
-    least = max(LEAST_ROWS, LEAST_SHARE * sum(toxic for toxic, _ in rows))
-    marked = marked_grams(rows, least)
-    found: Counter = Counter()
-    tails: dict[bytes, Counter] = {}
+def contrast(rows: list[tuple[int, bytes]]) -> list[bytes]:
+    """Of each toxic row the parts of words from their first marked gram to their last; rows without any are left out."""
+    marked = marked_grams(rows, max(LEAST_ROWS, LEAST_SHARE * sum(toxic for toxic, _ in rows)))
+    samples = []
     for text in (text for toxic, text in rows if toxic):
-        here = set()
-        for word in text.split():
-            word, k = b" " + word, 0
-            while k <= len(word) - GRAM:
-                end = k
-                while word[end : end + GRAM] in marked and end <= len(word) - GRAM:
-                    end += 1
-                if end > k:
-                    stem, rest = word[k : end - 1 + GRAM], word[end - 1 + GRAM :]
-                    here.add(stem)
-                    tails.setdefault(stem, Counter())[rest[:12]] += 1
-                k = max(k, end) + 1
-        found.update(here)
-    grown: Counter = Counter()
-    for stem, n in found.items():
-        if n >= least:
-            whole = stem
-            for k in range(12):
-                nexts: Counter = Counter()
-                for rest, times in tails[stem].items():
-                    nexts[rest[k : k + 1]] += times
-                sign, times = nexts.most_common(1)[0]
-                if not sign or times < 0.9 * nexts.total():
-                    break
-                whole += sign
-            grown[whole] = max(grown[whole], n)
-    return [w for w, n in sorted(grown.items(), key=lambda x: (x[1], x[0]))]
+        parts = []
+        for word in (b" " + w for w in text.split()):
+            hits = [k for k in range(len(word) - GRAM + 1) if word[k : k + GRAM] in marked]
+            if hits:
+                parts.append(word[hits[0] : hits[-1] + GRAM])
+        if parts:
+            samples.append(b"".join(parts))
+    return samples
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """zstandard's dictionary of samples. Those too few or too short for its trainer are the content themselves."""
+    import zstandard
+
+    for copies in (1, 10):
+        try:
+            return zstandard.train_dictionary(size, samples * copies, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b"".join(samples)[-size:]
 
 
 def dictionaries(rows: list[tuple[int, bytes]]) -> tuple[bytes, bytes] | None:
-    """(ordinary, toxic), of equal length; none where no stem is marked."""
-    stems = toxic_stems(rows) if {label for label, _ in rows} == {0, 1} else []
-    if not stems:
+    """(ordinary, toxic); none where no gram is marked."""
+    toxic = contrast(rows) if {label for label, _ in rows} == {0, 1} else []
+    ordinary = [text[k : k + SAMPLE_BYTES] for label, text in rows if not label for k in range(0, len(text), SAMPLE_BYTES)]
+    if not toxic or not ordinary:
         return None
-    toxic = b"".join(stems)[-TOXIC_BYTES:]
-    shared = b"".join(text[:400] for label, text in rows if not label)[:ORDINARY_BYTES]
-    return shared + bytes(len(toxic) + PADDING), shared + toxic + bytes(PADDING)
+    return trained(ordinary, ORDINARY_BYTES, ORDINARY_SEGMENT), trained(toxic, TOXIC_BYTES, TOXIC_SEGMENT)
 
 
-def compressor(content: bytes):
+def compressor(content: bytes | None, close: bool):
+    """Trained dictionaries are loaded as plain content, so that only what matches them tells, not their entropy tables."""
     import zstandard
 
+    fine = {"search_log": 4, "target_length": 32, "hash_log": 14, "chain_log": 14, "min_match": 5, "strategy": zstandard.STRATEGY_GREEDY}
+    wide = {"search_log": 4, "target_length": 64, "hash_log": 15, "chain_log": 15, "min_match": 6, "strategy": zstandard.STRATEGY_BTOPT}
     params = zstandard.ZstdCompressionParameters(
-        window_log=15, hash_log=15, chain_log=15, search_log=4, min_match=6, target_length=64,
-        strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False,
-    )
-    trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    trained.precompute_compress(compression_params=params)
-    return zstandard.ZstdCompressor(compression_params=params, dict_data=trained)
-
-
-def features(text: bytes, ordinary, toxic) -> list[float]:
-    """For each window size, bytes saved: in the best window, in the best three, on average, beyond chance, and in how many."""
-    out: list[float] = []
-    for size in WINDOWS:
-        saved = [
-            len(ordinary.compress(part)) - len(toxic.compress(part))
-            for part in (text[k : k + size] for k in range(0, len(text), size))
-        ] or [0]
-        best = sorted(saved)[-3:]
-        gains = sum(s - 2 for s in saved if s > 2)
-        out += [best[-1], sum(best) / 3, 1024 * sum(saved) / max(len(text), size), min(gains, 60), 1024 * gains / max(len(text), size)]
-        out.append(min(8, sum(s > 2 for s in saved)))
-    return [float(np.clip(x, -40, 60)) for x in out]
+        window_log=15, write_checksum=False, write_content_size=False, write_dict_id=False, **(fine if close else wide)
+    )
+    if content is None:
+        return zstandard.ZstdCompressor(compression_params=params)
+    loaded = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    loaded.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=loaded)
+
+
+class Measure:
+    """Turns a text into what the toxic dictionary of a pair saves in its windows."""
+
+    def __init__(self, contents: tuple[bytes, bytes]):
+        ordinary, toxic = contents
+        both = ordinary + toxic + bytes(PADDING)
+        self.wide = compressor(ordinary + bytes(len(both) - len(ordinary)), False), compressor(both, False)
+        self.close = compressor(None, True), compressor(toxic, True)
+
+    def features(self, text: bytes) -> list[float]:
+        """For each window size, bytes saved: in the best window, in the best three, on average, beyond chance, and in how many."""
+        out: list[float] = []
+        for size, (without, with_it) in (*((size, self.wide) for size in WINDOWS), (CLOSE, self.close)):
+            saved = [
+                len(without.compress(part)) - len(with_it.compress(part))
+                for part in (text[k : k + size] for k in range(0, len(text), size))
+            ] or [0]
+            best = sorted(saved)[-3:]
+            gains = sum(s - 2 for s in saved if s > 2)
+            kilobytes = max(len(text), size) / 1024
+            hits = sum(s > 2 for s in saved)
+            out += [best[-1], sum(best) / 3, sum(saved) / kilobytes, min(gains, 80), gains / kilobytes]
+            out.append(hits / len(saved) * 20 if size == CLOSE else min(8, hits))
+        return [float(np.clip(x, -60, 80)) for x in out]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -201,18 +210,31 @@ class Part:
 
     def __init__(self, contents: tuple[bytes, bytes], rows: list[tuple[int, bytes]], by_class: dict[int, float]):
         self.contents = contents
-        pair = [compressor(c) for c in contents]
-        x = np.array([features(text, *pair) for _, text in rows])
-        y = np.array([label for label, _ in rows], float)
-        weight = np.array([by_class[label] for label, _ in rows])
+        x, y = zip(*self._measured(rows), strict=True)
+        x, y = np.array(x), np.array(y, float)
+        weight = np.array([by_class[label] for label in y.astype(int)])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         self.beta = calibrate((x - self.mean) / self.scale, y, weight * len(y) / weight.sum())
 
+    def _measured(self, rows: list[tuple[int, bytes]]) -> list[tuple[list[float], int]]:
+        """Each row's features by dictionaries that it had no part in; by all rows' where a half marks nothing."""
+        classes = [[r for r in rows if r[0] == label] for label in (0, 1)]
+        halves = [[r for rows_of in classes for r in rows_of[k::2]] for k in (0, 1)]
+        pairs = [dictionaries(half) for half in halves]
+        if None in pairs:
+            measure = Measure(self.contents)
+            return [(measure.features(text), label) for label, text in rows]
+        out = []
+        for contents, other in zip(pairs, reversed(halves), strict=True):
+            measure = Measure(contents)
+            out += [(measure.features(text), label) for label, text in other]
+        return out
+
     def scorer(self):
-        pair = [compressor(c) for c in self.contents]
+        measure = Measure(self.contents)
 
         def score(text: bytes) -> float:
-            x = (np.array(features(text.lower(), *pair)) - self.mean) / self.scale
+            x = (np.array(measure.features(text.lower())) - self.mean) / self.scale
             return float(1 / (1 + np.exp(-np.clip(x @ self.beta[:-1] + self.beta[-1], -30, 30))))
 
         return score
@@ -248,9 +270,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(*training_rows(docs, labels))
 
 
-SCHEMA = "doc_id long, score double"
-
-
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
 
@@ -258,15 +277,20 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         score = model.scorer()
         for batch in batches:
             values = [score(encoded(t), lang) for t, lang in zip(batch["text"], batch["lang"], strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": np.array(values, float)})
+            yield batch[["doc_id", "no_id"]].assign(score=np.array(values, float))
 
-    scored = in_small_batches(docs.select("doc_id", "text", language(docs))).mapInPandas(scan, SCHEMA)
+    rows = carried(in_small_batches(docs), F.col("text"), language(docs))
+    scored = restored(rows.mapInPandas(scan, "doc_id long, no_id boolean, score double"))
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model does not reject, with all their columns."""
+    """The documents that the model does not reject, with all their columns.
+
+    Each row is judged by its own text: rows that repeat share their decision. Without labelled rows of both classes the
+    share of toxic rows decides on all alike. An empty table gives an empty table.
+    """
     model = train(docs, labels)
 
     def keep(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
