@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import compact, in_small_batches, running_total
+from quirework.llm.common import carried, compact, in_small_batches, restored, running_total
 
 WINDOW = 2048
 END = 1
@@ -87,16 +87,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataF
         encode = encoder(tokenizer)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], strict=True):
+            for doc_id, no_id, text in zip(batch["doc_id"], batch["no_id"], batch["text"], strict=True):
                 ids = encode(text) if isinstance(text, str) else []
                 tokens = np.array([*ids, END], "<u4")
                 for start in range(0, len(tokens), window):
                     part = tokens[start : start + window]
-                    rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(tokens)))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
+                    rows.append((doc_id, no_id, start, len(part), zlib.crc32(part.tobytes()), len(tokens)))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, PIECES)
+    schema = PIECES.replace("doc_id long,", "doc_id long, no_id boolean,")
+    return restored(carried(in_small_batches(docs), F.col("text")).mapInPandas(scan, schema))
 
 
 def patterns_for(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -114,13 +114,21 @@ def patterns_for(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.array(sorted(set(found)), np.int64).reshape(-1, 3)
 
 
-def least_squares(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Counts >= 0 that bring the patterns' use of each length near the histogram (multiplicative updates)."""
+def least_squares(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 2000, settled: float = 1e-5) -> np.ndarray:
+    """Counts >= 0 that bring the patterns' use of each length near the histogram (multiplicative updates).
+
+    It ends where a round lowers the squared distance by less than ``settled`` of it.
+    """
     counts = np.full(len(patterns), histogram.sum() / max(1, 3 * len(patterns)))
     wanted = np.where(patterns > 0, histogram[patterns], 0).sum(1).astype(float)
+    before = np.inf
     for _ in range(rounds):
         used = np.bincount(patterns.ravel(), np.repeat(counts, 3), len(histogram))
         used[0] = 0
+        distance = float(((used - histogram) ** 2).sum())
+        if distance >= before * (1 - settled):
+            break
+        before = distance
         counts *= wanted / np.maximum(np.where(patterns > 0, used[patterns], 0).sum(1), 1e-9)
     return counts
 
@@ -178,16 +186,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             length, rank = batch["length"].to_numpy(np.int64), batch.pop("_rank").to_numpy(np.int64)
             at = np.searchsorted(starts, base[length] + rank, "right") - 1
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
-            batch["sequence_id"] = table[at, 2] + rank - table[at, 1]
-            batch["offset"] = table[at, 3]
-            yield batch.drop(columns="_chunk")
+            yield batch.assign(sequence_id=table[at, 2] + rank - table[at, 1], offset=table[at, 3])
 
     chunks = max(256, int(total**0.5))
     keyed = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(chunks)))
     keyed = keyed.withColumn("_one", F.lit(1).cast("long"))
     order = [F.col("doc_id").asc_nulls_first(), "start", "ids_crc32", "doc_tokens"]
-    ranked = running_total(keyed, "length", "_chunk", order, "_one", "_rank").select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "_rank", "_chunk"
-    )
-    return ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    ranked = running_total(keyed, "length", "_chunk", order, "_one", "_rank")
+    columns = [F.col(c) for c in ("start", "length", "ids_crc32", "doc_tokens")]
+    schema = PIECES.replace("doc_id long,", "doc_id long, no_id boolean,") + ", sequence_id long, offset long"
+    return restored(carried(ranked, *columns, F.col("_rank")).mapInPandas(place, schema))
