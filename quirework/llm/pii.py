@@ -2,9 +2,12 @@
 
 Base kinds are email, ip, card and phone as the contract defines them; each is proposed leftmost and
 without overlap within its kind, then checked (parts, Luhn, number of digits), with no second try.
-The method adds ``iban``: an account number that passes mod-97, scored with the words around it. Its end is where its
-country's length says; other ends between 15 and 34 signs are tried after that, the longest first, and need such words.
-Every span has a score; base spans stay whatever theirs is, added ones need ``ADDED_AT_LEAST``.
+The method adds ``iban``: an account number that passes mod-97. Its end is where its country's length says; other ends
+between 15 and 34 signs are tried after that, the longest first. A span's score begins with what its pattern and checksum
+are worth, rises by ``SWAY`` where a context word of its kind stands near and falls by as much where a word stands near
+that names numbers of another kind. Base spans stay whatever their score is, added ones need ``ADDED_AT_LEAST``: so a number of its
+country's length is admitted unless such a word speaks against it, and one of another length only if a context word
+speaks for it.
 
 Defined results: a null text counts as empty; empty texts have no spans; rows that repeat are each
 reported; an empty table gives an empty table. Extra columns are ignored, whatever their names.
@@ -19,11 +22,12 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quirework.llm.common import in_small_batches
+from quirework.llm.common import carried, in_small_batches, restored
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
-ADDED_AT_LEAST = 0.6
+ADDED_AT_LEAST = 0.5
+SWAY = 0.2
 #: Characters on each side in which context words count.
 NEAR = 40
 CONTEXT = {
@@ -33,10 +37,18 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"),
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte", "transfer"),
 }
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7}
+#: Words that name numbers of another kind.
+AGAINST = {
+    "email": ("example", "noreply", "no-reply"),
+    "ip": ("version", "release", "section", "chapter"),
+    "card": ("isbn", "order", "tracking", "serial", "id"),
+    "phone": ("isbn", "order", "tracking", "serial", "version"),
+    "iban": ("isbn", "order", "part", "serial", "sku", "tracking", "version", "checksum", "license", "key"),
+}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.6}
 
 #: Score of an account number whose length is not its country's.
-UNUSUAL_IBAN = 0.5
+UNUSUAL_IBAN = 0.4
 #: Lengths in the register of ISO 13616.
 IBAN_LENGTH = {
     country: length
@@ -86,16 +98,24 @@ def _accounts(text: str):
                 ends.append((signs != IBAN_LENGTH.get(start[0][:2]), -signs, place + 1))
         for unusual, _, end in sorted(ends):
             if mod97(text[found.start() : end].replace(" ", "")):
-                if not unusual or _near("iban", text, found.start(), end):
-                    yield found.start(), end, UNUSUAL_IBAN if unusual else PRIOR["iban"]
+                score = scored("iban", UNUSUAL_IBAN if unusual else PRIOR["iban"], text, found.start(), end)
+                if score >= ADDED_AT_LEAST:
+                    yield found.start(), end, score
                     floor = end
                     break
 
 
-def _near(kind: str, text: str, a: int, b: int) -> bool:
-    """Whether a context word of the kind stands near the span."""
+def _any_word(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})(?!\w)")
+
+
+_FOR, _CONTRA = ({kind: _any_word(words) for kind, words in told.items()} for told in (CONTEXT, AGAINST))
+
+
+def scored(kind: str, prior: float, text: str, a: int, b: int) -> float:
+    """The span's score by the words near it."""
     around = f" {text[max(0, a - NEAR) : a]} {text[b : b + NEAR]} ".lower()
-    return any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", around) for w in CONTEXT[kind])
+    return round(min(1.0, prior + SWAY * bool(_FOR[kind].search(around)) - SWAY * bool(_CONTRA[kind].search(around))), 6)
 
 
 def _emails(text: str):
@@ -126,13 +146,9 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
             found.append(("card", m.start(), m.end()))
     if "+" in text:
         found += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_DIGITS.findall(m[0])) <= 15]
-    found = [(kind, a, b, PRIOR[kind]) for kind, a, b in found] + [("iban", *account) for account in _accounts(text)]
-    out = []
-    for kind, a, b, prior in found:
-        score = min(1.0, prior + 0.2 * _near(kind, text, a, b))
-        if kind in BASE or score >= ADDED_AT_LEAST:
-            out.append((kind, a, b, score))
-    return out
+    return [(kind, a, b, scored(kind, PRIOR[kind], text, a, b)) for kind, a, b in found] + [
+        ("iban", *account) for account in _accounts(text)
+    ]
 
 
 def joined(found) -> str:
@@ -140,7 +156,7 @@ def joined(found) -> str:
 
 
 SCHEMA = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
+    "doc_id long, no_id boolean, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
     "scores array<double>"
 )
 
@@ -151,14 +167,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, no_id, text in zip(batch["doc_id"], batch["no_id"], batch["text"], strict=True):
                 found = spans(text) if isinstance(text, str) else []
                 base = [s for s in found if s[0] in BASE]
                 counts = [sum(s[0] == kind for s in base) for kind in BASE]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                rows.append((None if pd.isna(doc_id) else int(doc_id), *counts, digest, joined(found), [s[3] for s in found]))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows.append((doc_id, no_id, *counts, digest, joined(found), [s[3] for s in found]))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, SCHEMA)
+    return restored(carried(in_small_batches(docs), docs["text"]).mapInPandas(scan, SCHEMA))
