@@ -22,12 +22,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.components import connected
-from quirework.llm.common import compact, durable, in_small_batches
+from quirework.llm.common import carried, compact, durable, in_small_batches, one_of_each, raw_print, restored
 
 SHINGLE = 4
 BITS = 4
@@ -69,14 +68,15 @@ def fingerprint(text: bytes, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, print, fp): fp is the fingerprint as a signed long, print names the row's text."""
 
     def scan(batches):
         for batch in batches:
-            prints = [fingerprint(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else 0 for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array(prints, np.uint64).astype(np.int64)})
+            prints = [fingerprint(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else 0 for t in batch.pop("text")]
+            yield batch.assign(fp=np.array(prints, np.uint64).astype(np.int64))
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, "doc_id long, fp long")
+    rows = carried(in_small_batches(docs), raw_print(docs).alias("print"), docs["text"])
+    return restored(rows.mapInPandas(scan, "doc_id long, no_id boolean, print long, fp long"))
 
 
 def _mask(positions) -> int:
@@ -136,26 +136,30 @@ def _bit(n: int) -> int:
     return 1 << n if n < 63 else -(1 << 63)
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id."""
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents' fingerprints, and (fp, least, root) of each distinct one: its component is named by root."""
     prints = compact(fingerprints(docs))
     classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = connected(fingerprint_links(classes.select("fp"), classes.count() > MANY))
-    roots = classes.join(labels, classes["fp"] == labels["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    roots = classes.join(labels, classes["fp"] == labels["node"], "left")
+    return prints, durable(roots.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id."""
+    prints, roots = _rooted(docs)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "component_id")
+    named = durable(roots.join(least, "root").select("fp", "component_id"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp").select("doc_id", text, "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
-    dropped = (
-        simhash_components(docs)
-        .where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__quirework_id"))
-        .distinct()
-    )
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__quirework_id"]), "left_anti")
+    """One document of each component with all its columns: the one with the smallest doc_id, nulls last.
+
+    Rows of one doc_id with unlike texts are documents of their own; of rows that repeat all through one stays. Texts
+    without words are one component. An empty table gives an empty table.
+    """
+    prints, roots = _rooted(docs)
+    members = durable(prints.join(roots.select("fp", "root"), "fp").select("doc_id", "print", "root"))
+    return one_of_each(docs, members, "root")
