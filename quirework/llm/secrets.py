@@ -5,12 +5,15 @@ of encoding characters whose encoding (hex, base32 or base64) is inferred from t
 which passes for random. Three tests ask whether its symbols could be drawn evenly and independently:
 chi-squared uniformity over classes of the alphabet, as many as the length bears; the number of runs above
 and below the middle; the serial correlation of neighbours. Their p-values are combined by Fisher's method.
-Over all candidates of the corpus, Benjamini and Hochberg's rule at ``FALSE_DISCOVERY`` names those that are
-not random, separately by length (in octaves), as short runs have less power; what is left is reported.
-The rule's ranks come from a histogram of p-values, at most 500 numbers for each octave.
+Two rules over all candidates of the corpus, separately by length (in octaves), as short runs have less power,
+say which of them are reported. Benjamini and Hochberg's at ``FALSE_DISCOVERY`` names those that are not random. The
+rest may still hold runs that the tests are too weak to reject; as p-values of random runs are even, those above one
+half tell how many random ones there are, and only a p-value is reported beyond which the others are estimated to be at most
+``FALSE_REPORTS`` of what is reported. Ranks come from a histogram of p-values, at most 500 numbers for each octave.
 
 Defined results: a null text counts as empty; empty texts have no spans; rows that repeat are each
-reported (and each count in the rule); an empty table gives an empty table. Extra columns are ignored.
+reported (and each count in the rules); an empty table gives an empty table. Extra columns are ignored. Work grows
+with a text's length, and with the power 1.5 of the number of its matches.
 """
 
 from __future__ import annotations
@@ -23,11 +26,16 @@ from quirework.llm.common import compact, let
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Stands in the text for base spans of the first kind. It is no character of any pattern.
+TAKEN = "\uFFFF"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{20,}}+={{0,2}}+(?!{TAKEN})"
 KINDS = ("assign", "access", "hex", "random")
 FALSE_DISCOVERY = 0.05
+FALSE_REPORTS = 0.05
 #: Steps of the histogram of p-values: twenty for each power of ten, 500 in all.
 STEPS, MOST = 20, 500
+#: The steps below this one hold the p-values above one half.
+HALF = 6
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -35,35 +43,47 @@ ALPHABETS = {
 }
 
 
+SPANS = "array<struct<start:bigint,end:bigint,match:string,k:bigint>>"
+
+
+def _sums(sizes: Column) -> Column:
+    """The running sums of an array of numbers, each with all before it: within blocks of its root's length, then of the blocks."""
+    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
+
+    def run(xs: Column) -> Column:
+        start = F.struct(zero.alias("at"), none.alias("seen"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct((acc["at"] + x).alias("at"), F.concat(acc["seen"], F.array(acc["at"] + x)).alias("seen"))
+
+        return F.aggregate(xs, start, step)["seen"]
+
+    def of(width: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(1), F.size(sizes), width), lambda i: F.slice(sizes, i, width)), joined)
+
+    def joined(blocks: Column) -> Column:
+        before = let(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + x)), run)
+        added = F.zip_with(F.transform(blocks, run), F.concat(F.array(zero), before), lambda xs, base: F.transform(xs, lambda x: x + base))
+        return F.flatten(F.slice(added, 1, F.size(blocks)))
+
+    return F.when(F.size(sizes) > 0, let(F.ceil(F.sqrt(F.size(sizes))).cast("int"), of)).otherwise(none)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match, k>> of the leftmost non-overlapping matches, in code points.
 
     What lies between the matches comes from split(), so that lengths add up to positions.
     """
-    begin = F.struct(
-        F.lit(0).cast("long").alias("at"),
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint,match:string,k:bigint>>)").alias("found"),
-    )
 
-    def fold(parts: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["match"])
-            one = F.struct(
-                start.cast("long").alias("start"),
-                end.cast("long").alias("end"),
-                x["match"].alias("match"),
-                F.size(acc["found"]).cast("long").alias("k"),
-            )
-            return F.struct(end.cast("long").alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
-
-        return F.aggregate(parts, begin, step)["found"]
+    def placed(found: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: (F.length(g) + F.length(m)).cast("long"))
+        spans = lambda ends: F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).cast("long").alias("start"), e.alias("end"), m.alias("match")))
+        numbered = lambda xs: F.transform(xs, lambda x, k: F.struct(x["start"], x["end"], x["match"], k.cast("long").alias("k")))
+        return numbered(let(let(pairs, _sums), spans))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    return F.when(
-        text.rlike(pattern), let(hits, lambda m: fold(F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda a, b: F.struct(a.alias("match"), b.alias("gap")))))
-    ).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,match:string,k:bigint>>)"))
+    return F.when(text.rlike(pattern), let(hits, placed).cast(SPANS)).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
 def _erfc(x: Column) -> Column:
@@ -151,20 +171,24 @@ def _spans(found: Column, kind: int) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
+def _without(text: Column, values: Column) -> Column:
+    """The text with TAKEN in place of each character of the base spans of kind assign, whose values are given."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)), F.split(text, ASSIGN, -1)
+    masked = F.zip_with(hits, values, lambda h, v: F.when(F.length(v) >= 6, F.repeat(F.lit(TAKEN), F.length(h))).otherwise(h))
+    joined = F.array_join(F.zip_with(gaps, masked, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    return F.when(F.size(values) > 0, joined).otherwise(text)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, base, candidates): base spans in order; candidates with octave and p-value. No texts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(docs["text"], F.lit(""))
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assign = let(values, lambda v: F.filter(matches(text, ASSIGN), lambda m: F.length(F.element_at(v, (m["k"] + 1).cast("int"))) >= 6))
-    rows = docs.select(
-        "doc_id",
-        _spans(assign, 0).alias("_assign"),
-        _spans(matches(text, ACCESS), 1).alias("_access"),
-        _spans(matches(text, HEX), 2).alias("_hex"),
-        F.filter(matches(text, CANDIDATE), lambda m: encoding(m["match"]).isNotNull()).alias("_runs"),
-    )
-    rows = rows.select("doc_id", F.array_sort(F.concat("_assign", "_access", "_hex")).alias("base"), "_runs")
-    base = F.col("base")
+    assign = let(values, lambda v: F.filter(matches(text, ASSIGN), lambda m: F.length(F.get(v, m["k"].cast("int"))) >= 6))
+    rows = docs.select("doc_id", text.alias("_text"), values.alias("_values"), assign.alias("_found"))
+    # A candidate that meets a base span is none. One that meets hex or access holds it whole, as its characters include theirs.
+    free = let(_without(F.translate("_text", TAKEN, " "), F.col("_values")), lambda t: matches(t, CANDIDATE))
+    alone = lambda m: encoding(m["match"]).isNotNull() & ~m["match"].rlike(HEX) & ~m["match"].rlike(ACCESS)
+    base = F.concat(_spans(F.col("_found"), 0), _spans(matches(F.col("_text"), ACCESS), 1), _spans(matches(F.col("_text"), HEX), 2))
 
     def tested(m: Column) -> Column:
         code = encoding(m["match"])
@@ -176,27 +200,37 @@ def scanned(docs: DataFrame) -> DataFrame:
             F.greatest(randomness(symbols(m["match"], code), k), F.lit(1e-24)).alias("p"),
         )
 
-    alone = F.filter("_runs", lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select("doc_id", "base", F.transform(alone, tested).alias("candidates"))
+    return rows.select("doc_id", F.array_sort(base).alias("base"), F.transform(F.filter(free, alone), tested).alias("candidates"))
+
+
+def least_reported(steps: dict[int, int]) -> float:
+    """The p-value above which candidates of one octave are reported; steps: how many have -log10(p) * STEPS in each step."""
+    everything, below, rejected = sum(steps.values()), 0, 0.0
+    for s in sorted(steps, reverse=True):
+        below += steps[s]
+        edge = 10 ** (-s / STEPS)  # no p-value of this step is larger
+        if edge <= FALSE_DISCOVERY * below / everything:
+            rejected = edge
+    # Two standard errors are allowed, so that what is random among few candidates is not thrown out by chance.
+    high = sum(n for s, n in steps.items() if s < HALF)
+    random = 2 * (high + 2 * (high + 1) ** 0.5)
+    clean = 1.0
+    for s in sorted(steps):
+        above = sum(n for t, n in steps.items() if t <= s)
+        edge = 10 ** (-(s + 1) / STEPS)  # all p-values of this and lower steps are larger
+        if above - random * (1 - edge) <= FALSE_REPORTS * above:
+            clean = edge
+    return max(rejected, clean)
 
 
 def thresholds(rows: DataFrame) -> dict[int, float]:
-    """For each octave of length, the largest p-value that the false-discovery rule calls not random."""
+    """For each octave of length, the p-value above which candidates are reported."""
     step = F.least(F.floor(-F.log10("c.p") * STEPS), F.lit(MOST)).cast("int")
     counts = rows.select(F.explode("candidates").alias("c")).groupBy(F.col("c.octave").alias("octave"), step.alias("step")).count()
     by: dict[int, dict[int, int]] = {}
     for r in counts.collect():  # at most MOST + 1 numbers for each of some twenty octaves
         by.setdefault(r["octave"], {})[r["step"]] = r["count"]
-    out = {}
-    for octave, steps in by.items():
-        below, everything, limit = 0, sum(steps.values()), 0.0
-        for s in sorted(steps, reverse=True):
-            below += steps[s]
-            edge = 10 ** (-s / STEPS)  # no p-value of this step is larger
-            if edge <= FALSE_DISCOVERY * below / everything:
-                limit = edge
-        out[octave] = limit
-    return out
+    return {octave: least_reported(steps) for octave, steps in by.items()}
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
