@@ -1,10 +1,10 @@
 """Operator 4: mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
-Each source's documents are shuffled by a digest of their id and laid end to end; the stream is
-cut into blocks of ``block`` words. Slot i of the mix has the golden-ratio point frac(i * phi),
-which falls into one source's share of the unit interval; the k-th slot of a source takes its k-th
-block, going round the stream again after its end. A source's last slot is cut so that its words
-come to its target, to the word.
+Each source's documents are shuffled by a digest of their id and laid end to end; the stream is cut into blocks
+of equally many words, some 65,000 to a mix of any size (``SLOTS``). Slot i of the mix has the golden-ratio point
+frac(i * phi); the source in whose share of the unit interval it falls gets the slot. The k-th slot of a source takes
+its k-th block, going round the stream again after its end. How much is taken of a source is what the points say, within
+a few blocks of its target. Only slots after ``LIMIT`` rounds of a stream stay empty, as no document may come more often.
 
 Defined results: sources rank by code point with null last and weigh 3, 1, 2, repeating; a null text
 has no words; documents without words take nothing; a source without words has target 0; rows that
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD, compact, durable, hex_digits, running_total, word_count
+from quirework.llm.common import WORD, compact, durable, hex_digits, one_of_each, raw_print, running_total, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -29,6 +29,8 @@ PHI = (math.sqrt(5) - 1) / 2
 PHI_20 = (2**20 * PHI) % 1
 #: The unit interval's cells, by which slots find their source with an equi-join.
 CELLS = 4096
+#: Slots that the mix is cut into, about, and more of them for each source.
+SLOTS, SLOTS_EACH = 2**16, 64
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -66,117 +68,110 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def schedule(sources: DataFrame, block: int) -> DataFrame:
-    """The mix's slots in order: (slot, source_key, block, words): which block, and how many of its words."""
-    spark = sources.sparkSession
-    size, quota = F.col("source_size"), F.floor("target").cast("long")
-    plan = (
-        sources.where("source_size > 0 and target >= 1")
-        .withColumn("_blocks", F.ceil(size / block).cast("long"))
-        .withColumn("_rest", quota % size)
-        .withColumn("_slots", F.floor(quota / size).cast("long") * F.col("_blocks") + F.ceil(F.col("_rest") / block))
-        .select("source_key", "source_size", "_blocks", "_rest", F.col("_slots").cast("long"))
-    )
+def planned(sources: DataFrame) -> tuple[DataFrame, int, int]:
+    """Sources with words to give, with their number of blocks and their share of the unit interval; a block's words; slots."""
+    quota = F.floor("target").cast("long")
+    plan = sources.where("source_size > 0 and target >= 1").withColumn("_quota", quota)
+    total, count = plan.agg(F.coalesce(F.sum("_quota"), F.lit(0)), F.count(F.lit(1))).first()
+    block = max(1, -(-total // (SLOTS + SLOTS_EACH * count)))
     run = Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, -1)
-    plan = plan.withColumn("_from", F.coalesce(F.sum("_slots").over(run), F.lit(0)))
-    plan = durable(plan)
-    slots = plan.agg(F.sum("_slots")).first()[0] or 0
-    share = plan.withColumn("_lo", F.col("_from") / F.lit(max(slots, 1))).withColumn(
-        "_hi", (F.col("_from") + F.col("_slots")) / F.lit(max(slots, 1))
+    plan = plan.withColumn("_from", F.coalesce(F.sum("_quota").over(run), F.lit(0)))
+    plan = plan.select(
+        "source_key",
+        F.ceil(F.col("source_size") / block).cast("long").alias("blocks"),
+        (F.col("_from") / F.lit(max(total, 1))).alias("_lo"),
+        ((F.col("_from") + F.col("_quota")) / F.lit(max(total, 1))).alias("_hi"),
     )
-    cells = share.withColumn(
+    return durable(plan), block, -(-total // block)
+
+
+def schedule(plan: DataFrame, slots: int) -> DataFrame:
+    """The mix's slots that are filled: (slot, source_key, k), k counting the source's slots from 0."""
+    cells = plan.withColumn(
         "_cell",
         F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))),
-    ).select("source_key", "_lo", "_hi", "_cell")
+    )
     high, low = F.shiftright(F.col("id"), 20), F.col("id").bitwiseAND(2**20 - 1)
     point = (high * F.lit(PHI_20) + low * F.lit(PHI)) % 1
-    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("_u"))
+    points = plan.sparkSession.range(slots).select(F.col("id").alias("slot"), point.alias("_u"))
     points = points.withColumn("_cell", F.floor(F.col("_u") * CELLS))
     drawn = points.join(cells, "_cell").where("_u >= _lo and _u < _hi")
-    bits = max(6, slots.bit_length() // 2 - 2)
-    drawn = drawn.select("slot", "source_key", F.shiftright("slot", bits).alias("_chunk"), F.lit(1).alias("_one"))
-    ranked = durable(running_total(drawn, "source_key", "_chunk", ["slot"], "_one", "_k").select("slot", "source_key", "_k"))
-    # The points give each source its share to within a few slots: what is over is left out, what lacks comes last.
-    counts = ranked.groupBy("source_key").agg(F.count(F.lit(1)).alias("_drawn"))
-    lacking = (
-        plan.join(counts, "source_key", "left")
-        .withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
-        .where("_drawn < _slots")
-        .withColumn("_k", F.explode(F.sequence("_drawn", F.col("_slots") - 1)))
-        .select((F.lit(slots) + F.col("_from") + F.col("_k")).alias("slot"), "source_key", "_k")
-    )
-    whole = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    last = F.col("_rest") - F.floor((F.col("_rest") - 1) / block) * block
-    return (
-        ranked.unionByName(lacking)
-        .join(plan, "source_key")
-        .where("_k < _slots")
-        .withColumn("block", F.col("_k") % F.col("_blocks"))
-        .withColumn("words", F.when((F.col("_k") == F.col("_slots") - 1) & (F.col("_rest") > 0), last).otherwise(whole))
-        .select("slot", "source_key", "block", F.col("words").cast("long"))
-    )
+    k = F.row_number().over(Window.partitionBy("source_key").orderBy("slot")) - 1
+    return drawn.select("slot", "source_key", "blocks", k.cast("long").alias("k")).where(F.col("k") < F.col("blocks") * LIMIT).drop("blocks")
+
 
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every document with its place in its source's stream and the words taken of it; the schedule.
 
-def mix(docs: DataFrame, block: int = 1024) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, source, first_word (its place in its stream)."""
+    The k-th slot takes the k-th block, so a stream is taken whole some times and once more up to some word.
+    """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = compact(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    words = word_count(docs["text"]).alias("size")
+    sizes = compact(docs.select(docs["doc_id"], docs["source"], words, raw_print(docs, "source").alias("print")))
     digits = hex_digits(sizes.count())
     sources = durable(source_targets(sizes))
+    plan, block, slots = planned(sources)
+    filled = durable(schedule(plan, slots))
+    given = plan.join(filled.groupBy("source_key").agg(F.count(F.lit(1)).alias("_given")), "source_key", "left")
+    given = given.select("source_key", "blocks", F.coalesce("_given", F.lit(0)).alias("_given"))
+    told = durable(
+        sources.join(given, "source_key", "left").select(
+            "source_key", F.col("source").alias("_of"), "source_size", "target", "blocks",
+            F.coalesce(F.floor(F.col("_given") / F.col("blocks")), F.lit(0)).alias("_rounds"),
+            F.coalesce(F.least(F.col("_given") % F.col("blocks") * block, "source_size"), F.lit(0)).alias("_rest"),
+        )
+    )
     placed = (
-        sizes.join(sources, sizes["source"].eqNullSafe(sources["source"]))
-        .select("doc_id", sizes["source"], "size", "source_key", "source_size", "target", digest.alias("_digest"))
+        sizes.join(told, sizes["source"].eqNullSafe(told["_of"]))
+        .drop("_of")
+        .withColumn("_digest", digest)
         .withColumn("_chunk", F.substring("_digest", 1, digits))
     )
-    order = ["_digest", F.col("doc_id").asc_nulls_first(), "size"]
-    placed = durable(running_total(placed, "source_key", "_chunk", order, "size", "first_word").drop("_digest", "_chunk"))
-    # Rows that repeat without words have all else in common.
-    placed = placed.withColumn("_row", F.monotonically_increasing_id())
-    used = (
-        schedule(sources, block)
-        .groupBy("source_key", "block")
-        .agg(F.collect_list("words").alias("_words"))
-    )
-    spread = F.sequence(F.floor(F.col("first_word") / block), F.floor((F.col("first_word") + F.col("size") - 1) / block))
-    pieces = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, spread)))
-    start = F.greatest(F.col("first_word"), F.col("block") * block)
-    end = F.least(F.col("first_word") + F.col("size"), (F.col("block") + 1) * block)
-    inside = F.aggregate(
-        "_words",
-        F.lit(0).cast("long"),
-        lambda acc, w: acc + F.greatest(F.lit(0).cast("long"), F.least(end, F.col("block") * block + w) - start),
-    )
-    taken = pieces.join(used, ["source_key", "block"], "left").withColumn("_taken", F.coalesce(inside, F.lit(0)))
-    keys = ["doc_id", "size", "source_size", "target", "source", "source_key", "first_word", "_row"]
-    return taken.groupBy(*keys).agg(F.sum("_taken").cast("long").alias("taken")).select(
-        "doc_id", "size", "source_size", "target", "taken", "source", "first_word"
-    )
+    order = ["_digest", F.col("doc_id").asc_nulls_first(), "size", "print"]
+    placed = running_total(placed, "source_key", "_chunk", order, "size", "first_word").drop("_digest", "_chunk")
+    once_more = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("_rest") - F.col("first_word")))
+    placed = placed.withColumn("_more", once_more).withColumn("_block", F.floor(F.col("first_word") / block))
+    return durable(placed.withColumn("taken", (F.col("_rounds") * F.col("size") + F.col("_more")).cast("long"))), filled
 
 
-def mixed_documents(docs: DataFrame, block: int = 1024) -> DataFrame:
-    """The mix as documents: each comes as often as it is taken; one per source may come cut to its first words.
+def mix(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, source, first_word and first_slot.
 
-    A text that is cut has its words joined by single spaces, and n_chars, where there is such a column,
-    is its new length. Rows that repeat one doc_id with as many words share the largest of their amounts.
+    first_word is its place in its source's stream; first_slot is the slot of the mix where it first comes, null if it does not.
     """
-    amounts = (
-        mix(docs, block)
-        .where("taken > 0")
-        .groupBy(F.col("doc_id").alias("__qw_id"), F.col("source").alias("__qw_source"), F.col("size").alias("__qw_size"))
-        .agg(F.max("taken").alias("__qw_taken"))
-    )
-    sized = docs.withColumn("__qw_words", word_count(docs["text"]))
-    match = (
-        sized["doc_id"].eqNullSafe(amounts["__qw_id"])
-        & sized["source"].eqNullSafe(amounts["__qw_source"])
-        & (sized["__qw_words"] == amounts["__qw_size"])
-    )
-    whole = F.floor(F.col("__qw_taken") / F.col("__qw_size"))
-    rest = F.col("__qw_taken") % F.col("__qw_size")
-    amount = F.concat(
-        F.array_repeat(F.col("__qw_size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array())
+    placed, filled = _placed(docs)
+    slots = filled.select(F.col("source_key").alias("_key"), F.col("k").alias("_k"), F.col("slot").alias("first_slot"))
+    found = placed.join(slots, (placed["source_key"] == slots["_key"]) & (placed["_block"] == slots["_k"]) & (placed["taken"] > 0), "left")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "first_word", "first_slot")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents, in its order: each comes at the slot of its first word, as often as it is taken.
+
+    One per source may come cut to its first words. A text that is cut has its words joined by single spaces, and
+    n_chars, where there is such a column, is its new length. Of rows that are alike in doc_id, text and source each has
+    its own places, but all show the other columns of one of them. Documents without words do not come.
+    """
+    placed, filled = _placed(docs)
+    part = lambda turn, words: F.struct(turn.cast("long").alias("turn"), words.cast("long").alias("words"))
+    rounds = F.transform(F.sequence(F.lit(1), "_rounds"), lambda t: part(t - 1, F.col("size")))
+    parts = F.concat(
+        F.when(F.col("_rounds") > 0, rounds).otherwise(F.array().cast("array<struct<turn:bigint,words:bigint>>")),
+        F.when(F.col("_more") > 0, F.array(part(F.col("_rounds"), F.col("_more")))).otherwise(F.array()),
     )
-    out = sized.join(amounts, match).withColumn("__qw_part", F.explode(amount))
+    copies = placed.where("taken > 0").withColumn("_part", F.explode(parts))
+    copies = copies.withColumn("k", F.col("_part.turn") * F.col("blocks") + F.col("_block")).join(filled, ["source_key", "k"])
+    copies = durable(
+        copies.select(
+            F.col("doc_id").alias("__qw_id"), F.col("print").alias("__qw_print"), F.col("slot").alias("__qw_slot"),
+            F.col("first_word").alias("__qw_first"), F.col("_part.words").alias("__qw_part"), F.col("size").alias("__qw_size"),
+        )
+    )
+    named = placed.select("doc_id", "print", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "print").alias("name"))
+    once = one_of_each(docs, named, "name", "source")
+    sized = once.withColumn("__qw_own", raw_print(once, "source"))
+    match = sized["doc_id"].eqNullSafe(copies["__qw_id"]) & (sized["__qw_own"] == copies["__qw_print"])
+    out = sized.join(copies, match)
     words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__qw_part").cast("int"))
     cut = F.col("__qw_part") < F.col("__qw_size")
     out = out.withColumn("__qw_text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("text")))
@@ -189,4 +184,4 @@ def mixed_documents(docs: DataFrame, block: int = 1024) -> DataFrame:
             length = F.length("__qw_text").cast(field.dataType)
             column = F.when(cut, length).otherwise(F.col("n_chars")).alias("n_chars")
         picked.append(column)
-    return out.select(*picked)
+    return out.sort("__qw_slot", "__qw_first", F.col("__qw_id").asc_nulls_last(), "__qw_print").select(*picked)

@@ -32,7 +32,8 @@ def op3_packing(spark, sf_dir):
 
 
 def op4_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    columns = ("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    return mixing.mix(table(spark, sf_dir, "documents")).select(*columns)
 
 
 def op5_pii(spark, sf_dir):
@@ -105,16 +106,39 @@ ORACLES = {
             SELECT source, k, source_size, least(
                        coalesce((SELECT arg_min(level, (r, k)) FROM lvl WHERE level <= r), 0.0) * w, c::DOUBLE) AS target
             FROM lvl
+        ), quotas AS (
+            SELECT *, floor(target)::BIGINT AS quota FROM tgt
+        ), sums AS (
+            SELECT greatest(1, ceil(sum(quota) / (65536 + 64 * count(*))::DOUBLE))::BIGINT AS block, sum(quota)::BIGINT AS total
+            FROM quotas WHERE source_size > 0 AND target >= 1
+        ), plan AS (
+            SELECT k, ceil(source_size / block::DOUBLE)::BIGINT AS blocks, block,
+                   coalesce(sum(quota) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / total::DOUBLE AS lo,
+                   (sum(quota) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE / total::DOUBLE AS hi
+            FROM quotas, sums WHERE source_size > 0 AND target >= 1
+        ), points AS (
+            SELECT i AS slot, ((i >> 20)::DOUBLE * GOLDEN_20::DOUBLE + (i & 1048575)::DOUBLE * GOLDEN::DOUBLE) % 1 AS u
+            FROM range((SELECT ceil(total / block::DOUBLE)::BIGINT FROM sums)) AS r(i)
+        ), drawn AS (
+            SELECT slot, plan.k, blocks, row_number() OVER (PARTITION BY plan.k ORDER BY slot) - 1 AS nth
+            FROM points JOIN plan ON u >= lo AND u < hi
+        ), filled AS (
+            SELECT * FROM drawn WHERE nth < 2 * blocks
+        ), given AS (
+            SELECT plan.k, plan.block, count(slot) // any_value(plan.blocks) AS rounds,
+                   count(slot) % any_value(plan.blocks) * any_value(plan.block) AS rest
+            FROM plan LEFT JOIN filled ON plan.k = filled.k GROUP BY plan.k, plan.block
         ), placed AS (
-            SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target)::BIGINT AS quota,
+            SELECT s.doc_id, s.size, t.source_size, t.target, t.k,
                    coalesce(sum(s.size) OVER (PARTITION BY t.k ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id NULLS FIRST,
                        s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_word
             FROM sizes s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source
+        ), amounts AS (
+            SELECT placed.*, block,
+                   (coalesce(rounds, 0) * size + greatest(0, least(size, least(coalesce(rest, 0), source_size) - first_word)))::BIGINT AS taken
+            FROM placed LEFT JOIN given ON placed.k = given.k
         )
-        SELECT doc_id, size::BIGINT AS size, source_size, target,
-               (CASE WHEN size = 0 OR source_size = 0 THEN 0 ELSE
-                   (quota // source_size) * size
-                   + greatest(0, least(size, quota % source_size - first_word)) END)::BIGINT AS taken
-        FROM placed
-    """,
+        SELECT doc_id, size::BIGINT AS size, source_size, target, taken, filled.slot::BIGINT AS first_slot
+        FROM amounts LEFT JOIN filled ON amounts.k = filled.k AND filled.nth = first_word // block AND taken > 0
+    """.replace("GOLDEN_20", repr(mixing.PHI_20)).replace("GOLDEN", repr(mixing.PHI)),
 }
