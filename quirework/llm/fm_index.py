@@ -59,19 +59,24 @@ class FMIndex:
         return both[: len(lo)] + base, both[len(lo) :] + base
 
 
-def repeated(index: FMIndex, symbols: np.ndarray, begins: np.ndarray, length: int):
-    """Matching statistics cut at ``length``: which patterns symbols[b : b + length] occur twice, and their intervals.
+def matching_statistics(index: FMIndex, symbols: np.ndarray, begins: np.ndarray, length: int):
+    """(matched, lo, hi) of each pattern symbols[b : b + length], which the index holds itself.
 
-    (which, lo, hi); a pattern whose interval has shrunk to one suffix is dropped, as no other holds it.
+    Backward search takes symbols in front of the last one while the match stands elsewhere too; matched is how
+    many it took, ``length`` at most, and lo, hi is the interval of the last step that another place shares.
     """
-    which = np.arange(len(begins))
+    matched = np.zeros(len(begins), np.int64)
     tail = symbols[begins + length - 1]
     lo, hi = index.starts[tail], index.starts[tail + 1]
-    for back in range(length - 2, -1, -1):
-        alive = hi - lo > 1
-        which, lo, hi = which[alive], lo[alive], hi[alive]
+    which, low, high = np.arange(len(begins)), lo, hi
+    lo, hi = lo.copy(), hi.copy()
+    for back in range(length - 1, -1, -1):
+        if back < length - 1:
+            low, high = index.step(symbols[begins[which] + back], low, high)
+        alive = high - low > 1
+        which, low, high = which[alive], low[alive], high[alive]
         if not len(which):
             break
-        lo, hi = index.step(symbols[begins[which] + back], lo, hi)
-    alive = hi - lo > 1
-    return which[alive], lo[alive], hi[alive]
+        matched[which] += 1
+        lo[which], hi[which] = low, high
+    return matched, lo, hi

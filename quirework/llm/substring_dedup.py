@@ -2,17 +2,18 @@
 
 A window is 13 consecutive words. Each has an anchor, the least hash of its runs of five words, so equal
 windows have equal anchors. Anchors that only one document has are left; maximal runs of windows with one
-shared anchor are the segments. Equal segments are collapsed, then dealt to shards by anchor: a shard holds
-every occurrence of each of its windows. There a compressed FM-index is built over the segments' words, all
-windows are streamed through it by backward search over its wavelet matrix, and windows that match in full
-get the smallest doc_id of their interval. Words covered by a window with a smaller doc_id are removed.
+shared anchor are the segments, and they are dealt to shards by anchor: a shard holds every occurrence of each of
+its windows. There a compressed FM-index is built over the words of all its documents' segments, and each segment
+is streamed through it: backward search over the wavelet matrix gives matching statistics, and a window that is
+matched in full gets the smallest doc_id of its interval. Words covered by a window that an earlier document has go.
 
-An anchor with more than ``DENSE`` distinct segments has them cut into single windows, which are collapsed
-and dealt by their own hash, so no shard grows with a hot passage.
+Shards hold ``SHARD_BYTES`` or so. An anchor with more than ``HOT_BYTES`` of segments has shards of its own, as
+many as it needs, to which its segments are dealt by document. Each finds the first document of its windows; one
+row for each window and shard is then matched in a second index, and what that says goes back to the shards.
 
 Defined results: a null text has no words; empty texts keep nothing and digest the empty string; a null
-doc_id is later than all others; documents that share a doc_id are not earlier than each other; an empty
-table gives an empty table. Extra columns are ignored, whatever their names.
+doc_id is later than all others, and two of them are not earlier than each other; nor are documents that share a
+doc_id; an empty table gives an empty table. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import discard, durable, in_small_batches, release
-from quirework.llm.fm_index import FMIndex, repeated
+from quirework.llm.common import carried, discard, durable, in_small_batches, raw_print, release, restored
+from quirework.llm.fm_index import FMIndex, matching_statistics
 
 WINDOW = 13
 GRAM = 5
-DENSE = 20_000
-#: Bytes of segments in a shard, about.
-SHARD_BYTES = 1_000_000
+#: Bytes of segments in a shard, about, and those from which on an anchor has shards of its own.
+SHARD_BYTES, HOT_BYTES = 1_000_000, 250_000
+#: No doc_id is larger. Where it stands for "none" a flag says so.
 LAST = 2**63 - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -65,27 +66,42 @@ def window_anchors(words: list[bytes], window: int) -> np.ndarray:
     return g.view(np.int64)
 
 
-def _doc_anchors(docs: DataFrame, window: int) -> DataFrame:
+def _anchors(docs: DataFrame, window: int, key: str) -> DataFrame:
+    """(anchor, key) of each document's anchors, each once; key is one of its columns."""
+
     def scan(batches):
         for batch in batches:
-            found, owners = [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                anchors = np.unique(window_anchors(_words(text), window))
-                found.append(anchors)
-                owners.append(np.full(len(anchors), doc_id, np.int64))
+            found = [np.unique(window_anchors(_words(text), window)) for text in batch["text"]]
             if found:
-                yield pd.DataFrame({"anchor": np.concatenate(found), "doc_id": np.concatenate(owners)})
+                owners = np.repeat(batch["key"].to_numpy(), [len(x) for x in found])
+                yield pd.DataFrame({"anchor": np.concatenate(found), "key": owners})
+
+    return docs.select(F.col(key).alias("key"), "text").mapInPandas(scan, "anchor long, key long")
+
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(scan, "anchor long, doc_id long")
+def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(row, anchors): those anchors of a document that another document has too."""
+    known = _anchors(docs.where("not no_id"), window, "doc_id").groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("z"))
+    unknown = _anchors(docs.where("no_id"), window, "doc_id").select("anchor").distinct().withColumn("n", F.lit(True))
+    shared = durable(known.join(unknown, "anchor", "left").where("a < z or n").select("anchor"))
+    # Both sides are plain: Spark can split the rows of an anchor that many documents have.
+    both = _anchors(docs, window, "row").join(shared, "anchor", "left_semi")
+    flagged = durable(both.groupBy(F.col("key").alias("row")).agg(F.collect_set("anchor").alias("anchors")))
+    discard(shared)
+    return flagged
+
+
+SEGMENT = "doc_id long, no_id boolean, row long, start long, anchor long, seg binary"
 
 
 def _segments(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, print, start, anchor, seg): maximal runs of windows with one shared anchor."""
+    """Maximal runs of windows with one shared anchor."""
 
     def scan(batches):
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "print", "start", "anchor", "seg")}
-            for doc_id, mark, text, shared in zip(batch["doc_id"], batch["print"], batch["text"], batch["anchors"], strict=True):
+            rows: dict[str, list] = {k.split()[0]: [] for k in SEGMENT.split(", ")}
+            ids = zip(batch["doc_id"], batch["no_id"], batch["row"], strict=True)
+            for (doc_id, no_id, row), text, shared in zip(ids, batch["text"], batch["anchors"], strict=True):
                 words = _words(text)
                 anchors = window_anchors(words, window)
                 hot = np.isin(anchors, np.asarray(shared, np.int64))
@@ -104,159 +120,184 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
                 rows["start"] += begins.tolist()
                 rows["anchor"] += anchors[begins].tolist()
                 rows["doc_id"] += [doc_id] * len(begins)
-                rows["print"] += [mark] * len(begins)
+                rows["no_id"] += [no_id] * len(begins)
+                rows["row"] += [row] * len(begins)
             yield pd.DataFrame(rows)
 
-    return docs.select("doc_id", "print", "text", "anchors").mapInPandas(
-        scan, "doc_id long, print long, start long, anchor long, seg binary"
-    )
+    return docs.select("doc_id", "no_id", "row", "text", "anchors").mapInPandas(scan, SEGMENT)
+
+
+class Shard:
+    """All windows of some segments, matched against each other through one FM-index."""
+
+    def __init__(self, segs: list[bytes], ids: np.ndarray, known: np.ndarray, window: int):
+        number: dict[bytes, int] = {}
+        lengths, symbols = [], []
+        for seg in segs:
+            words = seg.split(b" ")
+            lengths.append(len(words))
+            symbols += [number.setdefault(w, len(number) + 1) for w in words]
+            symbols.append(0)
+        s, lengths = np.array(symbols, np.int64), np.array(lengths, np.int64)
+        counts = lengths - window + 1
+        before = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        opens = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+        #: Of each window its segment and its place there.
+        self.owner = np.repeat(np.arange(len(segs)), counts)
+        self.place = np.arange(counts.sum()) - before[self.owner]
+        index = FMIndex(s, len(number) + 1, window)
+        matched, lo, hi = matching_statistics(index, s, opens[self.owner] + self.place, window)
+        #: The first document that has the window, whether it has an id, and the window's name within the shard.
+        ids = np.where(known, ids, LAST)
+        self.first, self.known, self.name = ids[self.owner], known[self.owner], -1 - np.arange(len(self.owner))
+        which = np.flatnonzero(matched == window)
+        if len(which):
+            holder = np.repeat(np.arange(len(segs)), lengths + 1)[index.order]
+            ranges, back = np.unique(lo[which], return_inverse=True)
+            ends = np.zeros(len(ranges), np.int64)
+            ends[back] = hi[which]
+            edges = np.stack([ranges, ends], 1).ravel()
+            self.first[which] = np.minimum.reduceat(np.append(ids[holder], LAST), edges)[::2][back]
+            self.known[which] = np.maximum.reduceat(np.append(known[holder], False), edges)[::2][back]
+            self.name[which] = lo[which]
+
+
+HITS = "doc_id long, no_id boolean, row long, begin long, end long"
+
+
+def _hits(part: pd.DataFrame, shard: Shard, window: int) -> pd.DataFrame:
+    """The intervals of words whose windows have a first document that is earlier than their own; part's segments come first."""
+    within = shard.owner < len(part)
+    owner, place = shard.owner[within], shard.place[within]
+    own, no_id = part["doc_id"].to_numpy(np.int64)[owner], part["no_id"].to_numpy(bool)[owner]
+    late = np.flatnonzero(shard.known[within] & (no_id | (shard.first[within] < own)))
+    runs = np.flatnonzero(np.append(True, (np.diff(late) != 1) | (np.diff(owner[late]) != 0)))[: len(late)]
+    last = late[np.append(runs[1:], len(late)) - 1] if len(late) else late
+    opens = late[runs] if len(late) else late
+    held = part.iloc[owner[opens]]
+    start = held["start"].to_numpy(np.int64)
+    return pd.DataFrame(
+        {
+            "doc_id": held["doc_id"].to_numpy(np.int64), "no_id": held["no_id"].to_numpy(bool), "row": held["row"].to_numpy(np.int64),
+            "begin": start + place[opens], "end": start + place[last] + window,
+        }
+    )
+
+
+def _shard_of(part: pd.DataFrame, window: int) -> Shard:
+    return Shard(part["seg"].tolist(), part["doc_id"].to_numpy(np.int64), ~part["no_id"].to_numpy(bool), window)
+
+
+def cold_hits(segments: DataFrame, shards: int, window: int) -> DataFrame:
+    """Intervals of segments that are dealt to shards by their anchor."""
 
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        return _hits(part, _shard_of(part, window), window)
 
-def _single_windows(segments: DataFrame, window: int) -> DataFrame:
-    """The same windows, one to a segment; the anchor is the window's own hash."""
+    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(search, HITS)
 
-    def cut(batches):
-        import xxhash
 
-        for batch in batches:
-            rows = []
-            for doc_id, mark, start, seg in zip(batch["doc_id"], batch["print"], batch["start"], batch["seg"], strict=True):
-                words = seg.split(b" ")
-                for k in range(len(words) - window + 1):
-                    own = b" ".join(words[k : k + window])
-                    rows.append((doc_id, mark, start + k, np.uint64(xxhash.xxh64_intdigest(own)).astype(np.int64), own))
-            yield pd.DataFrame(rows, columns=["doc_id", "print", "start", "anchor", "seg"])
-
-    return segments.select("doc_id", "print", "start", "seg").mapInPandas(
-        cut, "doc_id long, print long, start long, anchor long, seg binary"
-    )
-
-
-def shard_firsts(segs: list[bytes], lows: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each segment, the smallest doc_id that has each of its windows. lows: each segment's smallest doc_id."""
-    number: dict[bytes, int] = {}
-    lengths, symbols = [], []
-    for seg in segs:
-        words = seg.split(b" ")
-        lengths.append(len(words))
-        symbols += [number.setdefault(w, len(number) + 1) for w in words]
-        symbols.append(0)
-    s = np.array(symbols, np.int64)
-    lengths = np.array(lengths, np.int64)
-    opens = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    counts = lengths - window + 1
-    owner = np.repeat(np.arange(len(segs)), counts)
-    begins = np.repeat(opens - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    first = lows[owner]
-    index = FMIndex(s, len(number) + 1, window)
-    which, lo, hi = repeated(index, s, begins, window)
-    if len(which):
-        of_suffix = lows[np.repeat(np.arange(len(segs)), lengths + 1)[index.order]]
-        ranges, back = np.unique(lo, return_inverse=True)
-        ends = np.zeros(len(ranges), np.int64)
-        ends[back] = hi
-        edges = np.stack([ranges, ends], 1).ravel()
-        least = np.minimum.reduceat(np.append(of_suffix, LAST), edges)[::2]
-        first[which] = least[back]
-    return np.split(first, np.cumsum(counts)[:-1])
-
-
-def window_firsts(distinct: DataFrame, shards: int, window: int) -> DataFrame:
-    """(key, firsts) for segments of which some window is first in a document before the segment's last."""
+def _window_words(seg: bytes, place: int, window: int) -> bytes:
+    return b" ".join(seg.split(b" ")[place : place + window])
 
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        # The windows of a segment that has its anchor alone are nowhere else: its own smallest doc_id is first.
-        alone = ~part["anchor"].duplicated(keep=False)
-        single, part = part[alone & (part["lo"] < part["hi"])], part[~alone]
-        found = [
-            (key, np.full(seg.count(b" ") + 2 - window, lo))
-            for key, seg, lo in zip(single["key"], single["seg"], single["lo"], strict=True)
-        ]
-        if len(part):
-            firsts = shard_firsts(part["seg"].tolist(), part["lo"].to_numpy(np.int64), window)
-            found += [(key, f) for key, f, hi in zip(part["key"], firsts, part["hi"], strict=True) if (f < hi).any()]
-        return pd.DataFrame(found, columns=["key", "firsts"])
-
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(search, "key binary, firsts array<long>")
+
+FOUND = "anchor long, salt long, doc_id long, no_id boolean, seg binary"
+
+
+def hot_hits(segments: DataFrame, hot: DataFrame, shards_of: int, window: int) -> DataFrame:
+    """Intervals of segments of anchors that have shards of their own; hot: (anchor, shards)."""
+    salt = F.pmod(F.xxhash64("row", "start"), F.col("shards"))
+    dealt = durable(segments.join(hot, "anchor").withColumn("salt", salt).drop("shards"))
+
+    def gather(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        """Each window of the shard once, with the first document that has it there."""
+        shard = _shard_of(part, window)
+        _, at = np.unique(shard.name, return_index=True)
+        segs = part["seg"].tolist()
+        words = [_window_words(segs[o], p, window) for o, p in zip(shard.owner[at].tolist(), shard.place[at].tolist(), strict=True)]
+        return pd.DataFrame(
+            {"anchor": key[0], "salt": key[1], "doc_id": shard.first[at], "no_id": ~shard.known[at], "seg": words}
+        )
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        """The same rows, with the first document of all shards."""
+        shard = _shard_of(part, window)
+        return part[["anchor", "salt", "seg"]].assign(doc_id=shard.first, no_id=~shard.known)[[c.split()[0] for c in FOUND.split(", ")]]
+
+    def give_back(part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """Each window takes its document from the row that stands for it: both are matched in one index."""
+        segs = part["seg"].tolist() + told["seg"].tolist()
+        ids = np.concatenate([np.full(len(part), LAST), told["doc_id"].to_numpy(np.int64)])
+        known = np.concatenate([np.zeros(len(part), bool), ~told["no_id"].to_numpy(bool)])
+        return _hits(part, Shard(segs, ids, known, window), window)
+
+    found = durable(dealt.groupBy("anchor", "salt").applyInPandas(gather, FOUND))
+    by_words = found.withColumn("shard", F.pmod(F.xxhash64("seg"), F.lit(shards_of)))
+    settled = durable(by_words.groupBy("shard").applyInPandas(settle, FOUND))
+    hits = durable(dealt.groupBy("anchor", "salt").cogroup(settled.groupBy("anchor", "salt")).applyInPandas(give_back, HITS))
+    discard(dealt, found, settled)
+    return hits
 
 
 def covered_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, print, starts): the windows of a document that also start in an earlier one.
+    """(doc_id, no_id, row, intervals): the words of a document in windows that also start in an earlier one.
 
-    docs: doc_id (not null), print (tells rows of one doc_id apart) and text.
+    docs: doc_id, no_id (where it is set there is no doc_id), row (tells rows apart up to equal ones) and text.
     """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flagged = _shared_anchors(docs, window, tasks)
+    flagged = _shared_anchors(docs, window)
     release(spark)
-    segments = durable(_segments(docs.join(flagged, "doc_id"), window).withColumn("key", _key()))
+    segments = durable(_segments(docs.join(flagged, "row"), window))
     discard(flagged)
     release(spark)
-    distinct = durable(_collapsed(segments))
-    written = [segments, distinct]
-    release(spark)
-    dense = distinct.groupBy("anchor").count().where(F.col("count") > DENSE).select("anchor")
-    if dense.take(1):
-        dense = durable(dense)
-        cut = durable(_single_windows(segments.join(dense, "anchor", "left_semi"), window).withColumn("key", _key()))
-        segments = segments.join(dense, "anchor", "left_anti").unionByName(cut)
-        distinct = durable(distinct.join(dense, "anchor", "left_anti").unionByName(_collapsed(cut)))
-        written += [dense, cut, distinct]
-    size = distinct.agg(F.sum(F.length("seg"))).first()[0] or 0
-    firsts = durable(window_firsts(distinct, max(tasks, size // SHARD_BYTES), window))
+    length = F.length("seg").cast("long")
+    total = segments.agg(F.sum(length)).first()[0] or 0
+    sizes = segments.groupBy("anchor").agg(F.sum(length).alias("bytes"))
+    hot = sizes.where(F.col("bytes") > HOT_BYTES).select("anchor", F.ceil(F.col("bytes") / SHARD_BYTES).alias("shards"))
+    hot = durable(hot)
+    shards = total // SHARD_BYTES + 1
+    some = bool(hot.take(1))
+    cold = segments.join(hot, "anchor", "left_anti") if some else segments
+    hits = durable(cold_hits(cold, shards, window))
+    written = [segments, hot, hits]
+    if some:
+        written.append(hot_hits(segments, hot, shards, window))
+        hits = hits.unionByName(written[-1])
     release(spark)
-    hits = segments.select("doc_id", "print", "start", "key").join(firsts, "key")
-    starts = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i))
-    hits = hits.select("doc_id", "print", F.array_compact(starts).alias("starts")).where(F.size("starts") > 0)
-    covered = durable(hits.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    discard(firsts, *written)
+    # Rows that are alike in id and text share their intervals.
+    interval = F.struct("begin", "end")
+    covered = durable(hits.groupBy("doc_id", "no_id", "row").agg(F.collect_set(interval).alias("intervals")))
+    discard(*written)
     release(spark)
     return covered
 
 
-def _key():
-    return F.unhex(F.md5("seg"))
-
-
-def _shared_anchors(docs: DataFrame, window: int, tasks: int) -> DataFrame:
-    """(doc_id, anchors): those anchors of a document that another document has too."""
-    anchors = _doc_anchors(docs, window).repartition(tasks, "anchor")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    both = anchors.join(shared.select("anchor"), "anchor")
-    return durable(both.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")))
-
-
-def _collapsed(segments: DataFrame) -> DataFrame:
-    distinct = segments.groupBy("anchor", "seg").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    return distinct.withColumn("key", _key())
-
-
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+SCHEMA = "doc_id long, no_id boolean, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (kept words, joined by one space)."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    rows = carried(in_small_batches(docs), F.xxhash64(docs["doc_id"], raw_print(docs)).alias("row"), docs["text"])
     covered = covered_windows(rows, window)
 
     def clean(batches):
         for batch in batches:
             out = []
-            for doc_id, text, starts in zip(batch["doc_id"], batch["text"], batch["starts"], strict=True):
+            told = zip(batch["doc_id"], batch["no_id"], batch["text"], batch["begins"], batch["ends"], strict=True)
+            for doc_id, no_id, text, begins, ends in told:
                 words = _words(text)
                 drop = np.zeros(len(words) + 1, np.int64)
-                if starts is not None and len(starts):
-                    at = np.asarray(starts, np.int64)
-                    np.add.at(drop, at, 1)
-                    np.add.at(drop, at + window, -1)
+                if begins is not None:
+                    np.add.at(drop, np.asarray(begins, np.int64), 1)
+                    np.add.at(drop, np.asarray(ends, np.int64), -1)
                 gone = np.cumsum(drop[:-1]) > 0
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
                 joined = b" ".join(kept)
                 digest = hashlib.sha256(joined).hexdigest()
-                out.append((None if doc_id == LAST else doc_id, len(words), len(words) - len(kept), digest, joined.decode("utf-8", "surrogatepass")))
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-            yield frame.astype({"doc_id": "Int64"})
+                out.append((doc_id, no_id, len(words), len(words) - len(kept), digest, joined.decode("utf-8", "surrogatepass")))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    joined = rows.join(covered, ["doc_id", "print"], "left")
-    return joined.select("doc_id", "text", "starts").mapInPandas(clean, SCHEMA)
+    joined = rows.join(covered, ["doc_id", "no_id", "row"], "left")
+    columns = ["doc_id", "no_id", "text", F.col("intervals.begin").alias("begins"), F.col("intervals.end").alias("ends")]
+    return restored(joined.select(*columns).mapInPandas(clean, SCHEMA))
