@@ -1,10 +1,14 @@
 """The pipeline's stages, each on its predecessor's rows, and the registered queries."""
 
+import re
+
+import public_tokenizers
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from quirework.llm import simhash
+from quirework.llm import mixing, packing, simhash, toxicity
+from tests.llm.test_operators import fingerprint, union_find
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,12 +31,23 @@ def test_stages(spark, tmp_path):
     assert docs.agg({"length": "sum"}).first()[0] > 0
 
 
-def test_stages_withstand_odd_rows(spark, docs, empty, tmp_path):
+def test_stages_withstand_odd_rows(spark, docs, rows, empty, tmp_path):
     labels = spark.createDataFrame([(3, 1, 0), (6, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    for table in (docs, empty):
-        for name, stage in corpus_pipeline.STAGES:
-            assert stage(spark, table, str(tmp_path)).count() >= 0, name
+    model = toxicity.train(docs, labels)
+    prints = [fingerprint(t) for _, t, _ in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    taken = [(r["taken"], r["size"]) for r in mixing.mix(docs).collect()]
+    expected = {
+        "toxicity": toxicity.score_toxicity(docs, model).where("score < 0.5").count(),
+        "exact dedup": len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t, _ in rows}),
+        "SimHash near-dedup": len(set(union_find(len(rows), linked))),
+        "mixing": sum(-(-n // size) for n, size in taken if size),
+        "packing": packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")).count(),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == expected[name], name
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
 
 
 @pytest.mark.parametrize("n", range(1, 11))
