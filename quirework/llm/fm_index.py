@@ -6,19 +6,28 @@ import numpy as np
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes, by the first ``depth`` symbols at least (prefix doubling)."""
+    """Positions in the order of their suffixes, by the first ``depth`` symbols at least (prefix doubling).
+
+    The first round takes as many symbols at once as fit into one number. Suffixes that agree that far stand in any order.
+    """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    order, step = np.argsort(rank, kind="stable"), 1
-    while step < depth and rank.max() < n:
+    bits = max(1, int(symbols.max()).bit_length())
+    step = max(1, min(62 // bits, depth))
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: max(0, n - k)] |= symbols[k:]
+    while True:
+        order = np.argsort(key)
+        if step >= depth:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate(([1], np.diff(key[order]) != 0)))
+        if rank[order[-1]] == n:
+            return order
         after = np.zeros(n, np.int64)
         after[: max(0, n - step)] = rank[step:]
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([1], np.diff(key[order]) != 0)))
-        rank, step = new, step * 2
-    return order
+        key, step = rank * (n + 2) + after, step * 2
 
 
 class FMIndex:

@@ -128,38 +128,46 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
 
 
 class Shard:
-    """All windows of some segments, matched against each other through one FM-index."""
+    """All windows of some segments, matched against each other through one FM-index.
+
+    The index holds every segment. Of equal ones the first is streamed through it, as all would get the same answer.
+    """
 
     def __init__(self, segs: list[bytes], ids: np.ndarray, known: np.ndarray, window: int):
         number: dict[bytes, int] = {}
-        lengths, symbols = [], []
-        for seg in segs:
-            words = seg.split(b" ")
-            lengths.append(len(words))
-            symbols += [number.setdefault(w, len(number) + 1) for w in words]
-            symbols.append(0)
-        s, lengths = np.array(symbols, np.int64), np.array(lengths, np.int64)
-        counts = lengths - window + 1
-        before = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        opens = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-        #: Of each window its segment and its place there.
-        self.owner = np.repeat(np.arange(len(segs)), counts)
-        self.place = np.arange(counts.sum()) - before[self.owner]
+        kinds: dict[bytes, int] = {}
+        kind = np.fromiter((kinds.setdefault(seg, len(kinds)) for seg in segs), np.int64, len(segs))
+        spelled = [np.array([*(number.setdefault(w, len(number) + 1) for w in seg.split(b" ")), 0], np.int64) for seg in kinds]
+        s = np.concatenate([spelled[k] for k in kind])
+        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        lengths = sizes[kind]
+        opens = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         index = FMIndex(s, len(number) + 1, window)
-        matched, lo, hi = matching_statistics(index, s, opens[self.owner] + self.place, window)
-        #: The first document that has the window, whether it has an id, and the window's name within the shard.
+        holder = np.repeat(np.arange(len(segs)), lengths)[index.order]
         ids = np.where(known, ids, LAST)
-        self.first, self.known, self.name = ids[self.owner], known[self.owner], -1 - np.arange(len(self.owner))
+        # The windows of one segment of each kind.
+        one = np.empty(len(kinds), np.int64)
+        one[kind[::-1]] = np.arange(len(segs))[::-1]
+        counts = sizes - window
+        before = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        at = np.repeat(opens[one] - before, counts) + np.arange(counts.sum())
+        matched, lo, hi = matching_statistics(index, s, at, window)
+        first, has, name = np.repeat(ids[one], counts), np.repeat(known[one], counts), -1 - np.arange(len(at))
         which = np.flatnonzero(matched == window)
         if len(which):
-            holder = np.repeat(np.arange(len(segs)), lengths + 1)[index.order]
             ranges, back = np.unique(lo[which], return_inverse=True)
             ends = np.zeros(len(ranges), np.int64)
             ends[back] = hi[which]
             edges = np.stack([ranges, ends], 1).ravel()
-            self.first[which] = np.minimum.reduceat(np.append(ids[holder], LAST), edges)[::2][back]
-            self.known[which] = np.maximum.reduceat(np.append(known[holder], False), edges)[::2][back]
-            self.name[which] = lo[which]
+            first[which] = np.minimum.reduceat(np.append(ids[holder], LAST), edges)[::2][back]
+            has[which] = np.maximum.reduceat(np.append(known[holder], False), edges)[::2][back]
+            name[which] = lo[which]
+        #: Of each window its segment and its place there, the first document that has it, whether that has an id, and the
+        #: window's name within the shard, which is not negative where it stands elsewhere too.
+        self.owner = np.repeat(np.arange(len(segs)), counts[kind])
+        self.place = np.arange(len(self.owner)) - np.repeat(np.concatenate(([0], np.cumsum(counts[kind])[:-1])), counts[kind])
+        of = before[kind][self.owner] + self.place
+        self.first, self.known, self.name = first[of], has[of], name[of]
 
 
 HITS = "doc_id long, no_id boolean, row long, begin long, end long"
