@@ -66,28 +66,29 @@ def window_anchors(words: list[bytes], window: int) -> np.ndarray:
     return g.view(np.int64)
 
 
-def _anchors(docs: DataFrame, window: int, key: str) -> DataFrame:
-    """(anchor, key) of each document's anchors, each once; key is one of its columns."""
+def _anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, no_id, row, anchor) of each document's anchors, each once."""
 
     def scan(batches):
         for batch in batches:
-            found = [np.unique(window_anchors(_words(text), window)) for text in batch["text"]]
+            found = [np.unique(window_anchors(_words(text), window)) for text in batch.pop("text")]
             if found:
-                owners = np.repeat(batch["key"].to_numpy(), [len(x) for x in found])
-                yield pd.DataFrame({"anchor": np.concatenate(found), "key": owners})
+                many = batch.iloc[np.repeat(np.arange(len(batch)), [len(x) for x in found])]
+                yield many.assign(anchor=np.concatenate(found))
 
-    return docs.select(F.col(key).alias("key"), "text").mapInPandas(scan, "anchor long, key long")
+    return docs.select("doc_id", "no_id", "row", "text").mapInPandas(scan, "doc_id long, no_id boolean, row long, anchor long")
 
 
 def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
     """(row, anchors): those anchors of a document that another document has too."""
-    known = _anchors(docs.where("not no_id"), window, "doc_id").groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("z"))
-    unknown = _anchors(docs.where("no_id"), window, "doc_id").select("anchor").distinct().withColumn("n", F.lit(True))
-    shared = durable(known.join(unknown, "anchor", "left").where("a < z or n").select("anchor"))
+    anchors = durable(_anchors(docs, window))
+    known = F.when(~F.col("no_id"), F.col("doc_id"))
+    met = anchors.groupBy("anchor").agg(F.min(known).alias("a"), F.max(known).alias("z"), F.max("no_id").alias("n"))
+    shared = durable(met.where("a < z or (a is not null and n)").select("anchor"))
     # Both sides are plain: Spark can split the rows of an anchor that many documents have.
-    both = _anchors(docs, window, "row").join(shared, "anchor", "left_semi")
-    flagged = durable(both.groupBy(F.col("key").alias("row")).agg(F.collect_set("anchor").alias("anchors")))
-    discard(shared)
+    both = anchors.select("row", "anchor").join(shared, "anchor", "left_semi")
+    flagged = durable(both.groupBy("row").agg(F.collect_set("anchor").alias("anchors")))
+    discard(anchors, shared)
     return flagged
 
 
