@@ -150,18 +150,17 @@ LINK = "struct<text:string,href:string,link:boolean>"
 def trimmed_link(url: Column) -> Column:
     """FMT-6: an address without the punctuation that follows it; closing brackets that it opens stay.
 
-    Every round takes one run of punctuation or one unmatched bracket; six rounds cover what texts have.
+    Of what follows, the first so many closing brackets stay as the address opens and does not close, with what stands between.
     """
 
-    def opened(u: Column, sign: str) -> Column:
-        return F.length(u) - F.length(F.replace(u, F.lit(sign), F.lit("")))
+    def of(tail: Column) -> Column:
+        head = F.substring(url, F.lit(1), F.length(url) - F.length(tail))
+        many = lambda text, sign: F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+        open_ = F.least(F.greatest(many(head, "(") - many(head, ")"), F.lit(0)), many(tail, ")"))
+        kept = F.concat(F.call_function("substring_index", tail, F.lit(")"), open_), F.lit(")"))
+        return F.when(open_ > 0, F.concat(head, kept)).otherwise(head)
 
-    for _ in range(6):
-        url = let(
-            F.regexp_replace(url, r"[.,;:!?]+\z", ""),
-            lambda u: F.when(u.endswith(")") & (opened(u, ")") > opened(u, "(")), F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u),
-        )
-    return F.regexp_replace(url, r"[.,;:!?]+\z", "")
+    return let(F.regexp_extract(url, r"[.,;:!?)]*\z", 0), of)
 
 
 def link_parts(text: Column) -> Column:

@@ -5,58 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quirework.functions.text import WS, blank_to_null, collapse, let
+from quirework.functions.text import blank_to_null, collapse, let
 
-#: Pages and price at the end of a title, with or without the imprint before them.
-IMPRINT = r"\.\s+[A-Z][^.]*,\s*[0-9]{4}\.\s+[0-9]+\s+pp\.\s+(?:[$£€]\s*)?[0-9]+[^.]*\.?\z"
-EXTENT = r"\.\s+[0-9]+\s+pp\.\s+(?:[$£€]\s*)?[0-9]+[^.]*\.?\z"
-HEADED = r"\A(.+?(?<![A-Za-z0-9_])\p{Lu}[\p{L}'’.\-]+)\.\s+(.+)\z"
+#: A title that begins again repeats this many of its words at least.
+REPEATED = 4
 
 
-def _without_repeat(title: Column) -> Column:
-    """A title that begins again within itself ends before it does: probes of ten to four first words."""
-    words = F.filter(F.split(title, " "), lambda w: w != "")
+def _without_extent(title: Column) -> Column:
+    """The sentences before the one that counts pages, where a price ends the title; a place with a year before it goes too."""
 
-    def of(w: Column) -> Column:
-        def place(n: int) -> Column:
-            probe = F.array_join(F.slice(w, 1, n), " ")
-            size = F.length(probe)
-            at = F.instr(F.substring(title, size + 1, F.length(title)), probe)
-            return F.when((F.size(w) > n) & (at > 0), at + size)
+    def of(sentences: Column) -> Column:
+        pages = F.filter(F.transform(sentences, lambda s, i: F.when(s.rlike(r"^[0-9]+\s+pp\.?$"), i)), lambda i: i.isNotNull())
 
-        at = F.coalesce(*[place(n) for n in range(10, 3, -1)])
-        head = F.regexp_replace(F.substring(title, F.lit(1), at - 1), r"\s+[A-Z][a-z]+[A-Z][\s\S]*\z", "")
-        return F.when((F.size(w) >= 6) & at.isNotNull(), F.trim(head)).otherwise(title)
+        def cut(at: Column) -> Column:
+            imprint = F.get(sentences, at - 1).rlike(r"^\p{Lu}.*,\s*[0-9]{4}$")
+            kept = F.slice(sentences, F.lit(1), F.greatest(at - F.coalesce(imprint, F.lit(False)).cast("int"), F.lit(0)))
+            priced = F.get(sentences, at + 1).rlike(r"^[$£€]?\s*[0-9]") & (F.size(sentences) <= at + 2)
+            return F.when(priced & (F.size(kept) > 0), F.array_join(kept, ". "))
 
-    return let(words, of)
+        return F.coalesce(let(F.element_at(pages, -1), lambda at: F.when(at.isNotNull(), cut(at))), title)
 
+    # A price may hold a point, which white space does not follow.
+    return let(F.split(title, r"\.\s+"), of)
 
-def _without_marker(title: Column, reviewed: Column) -> Column:
-    """A title ends before a reviewed author's family name that a capital follows without a space."""
-    names = F.transform(
-        F.split(reviewed, r"(?i)(?<![A-Za-z0-9_])and(?![A-Za-z0-9_])|,"),
-        lambda n: F.regexp_extract(F.regexp_replace(F.trim(n), r"\.\z", ""), rf"([^{WS}]+)\z", 1),
-    )
-    places = F.transform(
-        F.filter(names, lambda n: n != ""),
-        lambda n: F.regexp_instr(title, F.concat(F.lit(r"\s+\Q"), n, F.lit(r"\E[A-Z]")), F.lit(0)),
-    )
-    at = F.get(F.filter(places, lambda p: p > 1), 0)
-    return let(at, lambda a: F.when(a.isNotNull(), F.trim(F.substring(title, F.lit(1), a - 1))).otherwise(title))
+
+def _once(title: Column) -> Column:
+    """A title that begins again ends before its first words come for the second time, and before what runs into them."""
+    opening = F.substring_index(title, " ", REPEATED)
+    pieces = F.split(title, F.concat(F.lit("\\Q"), opening, F.lit("\\E")), -1)
+    told = F.regexp_replace(F.concat(opening, F.get(pieces, 1)), r"\s+\p{Lu}\p{Ll}+\p{Lu}.*$", "")
+    return F.when((opening != title) & (F.size(pieces) > 2), F.trim(told)).otherwise(title)
+
+
+def _before_name(title: Column, who: Column) -> Column:
+    """A title ends before a name of who wrote what is reviewed into which the next word runs."""
+    names = F.filter(F.regexp_extract_all(who, F.lit(r"[\p{L}'’\-]{2,}"), F.lit(0)), lambda n: n.rlike(r"^\p{Lu}"))
+    run_in = F.concat(F.lit(r"\s+(?:"), F.array_join(names, "|"), F.lit(r")\p{Lu}.*$"))
+    return F.when(F.size(names) > 0, F.trim(F.regexp_replace(title, run_in, ""))).otherwise(title)
 
 
 def review_title(type_: Column, title: Column, container: Column) -> Column:
-    """NRM-8: titles of journal articles that show pages, a price or words run together."""
-    shows = title.rlike(r"(?<![A-Za-z0-9_])[0-9]+\s+pp\.") | title.rlike(r"[$£€]\s*[0-9]+") | title.rlike("[a-z][A-Z][a-z]")
+    """NRM-8: titles of journal articles that show pages, a price or words run together.
+
+    They are made of who wrote what is reviewed, its title, and what a registry ran in after it.
+    """
+    shows = title.rlike(r"(?<![A-Za-z0-9_])[0-9]+\s+pp\.|[$£€]\s*[0-9]|[a-z][A-Z][a-z]")
 
     def tidy(t: Column) -> Column:
-        who, what = F.regexp_extract(t, HEADED, 1), F.regexp_extract(t, HEADED, 2)
-        headed = let(_without_repeat(what), lambda w: F.concat_ws(". ", who, _without_marker(w, who)))
-        return F.regexp_replace(F.trim(F.when(t.rlike(HEADED), headed).otherwise(t)), r"\.\z", "")
+        # An initial does not end the names.
+        who = F.regexp_extract(t, r"^(.*?\p{Lu}[\p{L}'’\-]+)\. .", 1)
+        what = F.substring(t, F.length(who) + 3, F.length(t))
+        headed = F.concat_ws(". ", who, _once(_before_name(what, who)))
+        return F.regexp_replace(F.trim(F.when(who != "", headed).otherwise(t)), r"\.$", "")
 
-    bare = F.trim(F.regexp_replace(F.regexp_replace(collapse(title), IMPRINT, ""), EXTENT, ""))
     wanted = (type_ == "article-journal") & blank_to_null(container).isNotNull() & shows
-    return F.when(wanted, let(bare, tidy)).otherwise(title)
+    return F.when(wanted, let(_without_extent(F.regexp_replace(collapse(title), r"\.$", "")), tidy)).otherwise(title)
 
 
 def review_warnings(input_format: Column, type_: Column, container: Column, before: Column, after: Column, page: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +67,9 @@ def match_text(value: Column) -> Column:
     return F.regexp_replace(F.lower(collapse(value)), rf"[^\p{{L}}\p{{N}}{WS}]", "")
 
 
-def strip_tags(value: Column, rounds: int = 4) -> Column:
-    """NRM-10: drop tags until none is left; each round unwraps one level of tags broken by tags."""
-    for _ in range(rounds):
-        value = F.regexp_replace(value, "<[^>]*>", "")
-    return value
+def strip_tags(value: Column) -> Column:
+    """NRM-10: without tags. One pass leaves none: no sign that opens a tag stays before one that would close it."""
+    return F.regexp_replace(value, "<[^>]*>", "")
 
 
 def strip_markup(value: Column) -> Column:
@@ -91,33 +92,38 @@ def bounded(value: Column, most: int = 65_536) -> Column:
     return strip_markup(F.when(F.octet_length(value) > most, cut).otherwise(F.decode(head, "UTF-8")))
 
 
-#: The named character references of HTML that occur in formatted references.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&ndash;": "–", "&mdash;": "—",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…", "&copy;": "©", "&reg;": "®",
-}
+def _entities() -> Column:
+    """The named character references of HTML 5, as a constant map: the standard library's table."""
+    named = {name: sign for name, sign in html5.items() if name.endswith(";")}
+    return F.from_json(F.lit(json.dumps(named)), "map<string,string>")
+
+
+REFERENCE = "&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);"
 
 
 def unescape(value: Column) -> Column:
-    """Named and numeric character references; &amp; comes last, so nothing is decoded twice."""
-    for name, sign in ENTITIES.items():
-        value = F.replace(value, F.lit(name), F.lit(sign))
+    """Named and numeric character references, each decoded once; what names no character that HTML 5 allows stays."""
+
+    def numbered(reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "^&#[xX]?0*([0-9A-Fa-f]*);$", 1)
+        point = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+
+        def sign(p: Column) -> Column:
+            text = p.isin(9, 10, 12) | p.between(0x20, 0x7E) | p.between(0xA0, 0xD7FF) | p.between(0xE000, 0xFDCF) | p.between(0xFDF0, 0x10FFFF)
+            allowed = text & (p.bitwiseAND(0xFFFE) != 0xFFFE)
+            return F.when(allowed, F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32"))
 
-    def numeric(text: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,6}|[xX][0-9A-Fa-f]{1,5});"), F.lit(0)))
+        return F.when(F.length(digits).between(1, 8), let(point, sign))
 
-        def one(acc: Column, code: Column) -> Column:
-            hexed = code.rlike("^&#[xX]")
-            digits = F.regexp_replace(code, "[^0-9A-Fa-f]", "")
-            point = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
-            utf32 = F.unhex(F.lpad(F.hex(point), 8, "0"))
-            bad = (point > 1114111) | point.between(55296, 57343) | (point == 0)
-            return F.when(bad, acc).otherwise(F.replace(acc, code, F.decode(utf32, "UTF-32")))
+    def one(reference: Column) -> Column:
+        named = F.element_at(_entities(), F.substring(reference, F.lit(2), F.length(reference)))
+        return F.coalesce(F.when(reference.startswith("&#"), numbered(reference)).otherwise(named), reference)
 
-        return F.aggregate(codes, text, one)
+    def whole(text: Column) -> Column:
+        signs = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one)
+        return F.array_join(F.zip_with(F.split(text, REFERENCE, -1), signs, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
 
-    value = F.when(value.contains("&#"), let(value, numeric)).otherwise(value)
-    return F.replace(value, F.lit("&amp;"), F.lit("&"))
+    return F.when(value.contains("&"), let(value, whole)).otherwise(value)
 
 
 def formatted(value: Column) -> Column:

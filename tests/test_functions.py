@@ -108,8 +108,8 @@ def test_paste_guards(spark):
 
 
 # Names.
-def test_free_text_names(spark):
-    def made(text, f=N.free_text_names):
+def test_people(spark):
+    def made(text, f=N.people):
         return [(n["family"], n["given"], n["literal"]) for n in values(spark, [text], f)[0]]
 
     assert made("Jane Q. Doe and John Roe") == [("Doe", "Jane Q.", None), ("Roe", "John", None)]
@@ -117,8 +117,8 @@ def test_free_text_names(spark):
     assert made("Doe, Jane, John Roe, Max Poe") == [("Doe", "Jane", None), ("Roe", "John", None), ("Poe", "Max", None)]
     assert made("Jane Doe et al.") == [("Doe", "Jane", None), (None, None, "et al.")]
     assert made("") == []
-    assert made("Doe, J., & Roe, R. S.", N.apa_names) == [("Doe", "J.", None), ("Roe", "R. S", None)]
-    assert made("World Health Organization", N.apa_names) == [(None, None, "World Health Organization")]
+    assert made("Doe, J., & Roe, R. S.", N.people_by_initials) == [("Doe", "J.", None), ("Roe", "R. S", None)]
+    assert made("World Health Organization", N.people_by_initials) == [(None, None, "World Health Organization")]
     assert made("Doe, Jane; Acme Corp; Body, ", N.names_from_field) == [("Doe", "Jane", None), ("Corp", "Acme", None), (None, None, "Body,")]
 
 
