@@ -123,6 +123,8 @@ def one_of_each(docs: DataFrame, rows: DataFrame, group: str, *more: str) -> Dat
     twice = split.where("_stays").groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     twice = twice.select("doc_id", "print").withColumnsRenamed(names)
     marked = docs.withColumn("__qw_own", raw_print(docs, *more))
+    # Both lists grow with the data, so they are never broadcast.
+    gone, twice = gone.hint("merge"), durable(twice).hint("merge")
     match = lambda left, right: left["doc_id"].eqNullSafe(right["__qw_id"]) & (left["__qw_own"] == right["__qw_print"])
     rest = marked.join(gone, match(marked, gone), "left_anti")
     if not twice.take(1):
