@@ -39,8 +39,8 @@ CONTRAST = 4.5
 RATIO = 8
 #: Rows that a gram or a word must be in to count: so many, and this share of the toxic ones.
 LEAST_ROWS, LEAST_SHARE = 4, 0.01
-#: Sizes of windows compressed with the ordinary dictionary and with both, and with the toxic one and none.
-WINDOWS, CLOSE = (128, 512), 64
+#: Bytes of the windows compressed with the ordinary dictionary and with both, and of those with the toxic one and none.
+WIDE, CLOSE = 160, 64
 ORDINARY_BYTES = 8192
 TOXIC_BYTES = 4096
 #: Lengths of the trainer's segments, and of the samples of ordinary text.
@@ -146,15 +146,15 @@ def dictionaries(rows: list[tuple[int, bytes]]) -> tuple[bytes, bytes] | None:
     return trained(ordinary, ORDINARY_BYTES, ORDINARY_SEGMENT), trained(toxic, TOXIC_BYTES, TOXIC_SEGMENT)
 
 
-def compressor(content: bytes | None, close: bool):
-    """Trained dictionaries are loaded as plain content, so that only what matches them tells, not their entropy tables."""
+def compressor(content: bytes | None, size: int):
+    """For windows of a size. Trained dictionaries are loaded as plain content, so that only what matches them tells, not their entropy tables."""
     import zstandard
 
-    fine = {"search_log": 4, "target_length": 32, "hash_log": 14, "chain_log": 14, "min_match": 5, "strategy": zstandard.STRATEGY_GREEDY}
-    wide = {"search_log": 4, "target_length": 64, "hash_log": 15, "chain_log": 15, "min_match": 6, "strategy": zstandard.STRATEGY_BTOPT}
+    strategy, match = ("GREEDY", 5) if size == CLOSE else ("BTOPT", 6)
     params = zstandard.ZstdCompressionParameters(
-        window_log=15, write_checksum=False, write_content_size=False, write_dict_id=False, **(fine if close else wide)
-    )
+        window_log=15, hash_log=15, chain_log=15, search_log=4, target_length=64, min_match=match,
+        strategy=getattr(zstandard, f"STRATEGY_{strategy}"), write_checksum=False, write_content_size=False, write_dict_id=False,
+    )
     if content is None:
         return zstandard.ZstdCompressor(compression_params=params)
     loaded = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -168,13 +168,16 @@ class Measure:
     def __init__(self, contents: tuple[bytes, bytes]):
         ordinary, toxic = contents
         both = ordinary + toxic + bytes(PADDING)
-        self.wide = compressor(ordinary + bytes(len(both) - len(ordinary)), False), compressor(both, False)
-        self.close = compressor(None, True), compressor(toxic, True)
+        ordinary += bytes(len(both) - len(ordinary))
+        self.pairs = [
+            (WIDE, compressor(ordinary, WIDE), compressor(both, WIDE)),
+            (CLOSE, compressor(None, CLOSE), compressor(toxic, CLOSE)),
+        ]
 
     def features(self, text: bytes) -> list[float]:
         """For each window size, bytes saved: in the best window, in the best three, on average, beyond chance, and in how many."""
         out: list[float] = []
-        for size, (without, with_it) in (*((size, self.wide) for size in WINDOWS), (CLOSE, self.close)):
+        for size, without, with_it in self.pairs:
             saved = [
                 len(without.compress(part)) - len(with_it.compress(part))
                 for part in (text[k : k + size] for k in range(0, len(text), size))
