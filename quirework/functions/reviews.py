@@ -23,7 +23,7 @@ def _without_extent(title: Column) -> Column:
             priced = F.get(sentences, at + 1).rlike(r"^[$£€]?\s*[0-9]") & (F.size(sentences) <= at + 2)
             return F.when(priced & (F.size(kept) > 0), F.array_join(kept, ". "))
 
-        return F.coalesce(let(F.element_at(pages, -1), lambda at: F.when(at.isNotNull(), cut(at))), title)
+        return F.coalesce(let(F.try_element_at(pages, F.lit(-1)), lambda at: F.when(at.isNotNull(), cut(at))), title)
 
     # A price may hold a point, which white space does not follow.
     return let(F.split(title, r"\.\s+"), of)

@@ -61,7 +61,12 @@ for _name, _style, _family in (
     query(Q.with_cites(f"SELECT bibliography_id, pos, {Q.position(_family)} AS position FROM c"), _name)(_sorted(_style))
 
 
-@query()
+@query(
+    Q.with_cites(
+        f"""SELECT bibliography_id, string_agg('c-' || bibliography_id || '-' || pos, ',' ORDER BY {Q.ORDER['author-date']}) AS ids
+        FROM c GROUP BY bibliography_id"""
+    )
+)
 def sort_exact(spark, d):
     rows = O.exact_order(cites(spark, d), "apa-7")
     return rows.select("bibliography_id", F.array_join("ids", ",").alias("ids"))

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from html import unescape as unescape_html
+
 from pyspark.sql import functions as F
 
 from quirework.functions import text as TX
-from quirework.functions.freetext import parse
-from quirework.functions.render import display_text, from_formatter
+from quirework.functions.detect import detect
+from quirework.functions.freetext import FIELDS, parse
+from quirework.functions.render import display_text, from_formatter, link_parts
 from quirework.functions.reviews import review_warnings
-from quirework.functions.validate import raw_link_text, readable
+from quirework.functions.validate import clean_date, errors, raw_link_text, readable
 from quirework.operators import sets as S
+from quirework.operators.api import import_paste
 from quirework.plans import oracle as Q
 from quirework.plans.cites import cites
 from quirework.plans.library import query, read
+from quirework.schema import CITATION_COLUMNS, CSL_COLUMNS, DATE, FIELD_BYTES, NAMES
+from quirework.schema import NAME as PERSON
 from quirework.sources.pasted import paste_items, remaining_input
+from quirework.sources.resolve import resolve_pmids
 
 #: One text for each rule, in order; {n} is a name, {y} a year.
 RULES = (
@@ -72,18 +79,143 @@ def review_warning(spark, d):
     return cites(spark, d).select("bibliography_id", "pos", F.array_join(found, ",").alias("warnings"))
 
 
-@query(r"SELECT doc_id, regexp_replace(left(text, 100), '^\s+|\s+$', '', 'g') AS head FROM documents WHERE length(left(text, 100)) = strlen(left(text, 100))")
-def bounded_text(spark, d):
-    rows = read(spark, d, "documents").where(F.octet_length(F.substring("text", 1, 100)) == F.length(F.substring("text", 1, 100)))
-    return rows.select("doc_id", TX.bounded(F.col("text"), 100).alias("head"))
+#: Bytes are cut as hexadecimal digits; a character that the cut breaks goes.
+_HEX = "left(hex(encode(text)), 131072)"
+_CUT = f"""decode(unhex(left({_HEX}, 131064) || regexp_replace(right({_HEX}, 8), '^((?:..)*?)(?:F.(?:[89AB].){{0,2}}|E.(?:[89AB].)?|[CD].)$', '\\1')))"""
+_TRIM = r"'^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$', '', 'g'"
 
 
-@query()
-def bounded_documents(spark, d):
-    """Every document under the production bound; bounded_text has the short texts that its SQL can cut."""
+@query(
+    f"""WITH b AS (SELECT doc_id, CASE WHEN strlen(text) > 65536 THEN {_CUT} ELSE text END AS t FROM documents)
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<script[^>]*?>.*?</script>', '', 'gis'),
+        '<style[^>]*?>.*?</style>', '', 'gis'), '<[^>]*>', '', 'g'), {_TRIM}) AS head FROM b"""
+)
+def bounded_text(spark, d):
     return read(spark, d, "documents").select("doc_id", TX.bounded(F.col("text")).alias("head"))
 
 
+#: Inputs that no rule reads; {n} is a name.
+REJECTED = (
+    "Binder and Kidder, {n}, 117–18.",
+    "Ada Smith, “{n},” WordPress Daily, March 3, 2024, see page one.",
+    "Jane Q. Scholar, \"{n},\" Digital Humanities Review 8, no. 2 (2021): 55-72. Useful overview for classroom discussion.",
+    "OpenAI Docs, https://example.org/api.",
+    "{n}",
+    "“{n}.” Journal 12 (2001): 5-9.",
+    "Jane Doe (n.d.). {n}. Press.",
+    "Jane Doe, {n} (Press, forthcoming), 5.",
+)
+
+
+@query("SELECT p_partkey, NULL::VARCHAR AS type FROM part")
+def freetext_rejects(spark, d):
+    cases = "CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN {_sample(t)}" for k, t in enumerate(REJECTED)) + " END"
+    return read(spark, d, "part").select("p_partkey", parse(F.expr(cases))["type"].alias("type"))
+
+
+#: References by name and number, and what they stand for.
+REFERENCES = (
+    "&eacute;&Eacute;&ccedil;&szlig;&oslash;&aring;&ntilde;&uuml;&Ouml;&aelig;&thorn;&eth;&Scaron;&zcaron;&sect;&para;&frac12;&frac34;&sup2;&deg;&plusmn;"
+    "&times;&divide;&micro;&middot;&laquo;&raquo;&iquest;&iexcl;&euro;&pound;&yen;&cent;&alpha;&Omega;&le;&ge;&ne;&infin;&sum;&hearts;&trade;&copy;"
+    "&#233;&#x1F600;&#1114109;&#0065;&#x00041;&NotEqualTilde;&fjlig;&amp;amp;"
+)
+KEPT = "&nosuchname;&#xD800;&#1114112;&#65535;&#128;&#99999999999999999999;&#x;&;& amp;"
+
+
+@query(f"SELECT p_partkey, p_name || '{unescape_html(REFERENCES)}' || '{KEPT}' AS text FROM part")
+def html_references(spark, d):
+    return read(spark, d, "part").select("p_partkey", TX.unescape(F.concat("p_name", F.lit(REFERENCES + KEPT))).alias("text"))
+
+
+@query(
+    """SELECT page_id, 0 AS n, url AS text, url AS href FROM pages UNION ALL SELECT page_id, 1, ').).).:).);!?.', NULL FROM pages
+    UNION ALL SELECT page_id, 2, ' and ', NULL FROM pages UNION ALL SELECT page_id, 3, url || '((a).b)', url || '((a).b)' FROM pages
+    UNION ALL SELECT page_id, 4, '.,;', NULL FROM pages"""
+)
+def link_tails(spark, d):
+    text = F.concat("url", F.lit(").).).:).);!?. and "), "url", F.lit("((a).b).,;"))
+    rows = read(spark, d, "pages").select("page_id", F.posexplode(link_parts(text)).alias("n", "p"))
+    return rows.select("page_id", "n", "p.text", "p.href")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN '{"title":"' || p_name || '"}' END AS csl_json FROM part"""
+)
+def pmid_items(spark, d):
+    part = read(spark, d, "part")
+    label = F.when(F.col("p_partkey") % 3 > 0, "PMID: ").otherwise("10.1000/")
+    found = part.select("p_partkey", detect(F.concat(label, "p_partkey")).alias("i")).select("p_partkey", "i.format", "i.value")
+    known = part.where("p_partkey % 2 = 0").select(
+        F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit('{"title":"'), "p_name", F.lit('"}')).alias("csl_json")
+    )
+    return resolve_pmids(found, known).select("p_partkey", "csl_json")
+
+
+@query(Q.with_cites(f"SELECT bibliography_id, title, {Q.position('author-date')} AS pos FROM c"))
+def resorted(spark, d):
+    return S.resorted(cites(spark, d), "harvard").select("bibliography_id", "title", F.col("pos").cast("long").alias("pos"))
+
+
+@query(Q.with_cites("SELECT bibliography_id, pos, CASE WHEN pos % 2 = 0 THEN 'mine' END AS display_override FROM c"))
+def reset_override(spark, d):
+    rows = cites(spark, d).withColumn("display_override", F.lit("mine"))
+    return S.reset_override(rows, rows.where("pos % 2 = 1").select("id")).select("bibliography_id", "pos", "display_override")
+
+
+@query(
+    Q.with_cites(
+        """SELECT bibliography_id, count(*) + CASE WHEN bibliography_id % 2 = 1 OR any_value(DOI) FILTER (pos = 0) IS NULL THEN 1 ELSE 0 END AS entries
+        FROM c GROUP BY bibliography_id"""
+    )
+)
+def manual_additions(spark, d):
+    """A form row is added unless it has the DOI of a stored citation."""
+    rows = cites(spark, d)
+    doi = F.when(F.col("bibliography_id") % 2 == 0, F.col("DOI"))
+    new = rows.where("pos = 0").withColumn("DOI", doi).withColumn("title", F.concat(F.lit("Zz "), "id")).withColumn("id", F.concat(F.lit("new-"), "id"))
+    return S.add_manual(rows, new, "apa-7").groupBy("bibliography_id").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'issued_invalid' WHEN 1 THEN 'author_invalid' WHEN 2 THEN 'field_too_large' WHEN 3 THEN '' WHEN 4 THEN
+    'type_unknown,issued_invalid' ELSE '' END AS errors, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 4 THEN NULL WHEN 3 THEN NULL ELSE '1999' END AS year FROM part"""
+)
+def strict_validation(spark, d):
+    """Dates without parts, names without parts, fields over the bound of bytes (not of characters)."""
+    k, none = F.col("p_partkey") % 6, F.lit(None).cast("string")
+    parts = F.when(k.isin(0, 4), F.expr("array(cast(array() as array<int>))")).when(k != 3, F.expr("array(array(1999, cast(null as int)))"))
+    date = F.struct(parts.alias("date_parts"), F.when(k == 3, "in the spring").alias("literal"), none.alias("raw")).cast(DATE)
+    person = F.struct(F.when(k != 1, F.lit("Doe")).alias("family"), none.alias("given"), none.alias("literal"), none.alias("ORCID")).cast(PERSON)
+    fields = {name: F.lit(None).cast(kind) for name, kind in CSL_COLUMNS.items()}
+    fields |= {"type": F.when(k == 4, "scroll").otherwise("book"), "issued": date, "author": F.array(person).cast(NAMES)}
+    fields["title"] = F.when(k == 2, F.repeat(F.lit("é"), FIELD_BYTES // 2 + 1)).when(k == 5, F.repeat(F.lit("é"), FIELD_BYTES // 2)).otherwise(F.col("p_name"))
+    rows = read(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in fields.items()])
+    found = errors({n: F.col(n) for n in fields}, "strict")
+    return rows.select("p_partkey", F.array_join(found, ",").alias("errors"), TX.iso_date(clean_date(F.col("issued"))).alias("year"))
+
+
+@query(
+    """SELECT p_partkey AS bibliography_id, unnest(CASE WHEN p_partkey % 2 = 0 THEN [0, 1, 2, 3] ELSE [0, 1] END)::BIGINT AS pos,
+    unnest(CASE WHEN p_partkey % 2 = 0 THEN ['added', 'duplicate', 'error', 'added'] ELSE ['duplicate', 'added'] END) AS outcome FROM part"""
+)
+def imported(spark, d):
+    """A paste of references of which some repeat, some are stored and some can't be read."""
+    part = read(spark, d, "part")
+    book = "'Jane Doe, A ' || p_name || ' (Press, 2001).'"
+    fresh = f"{book} || '\n\n' || {book} || '\n\nnothing to read\n\nDoe, J. (1999). B ' || p_name || '. Press.'"
+    stored = f"{book} || '\n\nRoe, M. (1999). C ' || p_name || '. Press.'"
+    pastes = part.select(F.col("p_partkey").alias("paste_id"), F.expr(f"CASE WHEN p_partkey % 2 = 0 THEN {fresh} ELSE {stored} END").alias("text"))
+    made = part.where("p_partkey % 2 = 1").select("p_partkey", F.explode(F.array(parse(F.expr(book)))).alias("r"))
+    none = {k: F.lit(None).cast(t).alias(k) for k, t in CITATION_COLUMNS.items()}
+    none |= {k: F.col(f"r.{k}") for k in CITATION_COLUMNS if k in FIELDS}
+    none |= {"bibliography_id": F.col("p_partkey").alias("bibliography_id"), "pos": F.lit(0).cast(CITATION_COLUMNS.get("pos", "long")).alias("pos"), "id": F.concat(F.lit("s-"), "p_partkey").alias("id")}
+    existing = made.select(*none.values())
+    empty = spark.createDataFrame([], "key string, csl_json string")
+    _, outcomes = import_paste(existing, pastes, "apa-7", empty, empty)
+    # A position counts chunks in its upper half.
+    return outcomes.select("bibliography_id", F.shiftright(F.col("pos").cast("long"), 31).alias("pos"), "outcome")
+
+
 @query("SELECT page_id, replace(html, '<', chr(92) || 'u003c') AS json, " + Q.encoded("url") + " AS encoded FROM pages")
 def script_json(spark, d):
     return read(spark, d, "pages").select("page_id", TX.script_safe(F.col("html")).alias("json"), TX.percent_encoded(F.col("url")).alias("encoded"))

@@ -115,6 +115,8 @@ def test_people(spark):
     assert made("Jane Q. Doe and John Roe") == [("Doe", "Jane Q.", None), ("Roe", "John", None)]
     assert made("Doe, Jane; Acme") == [("Doe", "Jane", None), (None, None, "Acme")]
     assert made("Doe, Jane, John Roe, Max Poe") == [("Doe", "Jane", None), ("Roe", "John", None), ("Poe", "Max", None)]
+    assert made("Doe, Jane, John Roe, and Max Poe") == [("Doe", "Jane", None), ("Roe", "John", None), ("Poe", "Max", None)]
+    assert made("Sandy Anders & Andy Orlando") == [("Anders", "Sandy", None), ("Orlando", "Andy", None)]
     assert made("Jane Doe et al.") == [("Doe", "Jane", None), (None, None, "et al.")]
     assert made("") == []
     assert made("Doe, J., & Roe, R. S.", N.people_by_initials) == [("Doe", "J.", None), ("Roe", "R. S", None)]
@@ -168,6 +170,28 @@ def test_free_text_dates_and_rejects(spark):
     assert values(spark, ["", "   ", "no structure here", "Title only, 2001"], parse) == [None] * 4
 
 
+def test_free_text_of_odd_shapes(spark):
+    book, three, page, place, edition, marked, sub = values(
+        spark,
+        [
+            "Ann B. Cole and Dan E. Frost, The Open Field: How It Was Won (and Lost) Today (University of Somewhere Press, 2022), 117–18.",
+            'Ann Cole; Dan Frost; Max Roe, "The Title," Journal of Things 12, no. 3 (2024): 117-134.',
+            "Acme, “Responses API,” https://example.org/docs/a.",
+            "Jane Doe. The Book. London, 2001. https://example.org/b).",
+            "Jane Doe, ed. The Whole. Revised ed. Press, 2001.",
+            "Jane Doe, A\u0001B (Press, 2001).",
+            "Doe, J., Roe, M., & Poe, A. (1999). One. Two. The Journal, 12, 3-4.",
+        ],
+        parse,
+    )
+    assert (book["title"], book["publisher"], book["page"]) == ("The Open Field: How It Was Won (and Lost) Today", "University of Somewhere Press", "117–18")
+    assert [a["family"] for a in three["author"]] == ["Cole", "Frost", "Roe"] and three["confidence"] == "low" and three["issue"] == "3"
+    assert (page["type"], page["URL"], page["author"][0]["literal"]) == ("webpage", "https://example.org/docs/a", "Acme")
+    assert (place["publisher_place"], place["publisher"], place["URL"]) == ("London", None, "https://example.org/b")
+    assert (edition["type"], edition["edition"], edition["publisher"]) == ("collection", "Revised", "Press")
+    assert marked["title"] == "A B" and (sub["title"], sub["volume"], len(sub["author"])) == ("One. Two", "12", 3)
+
+
 # Reviews.
 def test_review_titles(spark):
     make = lambda t, kind="article-journal", box="J": value(spark, review_title(F.lit(kind), F.lit(t), F.lit(box)))
@@ -175,6 +199,8 @@ def test_review_titles(spark):
     assert make("Plain title") == "Plain title"
     assert make("Jane Doe. The Book. 123 pp. $45.", "book") == "Jane Doe. The Book. 123 pp. $45."
     assert make("Jane Doe. The Long Road to Rome and Back DoeThe Long Road. 90 pp. $3") == "Jane Doe. The Long Road to Rome and Back"
+    assert make("Jane Doe. The Book of Two Rivers The Book of Two Rivers Again. 90 pp. $3") == "Jane Doe. The Book of Two Rivers"
+    assert make("A Plain Title costs $5 here") == "A Plain Title costs $5 here"
     warn = lambda before, after, page: value(spark, review_warnings(F.lit("doi"), F.lit("article-journal"), F.lit("J"), F.lit(before), F.lit(after), F.lit(page)))
     assert warn("A", "B", None) == ["review-metadata-incomplete"] and warn("A", "A", None) == [] and warn("A", "B", "3") == []
 

@@ -42,7 +42,7 @@ def test_rows(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
 
-def test_bounded_documents(spark, tmp_path):
+def test_bounded_text(spark, tmp_path):
     def expected(text):
         return None if text is None else text.encode()[:65_536].decode("utf-8", "ignore").strip()
 
@@ -50,7 +50,7 @@ def test_bounded_documents(spark, tmp_path):
     spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     stored = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     for folder, rows in ((tmp_path, made), (SF, stored)):
-        heads = collections.Counter((r["doc_id"], r["head"]) for r in plans.QUERIES["bounded_documents"](spark, str(folder)).collect())
+        heads = collections.Counter((r["doc_id"], r["head"]) for r in plans.QUERIES["bounded_text"](spark, str(folder)).collect())
         assert all("<" not in (t or "") for _, t in rows)
         assert heads == collections.Counter((i, expected(t)) for i, t in rows)
 
