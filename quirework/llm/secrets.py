@@ -2,9 +2,10 @@
 
 Base kinds are assign, access and hex as the contract defines them. The method adds ``random``: a long run
 of encoding characters whose encoding (hex, base32 or base64) is inferred from the characters it has and
-which passes for random. Three tests ask whether its symbols could be drawn evenly and independently:
+which passes for random. Four tests ask whether its symbols could be drawn evenly and independently:
 chi-squared uniformity over classes of the alphabet, as many as the length bears; the number of runs above
-and below the middle; the serial correlation of neighbours. Their p-values are combined by Fisher's method.
+and below the middle, and that of runs of capitals, small letters and digits, as words have few of those; the serial
+correlation of neighbours. Their p-values are combined by Fisher's method.
 Two rules over all candidates of the corpus, separately by length (in octaves), as short runs have less power,
 say which of them are reported. Benjamini and Hochberg's at ``FALSE_DISCOVERY`` names those that are not random. The
 rest may still hold runs that the tests are too weak to reject; as p-values of random runs are even, those above one
@@ -121,7 +122,7 @@ def symbols(run: Column, code: Column) -> Column:
 
 
 def randomness(values: Column, k: Column) -> Column:
-    """Fisher's combined p-value of the three tests, for symbols 0 to k - 1. values has 20 or more."""
+    """Fisher's combined p-value of the four tests, for symbols 0 to k - 1. values has 20 or more."""
     zero = F.lit(0.0)
 
     def total(array: Column, term) -> Column:
@@ -147,15 +148,36 @@ def randomness(values: Column, k: Column) -> Column:
             var = let((mu - 1) * (mu - 2) / (n - 1), lambda x: F.when(x > 1e-9, x))
             return F.coalesce(let((runs - mu) / F.sqrt(var), _two_sided), F.lit(1e-12))
 
+        def same_as(kind: int):
+            return lambda y: y == kind
+
+        def kinds_p(kinds: Column) -> Column:
+            """Of words and numbers put together each keeps to its kind for longer than chance would."""
+            sizes = F.array(*[F.size(F.filter(kinds, same_as(kind))).cast("double") for kind in range(3)])
+            changes = F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds)), lambda a, b: a != b)
+            runs = 1 + total(changes, lambda c: c.cast("double"))
+
+            def told(m: Column) -> Column:
+                two, three = total(m, lambda x: x * x), total(m, lambda x: x * x * x)
+                var = (two * (two + n * (n + 1)) - 2 * n * three - n * n * n) / (n * n * (n - 1))
+                return let((runs - (n * (n + 1) - two) / n) / F.sqrt(F.when(var > 1e-9, var)), _two_sided)
+
+            return F.coalesce(let(sizes, told), F.lit(1.0))
+
         def serial_p(mean: Column) -> Column:
             spread = let(total(v, lambda x: F.pow(x - mean, 2)), lambda x: F.when(x > 1e-9, x))
             lagged = total(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))
             return F.coalesce(let((lagged / spread + 1 / n) * F.sqrt(n), _two_sided), F.lit(1e-12))
 
         expected = let(total(v, lambda x: (x * 2 >= k).cast("double")), lambda high: 2 * high * (n - high) / n + 1)
-        three = (let(classes, uniform_p), let(expected, runs_p), let(total(v, lambda x: x.cast("double")) / n, serial_p))
-        half = -sum((F.log(F.greatest(p, F.lit(1e-300))) for p in three), F.lit(0.0))
-        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        # Capitals, small letters and the rest; letters and digits where there is one case.
+        kind = lambda x: F.when(k == 16, (x >= 10).cast("int")).otherwise((x >= 26).cast("int") + (x >= 52).cast("int"))
+        four = (
+            let(classes, uniform_p), let(expected, runs_p), let(total(v, lambda x: x.cast("double")) / n, serial_p),
+            let(F.transform(v, kind), kinds_p),
+        )
+        half = -sum((F.log(F.greatest(p, F.lit(1e-300))) for p in four), F.lit(0.0))
+        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))
 
     return let(values, of)
 

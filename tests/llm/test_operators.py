@@ -320,6 +320,23 @@ def test_random_runs_beside_base_spans(spark):
     assert out[4] in ("", "random:1:49")
 
 
+def test_names_are_told_from_random_runs(spark):
+    """Words and a number run together pass for random seldom from some 60 signs on; random runs mostly do at every length."""
+    rng, words = random.Random(1), "get set user Account report index value Manager local Path config Server data file table query".split()
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = []
+    for n in (24, 60, 80, 120):
+        for _ in range(150):
+            run = ""
+            while len(run) < n - 4:
+                run += rng.choice(words).capitalize()
+            rows += [(n, False, run[: n - 4] + str(rng.randint(1000, 9999))), (n, True, "aA1" + "".join(rng.choice(signs) for _ in range(n - 3)))]
+    frame = spark.createDataFrame([(k, f"x {run} y") for k, (_, _, run) in enumerate(rows)], "doc_id long, text string")
+    seen = Counter(rows[r["doc_id"]][:2] for r in secrets.find_secrets(frame).collect() if "random" in r["spans"])
+    for n in (24, 60, 80, 120):
+        assert seen[n, True] >= 110 and seen[n, False] <= (75 if n < 60 else 8), (n, seen)
+
+
 def test_reports_are_held_against_false_ones():
     rng = np.random.default_rng(3)
     steps = lambda p: Counter(int(min(secrets.MOST, -np.log10(x) * secrets.STEPS)) for x in p)
