@@ -125,8 +125,9 @@ def one_of_each(docs: DataFrame, rows: DataFrame, group: str, *more: str) -> Dat
     marked = docs.withColumn("__qw_own", raw_print(docs, *more))
     # Both lists grow with the data, so they are never broadcast.
     gone, twice = gone.hint("merge"), durable(twice).hint("merge")
+    some = bool(gone.take(1))
     match = lambda left, right: left["doc_id"].eqNullSafe(right["__qw_id"]) & (left["__qw_own"] == right["__qw_print"])
-    rest = marked.join(gone, match(marked, gone), "left_anti")
+    rest = marked.join(gone, match(marked, gone), "left_anti") if some else marked
     if not twice.take(1):
         return rest.drop("__qw_own")
     once = rest.join(twice, match(rest, twice), "left_anti").drop("__qw_own")
