@@ -772,7 +772,7 @@ POST = (
     """{"id":"a","csl":{"type":"book","title":"T' || o_orderkey || '","ISBN":["","978"],"issued":{"date-parts":[[2001,2]]}},"formattedText":"F"},"""
     """{"id":"b","csl":{"type":"webpage","title":"U","author":[{"family":"Doe"}]}}]} --><section></section><!-- /wp:BLOCK -->"""
     """<!-- /wp:group --><!-- wp:BLOCK {"citations":"none"} /-->'"""
-).replace("BLOCK", B.BLOCK)
+).replace("BLOCK", "records/bibliography")
 
 
 def _posts(spark, d):

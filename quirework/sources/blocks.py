@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quirework.schema import CITATION_COLUMNS, DATE, DEFAULT_STYLE, NAMES
 
-#: Fixed value: the type of bibliography blocks in saved posts, without which no saved post can be read.
-BLOCK = "bibliography-builder/bibliography"
+#: Which block types hold a bibliography, as a pattern: those of that name, whoever registered them.
+BLOCK = r"[a-z][a-z0-9-]*/bibliography"
 #: The JSON of one stored citation: CSL fields keep their names with hyphens.
 CSL_JSON = (
     "id string, type string, title string, `container-title` string, publisher string, page string, volume string, "
@@ -28,19 +28,19 @@ CITATION_JSON = (
 )
 
 
-def blocks(content: Column) -> Column:
+def blocks(content: Column, block: str = BLOCK) -> Column:
     """SRC-1: the attribute JSON of every bibliography block in document order, nested ones too.
 
     The opening comments of blocks come in the order of a walk that visits a block before what it holds.
     """
-    pattern = rf"(?s)<!--\s+wp:{BLOCK}\s+(\{{.*?\}}\s+)?/?-->"
+    pattern = rf"(?s)<!--\s+wp:(?:{block})\s+(\{{.*?\}}\s+)?/?-->"
     found = F.regexp_extract_all(content, F.lit(pattern), F.lit(1))
     return F.transform(found, lambda a: F.when(F.trim(a) == "", "{}").otherwise(F.trim(a)))
 
 
-def bibliographies(posts: DataFrame) -> DataFrame:
+def bibliographies(posts: DataFrame, block: str = BLOCK) -> DataFrame:
     """SRC-2, SRC-3: one row per block: post_id, index, attributes with their defaults, entry_count, citations_json."""
-    rows = posts.select("post_id", F.posexplode(blocks(F.col("content"))).alias("index", "attrs"))
+    rows = posts.select("post_id", F.posexplode(blocks(F.col("content"), block)).alias("index", "attrs"))
     a = F.from_json("attrs", ATTRIBUTES)
     rows = rows.select("post_id", F.col("index").cast("long").alias("index"), a.alias("a"))
     listed = F.coalesce(F.from_json("a.citations", "array<string>"), F.expr("cast(array() as array<string>)"))

@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from quirework.operators import api
 from quirework.sources import bibtex as BIB
-from quirework.sources.blocks import BLOCK, bibliographies, citations as block_citations
+from quirework.sources.blocks import bibliographies, citations as block_citations
 from quirework.sources.manual import manual_citations
 from quirework.sources.pasted import paste_errors, paste_items, remaining_input
 from quirework.sources.resolve import pmid_status
 from quirework.streaming.imports import first_dois, stream_items, write_items
 from tests.helpers import citations, person
 
+BLOCK = "records/bibliography"
 ONE = '{"citationStyle":"apa-7","headingText":"Works","citations":[{"id":"a","csl":{"type":"book","title":"T -- x","custom":{"k":1}},"displayOverride":"Shown"}]}'
 POSTS = [
     (1, f"<!-- wp:{BLOCK} {ONE} --><section/><!-- /wp:{BLOCK} -->"
