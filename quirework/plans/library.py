@@ -97,11 +97,11 @@ def style_dimension(spark, d):
 @query(
     Q.with_cites(
         f"""SELECT bibliography_id, pos, CASE WHEN type IN ('book', 'thesis', 'webpage', 'report') THEN title ELSE container_title END AS italic_text
-        FROM c WHERE {Q.names(True)} IS NOT NULL AND type NOT IN ('webpage')"""
+        FROM c"""
     )
 )
 def italic_segments(spark, d):
-    rows = cites(spark, d).where("type <> 'webpage' AND (size(author) > 0 OR size(editor) > 0)")
+    rows = cites(spark, d)
     text = render("mla-9", S.csl())
     none = F.lit(None).cast("string")
     parts = segments(text, none, F.col("type"), F.col("title"), F.col("container_title"))
@@ -164,13 +164,14 @@ def dedupe_pairs(spark, d):
 
 @query(
     Q.with_cites(
-        "SELECT bibliography_id, min(a_pos) AS duplicate_of, b_pos AS pos FROM pairs WHERE a_pos % 2 = 0 AND b_pos % 2 = 1 GROUP BY bibliography_id, b_pos",
-        PAIRS.replace("x.pos < z.pos", "x.pos <> z.pos"),
+        "SELECT bibliography_id, min(a_pos) AS duplicate_of, b_pos AS pos FROM pairs GROUP BY bibliography_id, b_pos",
+        PAIRS.replace("x.pos < z.pos", "true"),
     )
 )
 def dedupe_first(spark, d):
+    """Every row against every stored row of its bibliography, itself among them."""
     rows = cites(spark, d)
-    return D.first_duplicates(rows.where("pos % 2 = 1"), rows.where("pos % 2 = 0"))
+    return D.first_duplicates(rows, rows)
 
 
 @query(
@@ -193,13 +194,16 @@ def dedupe_partition(spark, d):
 
 @query(
     Q.with_cites(
-        "SELECT o.bibliography_id, o.pos FROM c o WHERE o.pos % 2 = 1 AND o.DOI IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c e WHERE e.pos % 2 = 0 "
+        "SELECT o.bibliography_id, o.pos FROM c o WHERE NOT EXISTS (SELECT 1 FROM c e WHERE e.pos % 2 = 0 "
         "AND e.bibliography_id = o.bibliography_id AND lower(e.DOI) = lower(o.DOI))"
     )
 )
 def existing_doi_anti(spark, d):
-    rows = cites(spark, d).select(F.col("bibliography_id").alias("paste_id"), "pos", "DOI", F.lit("doi").alias("format"), F.col("DOI").alias("value"))
-    new, _ = without_known_dois(rows.where("pos % 2 = 1 AND DOI IS NOT NULL"), rows.where("pos % 2 = 0"))
+    """All rows as items, those without a DOI as free text; stored are all rows, of which odd ones got another DOI."""
+    rows = cites(spark, d).withColumnRenamed("bibliography_id", "paste_id")
+    found = rows.select("paste_id", "pos", F.when(F.col("DOI").isNull(), "freetext").otherwise("doi").alias("format"), F.coalesce("DOI", "title").alias("value"))
+    known = rows.select("paste_id", F.when(F.col("pos") % 2 == 0, F.upper("DOI")).otherwise(F.concat("DOI", F.lit("/other"))).alias("DOI"))
+    new, _ = without_known_dois(found, known)
     return new.select(F.col("paste_id").alias("bibliography_id"), "pos")
 
 
@@ -207,11 +211,11 @@ def existing_doi_anti(spark, d):
 @query(
     Q.with_cites(
         rf"""SELECT bibliography_id, pos, regexp_replace('https://doi.org/' || DOI || '.', '[).,;:\s]+$', '') AS input,
-        lower(regexp_replace(DOI, '[).,;:\s]+$', '')) AS lookup, {Q.DOI_MATCH} AS dedupe FROM c WHERE DOI IS NOT NULL"""
+        lower(regexp_replace(DOI, '[).,;:\s]+$', '')) AS lookup, {Q.DOI_MATCH} AS dedupe FROM c"""
     )
 )
 def doi_forms(spark, d):
-    rows = cites(spark, d).where("DOI IS NOT NULL")
+    rows = cites(spark, d)
     written = F.concat(F.lit(" https://doi.org/"), "DOI", F.lit(". "))
     return rows.select(
         "bibliography_id", "pos", TX.doi_input(written).alias("input"), TX.doi_lookup(F.concat(F.lit("DOI:"), "DOI")).alias("lookup"),
@@ -274,7 +278,7 @@ def partial_date(spark, d):
 
 @query(
     Q.with_cites(
-        "SELECT bibliography_id, pos, coalesce(family, literal, 'Unknown') || coalesce(' ' || year, '') AS label FROM c WHERE family2 IS NULL OR family IS NOT NULL OR literal IS NOT NULL"
+        "SELECT bibliography_id, pos, coalesce(family, literal, 'Unknown') || coalesce(' ' || year, '') AS label FROM c"
     )
 )
 def entry_label(spark, d):
