@@ -538,18 +538,17 @@ def _kind(name: str) -> str:
     return _pair("rft_val_fmt", f"'info:ofi/fmt:kev:mtx:{name}'")
 
 
-@query(
-    Q.with_cites(
-        f"""SELECT bibliography_id, pos, concat_ws('&', 'ctx_ver=Z39.88-2004', CASE type
+COINS = f"""concat_ws('&', 'ctx_ver=Z39.88-2004', CASE type
         WHEN 'book' THEN concat_ws('&', {_kind('book')}, {_pair('rft.btitle', 'title')}, {BOOK_TAIL})
         WHEN 'chapter' THEN concat_ws('&', {_kind('book')}, {_pair('rft.btitle', 'container_title')}, {_pair('rft.atitle', 'title')}, {BOOK_TAIL})
         WHEN 'thesis' THEN concat_ws('&', {_kind('dissertation')}, {_pair('rft.title', 'title')}, {_pair('rft.inst', 'publisher')})
         ELSE concat_ws('&', {_kind('journal')}, {_pair('rft.atitle', 'title')}, {_pair('rft.jtitle', 'container_title')}, {_pair('rft.volume', 'volume')},
             {_pair('rft.issue', 'issue')}, {_pair('rft.spage', Q.FIRST_PAGE)}, {_pair('rft.epage', Q.LAST_PAGE)}) END,
         {_pair('rft.aulast', 'coalesce(family, literal)')}, {_pair('rft.aufirst', 'given')}, {_pair('rft.date', Q.ISO)},
-        {_pair('rft_id', "'info:doi/' || DOI")}) AS coins FROM c"""
-    )
-)
+        {_pair('rft_id', "'info:doi/' || DOI")})"""
+
+
+@query(Q.with_cites(f"SELECT bibliography_id, pos, {COINS} AS coins FROM c"))
 def export_coins(spark, d):
     return cites(spark, d).select("bibliography_id", "pos", X.coins(S.csl()).alias("coins"))
 
@@ -576,18 +575,15 @@ PART_OF = (
 )
 
 
-@query(
-    Q.with_cites(
-        "SELECT bibliography_id, pos, "
-        + _object(
-            ("@context", "'\"https://schema.org\"'"), ("@type", J(LD_TYPE)), ("name", J("title")), ("author", AUTHORS_JSON), ("datePublished", J(Q.ISO)),
-            ("isPartOf", PART_OF), ("publisher", _object(("@type", "'\"Organization\"'"), ("name", J("publisher")))),
-            ("identifier", "CASE WHEN DOI IS NOT NULL THEN " + _object(("@type", "'\"PropertyValue\"'"), ("propertyID", "'\"DOI\"'"), ("value", J("DOI"))) + " END"),
-            ("url", J("'https://doi.org/' || " + Q.encoded("DOI"))), ("isbn", J("isbn1")), ("url", f"CASE WHEN DOI IS NULL THEN {J('URL')} END"),
-        )
-        + " AS json FROM c"
-    )
+LD_ONE = _object(
+    ("@context", "'\"https://schema.org\"'"), ("@type", J(LD_TYPE)), ("name", J("title")), ("author", AUTHORS_JSON), ("datePublished", J(Q.ISO)),
+    ("isPartOf", PART_OF), ("publisher", _object(("@type", "'\"Organization\"'"), ("name", J("publisher")))),
+    ("identifier", "CASE WHEN DOI IS NOT NULL THEN " + _object(("@type", "'\"PropertyValue\"'"), ("propertyID", "'\"DOI\"'"), ("value", J("DOI"))) + " END"),
+    ("url", J("'https://doi.org/' || " + Q.encoded("DOI"))), ("isbn", J("isbn1")), ("url", f"CASE WHEN DOI IS NULL THEN {J('URL')} END"),
 )
+
+
+@query(Q.with_cites(f"SELECT bibliography_id, pos, {LD_ONE} AS json FROM c"))
 def export_jsonld(spark, d):
     return cites(spark, d).select("bibliography_id", "pos", X.json_ld(S.csl()).alias("json"))
 
@@ -673,12 +669,35 @@ def export_biblatex(spark, d):
     return cites(spark, d).select("bibliography_id", "pos", X.biblatex(S.csl()).alias("entry"))
 
 
-@query()
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _json_script(mime: str, one: str) -> str:
+    listed = f"string_agg({one}, ',' ORDER BY {Q.ORDER['author-date']})"
+    return f"""'<script type="{mime}">[' || replace(replace(replace({listed}, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') || ']</script>'"""
+
+
+#: Italics stand where the title or container occurs last; the address stands at the end, before a full stop.
+ENTRIES = f"""shown AS (SELECT *, {Q.rendered('author-date')} AS t, CASE WHEN type IN ('article-journal', 'chapter') THEN container_title ELSE title END AS v,
+        coalesce('https://doi.org/' || DOI, URL) AS a FROM c),
+    cut AS (SELECT *, length(t) - strpos(reverse(t), reverse(v)) - length(v) + 1 AS before,
+        CASE WHEN a IS NULL THEN length(t) ELSE length(t) - length(a) - 1 END AS until FROM shown),
+    entries AS (SELECT *, {_escaped('left(t, before)')} || '<i>' || {_escaped('v')} || '</i>'
+        || {_escaped('substr(t, before + length(v) + 1, until - before - length(v))')}
+        || coalesce('<a href="' || {_escaped('a')} || '">' || {_escaped('a')} || '</a>.', '') AS entry FROM cut)"""
+MARKUP = f"""'<section role="doc-bibliography" aria-label="References"><p class="bibliography-heading">References</p><ul class="bibliography-list">'
+    || string_agg('<li id="ref-c-' || bibliography_id || '-' || pos || '"><cite>' || entry || '</cite><span class="Z3988" aria-hidden="true" title="'
+        || {_escaped(COINS)} || '"></span></li>', '' ORDER BY {Q.ORDER['author-date']}) || '</ul>'
+    || {_json_script('application/ld+json', LD_ONE)} || {_json_script('application/vnd.citationstyles.csl+json', CSL_ONE)} || '</section>'"""
+
+
+@query(Q.with_cites(f"SELECT bibliography_id, {MARKUP} AS html FROM entries GROUP BY bibliography_id", ENTRIES))
 def export_html(spark, d):
     rows = S.formatted_in(cites(spark, d), "apa-7")
     heads = rows.select("bibliography_id").distinct().select(
         "bibliography_id", F.lit("References").alias("heading_text"), F.lit(True).alias("output_json_ld"), F.lit(True).alias("output_coins"),
-        F.lit(False).alias("output_csl_json"), F.lit(False).alias("output_cite_export"),
+        F.lit(True).alias("output_csl_json"), F.lit(False).alias("output_cite_export"),
     )
     return DOC.html(heads, rows, "apa-7")
 
