@@ -21,6 +21,7 @@ from quirework.schema import CITATION_COLUMNS, CSL_COLUMNS, DATE, FIELD_BYTES, N
 from quirework.schema import NAME as PERSON
 from quirework.sources.pasted import paste_items, remaining_input
 from quirework.sources.resolve import resolve_pmids
+from quirework.storage import durable
 
 #: One text for each rule, in order; {n} is a name, {y} a year.
 RULES = (
@@ -209,7 +210,7 @@ def imported(spark, d):
     none = {k: F.lit(None).cast(t).alias(k) for k, t in CITATION_COLUMNS.items()}
     none |= {k: F.col(f"r.{k}") for k in CITATION_COLUMNS if k in FIELDS}
     none |= {"bibliography_id": F.col("p_partkey").alias("bibliography_id"), "pos": F.lit(0).cast(CITATION_COLUMNS.get("pos", "long")).alias("pos"), "id": F.concat(F.lit("s-"), "p_partkey").alias("id")}
-    existing = made.select(*none.values())
+    existing = durable(made.select(*none.values()))
     empty = spark.createDataFrame([], "key string, csl_json string")
     _, outcomes = import_paste(existing, pastes, "apa-7", empty, empty)
     # A position counts chunks in its upper half.
