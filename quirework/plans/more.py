@@ -14,6 +14,7 @@ from quirework.functions.reviews import review_warnings
 from quirework.functions.validate import clean_date, errors, raw_link_text, readable
 from quirework.operators import sets as S
 from quirework.operators.api import import_paste
+from quirework.operators.ordering import sorted_citations
 from quirework.plans import oracle as Q
 from quirework.plans.cites import cites
 from quirework.plans.library import query, read
@@ -296,3 +297,17 @@ def change_heading(spark, d):
 def raw_links(spark, d):
     bare = F.when(F.col("pos") % 4 == 0, "https://x.org/a").when(F.col("pos") % 4 == 2, "10.1000/x").otherwise(F.col("title"))
     return cites(spark, d).select("bibliography_id", "pos", raw_link_text(bare, F.col("URL"), F.col("DOI")).alias("raw"))
+
+
+@query(
+    f"""WITH c AS (SELECT * REPLACE (CASE WHEN pos % 2 = 0 THEN translate(family, 'Supie', 'ŠüṗïÉ') ELSE family END AS family) FROM ({Q.CITES}))
+    SELECT bibliography_id, pos, (row_number() OVER (PARTITION BY bibliography_id
+        ORDER BY strip_accents({Q.A1}), {Q.TS}, year NULLS LAST, pos) - 1)::BIGINT AS position FROM c"""
+)
+def sort_accents(spark, d):
+    """Names of which every second one has accents and capitals sort as those without."""
+    rows = cites(spark, d)
+    accented = F.transform("author", lambda n: n.withField("family", F.translate(n["family"], "Supie", "ŠüṗïÉ")))
+    first = F.concat(F.slice(accented, 1, 1), F.slice("author", 2, 9))
+    rows = rows.withColumn("author", F.when(F.col("pos") % 2 == 0, first).otherwise(F.col("author")))
+    return sorted_citations(rows, "chicago-notes-bibliography").select("bibliography_id", "pos", "position")
