@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 
 from quirework.llm import (
+    alignment,
     embedding_dedup,
     exact_dedup,
+    html_extraction,
     licenses,
+    merkle,
     mixing,
+    oracles,
     packing,
     pii,
     secrets,
@@ -61,6 +65,19 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_html_extraction(spark, sf_dir):
+    return html_extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,10 +91,13 @@ QUERIES = {
         op8_secrets,
         op9_simhash,
         op10_toxicity,
+        op11_html_extraction,
+        op12_merkle_manifest,
+        op13_tokenizer_alignment,
     )
 }
 
-ORACLES = {
+ORACLES = oracles.ORACLES | {
     "op7_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
