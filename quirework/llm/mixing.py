@@ -1,10 +1,12 @@
 """Operator 4: mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
 Each source's documents are shuffled by a digest of their id and laid end to end; the stream is cut into blocks
-of equally many words, some 65,000 to a mix of any size (``SLOTS``). Slot i of the mix has the golden-ratio point
-frac(i * phi); the source in whose share of the unit interval it falls gets the slot. The k-th slot of a source takes
-its k-th block, going round the stream again after its end. How much is taken of a source is what the points say, within
-a few blocks of its target. Only slots after ``LIMIT`` rounds of a stream stay empty, as no document may come more often.
+of equally many words. A block is a share of the mix that ``SLOTS`` sets, or shorter, so that what is taken of a source has
+``LEAST_SLOTS`` blocks, or one for each word. Slot i of the mix has the golden-ratio point
+frac(i * phi); the source in whose share of the unit interval it falls gets the slot, and a share is as wide as the source has
+blocks to give. The k-th slot of a source takes its k-th block, going round the stream again after its end, until its
+target is reached to the word. The points come within a few slots of that: a source's slots beyond its last block stay empty, and
+blocks beyond its last slot follow after the last point's. No document comes more than ``LIMIT`` times.
 
 Defined results: sources rank by code point with null last and weigh 3, 1, 2, repeating; a null text
 has no words; documents without words take nothing; a source without words has target 0; rows that
@@ -29,8 +31,8 @@ PHI = (math.sqrt(5) - 1) / 2
 PHI_20 = (2**20 * PHI) % 1
 #: The unit interval's cells, by which slots find their source with an equi-join.
 CELLS = 4096
-#: Slots that the mix is cut into, about, and more of them for each source.
-SLOTS, SLOTS_EACH = 2**16, 64
+#: Slots that the mix is cut into, about, and those of a source at least, if it gives as many words.
+SLOTS, LEAST_SLOTS = 2**16, 2**8
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -68,25 +70,28 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def planned(sources: DataFrame) -> tuple[DataFrame, int, int]:
-    """Sources with words to give, with their number of blocks and their share of the unit interval; a block's words; slots."""
-    quota = F.floor("target").cast("long")
-    plan = sources.where("source_size > 0 and target >= 1").withColumn("_quota", quota)
-    total, count = plan.agg(F.coalesce(F.sum("_quota"), F.lit(0)), F.count(F.lit(1))).first()
-    block = max(1, -(-total // (SLOTS + SLOTS_EACH * count)))
+def planned(sources: DataFrame) -> tuple[DataFrame, int]:
+    """Sources with words to give and their share of the unit interval; the number of slots.
+
+    A source gives its stream ``rounds`` times and then its first ``rest`` words, in blocks of ``block`` words: ``blocks`` to a
+    round, ``n`` in all.
+    """
+    plan = sources.where("source_size > 0 and target >= 1").withColumn("_quota", F.floor("target").cast("long"))
+    total = plan.agg(F.coalesce(F.sum("_quota"), F.lit(0))).first()[0]
+    own = F.greatest(F.lit(1), F.least(F.lit(-(-total // SLOTS)), F.expr(f"_quota div {LEAST_SLOTS}")))
+    plan = plan.withColumn("block", own.cast("long")).withColumn("rounds", F.expr("_quota div source_size"))
+    plan = plan.withColumn("rest", F.expr("_quota % source_size")).withColumn("blocks", F.expr("(source_size + block - 1) div block"))
+    plan = plan.withColumn("n", F.expr("rounds * blocks + (rest + block - 1) div block"))
     run = Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, -1)
-    plan = plan.withColumn("_from", F.coalesce(F.sum("_quota").over(run), F.lit(0)))
-    plan = plan.select(
-        "source_key",
-        F.ceil(F.col("source_size") / block).cast("long").alias("blocks"),
-        (F.col("_from") / F.lit(max(total, 1))).alias("_lo"),
-        ((F.col("_from") + F.col("_quota")) / F.lit(max(total, 1))).alias("_hi"),
-    )
-    return durable(plan), block, -(-total // block)
+    plan = durable(plan.withColumn("_from", F.coalesce(F.sum("n").over(run), F.lit(0)).cast("long")))
+    slots = plan.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = lambda edge: edge / F.lit(max(slots, 1))
+    ends = (share(F.col("_from")).alias("_lo"), share(F.col("_from") + F.col("n")).alias("_hi"))
+    return plan.select("source_key", "block", "blocks", "rounds", "rest", "n", *ends), slots
 
 
 def schedule(plan: DataFrame, slots: int) -> DataFrame:
-    """The mix's slots that are filled: (slot, source_key, k), k counting the source's slots from 0."""
+    """The mix's slots that are filled: (slot, source_key, k), k counting the source's slots from 0 to n - 1."""
     cells = plan.withColumn(
         "_cell",
         F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))),
@@ -97,7 +102,13 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     points = points.withColumn("_cell", F.floor(F.col("_u") * CELLS))
     drawn = points.join(cells, "_cell").where("_u >= _lo and _u < _hi")
     k = F.row_number().over(Window.partitionBy("source_key").orderBy("slot")) - 1
-    return drawn.select("slot", "source_key", "blocks", k.cast("long").alias("k")).where(F.col("k") < F.col("blocks") * LIMIT).drop("blocks")
+    drawn = durable(drawn.select("slot", "source_key", k.cast("long").alias("k"), "n").where("k < n").drop("n"))
+    some = drawn.groupBy("source_key").agg(F.count(F.lit(1)).alias("_some"))
+    # What the points left out, in turns: a block of each such source, then the next.
+    left = plan.join(some, "source_key", "left").withColumn("_some", F.coalesce("_some", F.lit(0)))
+    left = left.where("_some < n").select("source_key", "_some", F.explode(F.sequence("_some", F.col("n") - 1)).alias("k"))
+    turn = F.row_number().over(Window.orderBy(F.col("k") - F.col("_some"), "source_key")) - 1
+    return drawn.unionByName(left.select((F.lit(slots) + turn).cast("long").alias("slot"), "source_key", "k"))
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,17 +121,11 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = compact(docs.select(docs["doc_id"], docs["source"], words, raw_print(docs, "source").alias("print")))
     digits = hex_digits(sizes.count())
     sources = durable(source_targets(sizes))
-    plan, block, slots = planned(sources)
+    plan, slots = planned(sources)
     filled = durable(schedule(plan, slots))
-    given = plan.join(filled.groupBy("source_key").agg(F.count(F.lit(1)).alias("_given")), "source_key", "left")
-    given = given.select("source_key", "blocks", F.coalesce("_given", F.lit(0)).alias("_given"))
-    told = durable(
-        sources.join(given, "source_key", "left").select(
-            "source_key", F.col("source").alias("_of"), "source_size", "target", "blocks",
-            F.coalesce(F.floor(F.col("_given") / F.col("blocks")), F.lit(0)).alias("_rounds"),
-            F.coalesce(F.least(F.col("_given") % F.col("blocks") * block, "source_size"), F.lit(0)).alias("_rest"),
-        )
-    )
+    given = plan.select("source_key", "block", "blocks", F.col("rounds").alias("_rounds"), F.col("rest").alias("_rest"))
+    told = sources.withColumnRenamed("source", "_of").join(given, "source_key", "left")
+    told = durable(told.fillna(0, ["_rounds", "_rest"]).fillna(1, ["block"]))
     placed = (
         sizes.join(told, sizes["source"].eqNullSafe(told["_of"]))
         .drop("_of")
@@ -130,7 +135,7 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = ["_digest", F.col("doc_id").asc_nulls_first(), "size", "print"]
     placed = running_total(placed, "source_key", "_chunk", order, "size", "first_word").drop("_digest", "_chunk")
     once_more = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("_rest") - F.col("first_word")))
-    placed = placed.withColumn("_more", once_more).withColumn("_block", F.floor(F.col("first_word") / block))
+    placed = placed.withColumn("_more", once_more).withColumn("_block", F.expr("first_word div block"))
     return durable(placed.withColumn("taken", (F.col("_rounds") * F.col("size") + F.col("_more")).cast("long"))), filled
 
 

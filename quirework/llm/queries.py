@@ -128,26 +128,33 @@ ORACLES = oracles.ORACLES | {
             FROM lvl
         ), quotas AS (
             SELECT *, floor(target)::BIGINT AS quota FROM tgt
-        ), sums AS (
-            SELECT greatest(1, ceil(sum(quota) / (65536 + 64 * count(*))::DOUBLE))::BIGINT AS block, sum(quota)::BIGINT AS total
-            FROM quotas WHERE source_size > 0 AND target >= 1
+        ), totals AS (
+            SELECT sum(quota)::BIGINT AS total FROM quotas WHERE source_size > 0 AND target >= 1
+        ), cut AS (
+            SELECT source, k, source_size, quota, greatest(1, least((total + 65535) // 65536, quota // 256))::BIGINT AS block
+            FROM quotas, totals WHERE source_size > 0 AND target >= 1
+        ), counted AS (
+            SELECT *, (source_size + block - 1) // block AS blocks, quota // source_size AS rounds, quota % source_size AS rest FROM cut
+        ), numbered AS (
+            SELECT *, (rounds * blocks + (rest + block - 1) // block)::BIGINT AS n FROM counted
         ), plan AS (
-            SELECT k, ceil(source_size / block::DOUBLE)::BIGINT AS blocks, block,
-                   coalesce(sum(quota) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / total::DOUBLE AS lo,
-                   (sum(quota) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE / total::DOUBLE AS hi
-            FROM quotas, sums WHERE source_size > 0 AND target >= 1
+            SELECT *, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (sum(n) OVER ())::DOUBLE AS lo,
+                   (sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE / (sum(n) OVER ())::DOUBLE AS hi
+            FROM numbered
         ), points AS (
             SELECT i AS slot, ((i >> 20)::DOUBLE * GOLDEN_20::DOUBLE + (i & 1048575)::DOUBLE * GOLDEN::DOUBLE) % 1 AS u
-            FROM range((SELECT ceil(total / block::DOUBLE)::BIGINT FROM sums)) AS r(i)
+            FROM range((SELECT coalesce(sum(n), 0)::BIGINT FROM plan)) AS r(i)
         ), drawn AS (
-            SELECT slot, plan.k, blocks, row_number() OVER (PARTITION BY plan.k ORDER BY slot) - 1 AS nth
+            SELECT slot, plan.k, n, row_number() OVER (PARTITION BY plan.k ORDER BY slot) - 1 AS nth
             FROM points JOIN plan ON u >= lo AND u < hi
+        ), reached AS (
+            SELECT plan.k, plan.n, count(nth) AS had FROM plan LEFT JOIN drawn ON plan.k = drawn.k AND nth < plan.n GROUP BY plan.k, plan.n
+        ), missed AS (
+            SELECT k, had, unnest(range(had, n)) AS nth FROM reached WHERE had < n
         ), filled AS (
-            SELECT * FROM drawn WHERE nth < 2 * blocks
-        ), given AS (
-            SELECT plan.k, plan.block, count(slot) // any_value(plan.blocks) AS rounds,
-                   count(slot) % any_value(plan.blocks) * any_value(plan.block) AS rest
-            FROM plan LEFT JOIN filled ON plan.k = filled.k GROUP BY plan.k, plan.block
+            SELECT slot, k, nth FROM drawn WHERE nth < n
+            UNION ALL
+            SELECT (SELECT count(*) FROM points) + row_number() OVER (ORDER BY nth - had, k) - 1, k, nth FROM missed
         ), placed AS (
             SELECT s.doc_id, s.size, t.source_size, t.target, t.k,
                    coalesce(sum(s.size) OVER (PARTITION BY t.k ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id NULLS FIRST,
@@ -155,8 +162,8 @@ ORACLES = oracles.ORACLES | {
             FROM sizes s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source
         ), amounts AS (
             SELECT placed.*, block,
-                   (coalesce(rounds, 0) * size + greatest(0, least(size, least(coalesce(rest, 0), source_size) - first_word)))::BIGINT AS taken
-            FROM placed LEFT JOIN given ON placed.k = given.k
+                   (coalesce(rounds, 0) * size + greatest(0, least(size, coalesce(rest, 0) - first_word)))::BIGINT AS taken
+            FROM placed LEFT JOIN plan ON placed.k = plan.k
         )
         SELECT doc_id, size::BIGINT AS size, source_size, target, taken, filled.slot::BIGINT AS first_slot
         FROM amounts LEFT JOIN filled ON amounts.k = filled.k AND filled.nth = first_word // block AND taken > 0
