@@ -9,16 +9,17 @@ the toxic dictionary saves (at most, in the best three windows, on average, beyo
 logistic regression. Its rows are training rows that had no part in the dictionaries that compress them: each half
 is measured with dictionaries of the other half. Scoring uses dictionaries of all rows.
 
-Each language (column ``lang``, where there is one) whose training rows mark any gram has dictionaries and a
-calibration of its own; all other texts are scored with those of all rows together.
+Texts are of several kinds, languages for the most part, told by their own pairs of letters: kinds are centres of the training
+rows' letter profiles, found without any column but the text. Each kind whose training rows mark any gram has dictionaries and a
+calibration of its own; texts of other kinds are scored with those of all rows together. A score depends on the text alone.
 
-Labels are learned from rows with crc32(doc_id as text) mod 5 not 0, from a sample of at most ``SAMPLE``
-rows of each class, taken by a hash of the id, with their whole texts; the classes are weighed by their numbers among
-all labelled training rows. Scoring reads whole texts.
+Labels are learned from rows with crc32(doc_id as text) mod 5 not 0, from a sample of at most ``SAMPLE`` rows and
+``LEARNED_BYTES`` bytes of each class, taken by a hash of the id, with their whole texts; the classes are weighed by their numbers
+among all labelled training rows. Scoring reads whole texts.
 
 Defined results: a null text counts as empty; without training rows of both classes, or where too few are toxic to mark a gram,
 every score is the share of toxic rows (0 with none); rows that repeat are each scored; an empty table gives an empty
-table. Labels that are null, or repeat, count as they stand. Extra columns are ignored, whatever their names, but for ``lang``.
+table. Labels that are null, or repeat, count as they stand. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.common import carried, in_small_batches, restored
 
-SAMPLE = 3000
+SAMPLE, LEARNED_BYTES = 3000, 2**26
 GRAM = 5
 CONTRAST = 4.5
 RATIO = 8
@@ -45,6 +46,8 @@ ORDINARY_BYTES = 8192
 TOXIC_BYTES = 4096
 #: Lengths of the trainer's segments, and of the samples of ordinary text.
 ORDINARY_SEGMENT, TOXIC_SEGMENT, SAMPLE_BYTES = 64, 24, 1024
+#: Kinds of text at most; a kind is one whose centre is less like each other one (cosine) than this.
+KINDS, APART = 16, 0.9
 #: zstandard does not find what stands in the last bytes of a dictionary.
 PADDING = 16
 
@@ -53,22 +56,60 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def language(docs: DataFrame):
-    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang")
-
-
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str | None, int, bytes]], dict[int, int]]:
-    """The bounded sample, (lang, toxic, text in lower case), and the number of all training rows of each class."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
+    """The bounded sample, (toxic, text in lower case), and the number of all training rows of each class."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = None
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         sample = part if sample is None else sample.unionByName(part)
-    text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select("doc_id", language(docs), text).join(F.broadcast(sample), "doc_id")
-    found = sorted((r["doc_id"], r["toxic"], encoded(r["text"]).lower(), r["lang"] or "") for r in rows.collect())
-    return [(lang or None, toxic, text) for _, toxic, text, lang in found], counts
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    so_far = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    rows = rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(so_far)).where(F.col("_bytes") <= LEARNED_BYTES)
+    found = sorted((r["doc_id"], r["toxic"], encoded(r["text"]).lower()) for r in rows.collect())
+    return [(toxic, text) for _, toxic, text in found], counts
+
+
+def _letters() -> np.ndarray:
+    """A number below 64 for each byte: letters, whatever their case, and bytes of signs beyond ASCII; 0 for all others."""
+    of = np.zeros(256, np.uint16)
+    of[ord("a") : ord("z") + 1] = of[ord("A") : ord("Z") + 1] = np.arange(1, 27)
+    of[128:] = 27 + np.arange(128) % 37
+    return of
+
+
+LETTERS = _letters()
+
+
+def profile(text: bytes) -> np.ndarray:
+    """How often each letter follows each other one in a text: roots of shares, of length one; zeros without letters."""
+    signs = LETTERS[np.frombuffer(text, np.uint8)]
+    counts = np.bincount(signs[:-1] * np.uint16(64) + signs[1:], minlength=4096)
+    counts[0] = 0
+    return np.sqrt(counts / max(1, counts.sum()))
+
+
+def kinds(profiles: np.ndarray) -> np.ndarray:
+    """Centres of the kinds of texts: one after the other, from the texts least like those found, as long as they stay apart."""
+    unit = lambda x: x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
+    lettered = profiles[profiles.any(1)]
+    if not len(lettered):
+        return np.zeros((0, profiles.shape[1]))
+    centres = unit(lettered.mean(0, keepdims=True))
+    while len(centres) < KINDS:
+        strange = np.argsort((lettered @ centres.T).max(1), kind="stable")[: max(5, len(lettered) // 50)]
+        more = np.vstack([centres, unit(lettered[strange].mean(0, keepdims=True))])
+        for _ in range(30):
+            of = (lettered @ more.T).argmax(1)
+            moved = unit(np.array([lettered[of == k].sum(0) if (of == k).any() else more[k] for k in range(len(more))]))
+            if np.allclose(moved, more):
+                break
+            more = moved
+        if (more @ more.T - np.eye(len(more))).max() > APART:
+            break
+        centres = more
+    return centres
 
 
 def without_copies(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
@@ -209,7 +250,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
 
 
 class Part:
-    """Two dictionaries and their calibration, learned from rows of one language or of all."""
+    """Two dictionaries and their calibration, learned from rows of one kind or of all."""
 
     def __init__(self, contents: tuple[bytes, bytes], rows: list[tuple[int, bytes]], by_class: dict[int, float]):
         self.contents = contents
@@ -244,25 +285,33 @@ class Part:
 
 
 class Model:
-    """What scoring needs, small enough to travel with each task: dictionaries and a few numbers for each language."""
+    """What scoring needs, small enough to travel with each task: dictionaries and a few numbers for each kind of text."""
 
-    def __init__(self, rows: list[tuple[str | None, int, bytes]], counts: dict[int, int]):
+    def __init__(self, rows: list[tuple[int, bytes]], counts: dict[int, int]):
         known = sum(counts.values())
         self.share = counts.get(1, 0) / known if known else 0.0
-        here = Counter(label for _, label, _ in rows)
+        here = Counter(label for label, _ in rows)
         by_class = {label: counts[label] / n for label, n in here.items()}
-        self.parts: dict[str | None, Part] = {}
-        for lang in sorted({lang for lang, _, _ in rows if lang is not None}) + [None]:
-            part = without_copies([(label, text) for of, label, text in rows if lang in (None, of)])
+        profiles = np.array([profile(text) for _, text in rows]).reshape(len(rows), 4096)
+        self.centres = kinds(profiles)
+        of = (profiles @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(rows), int)
+        self.parts: dict[int | None, Part] = {}
+        for kind in [*range(len(self.centres)), None]:
+            part = without_copies([row for row, k in zip(rows, of, strict=True) if kind in (None, k)])
             contents = dictionaries(part)
             if contents:
-                self.parts[lang] = Part(contents, part, by_class)
+                self.parts[kind] = Part(contents, part, by_class)
 
     def scorer(self):
-        """(text, language) to score."""
-        scorers = {lang: part.scorer() for lang, part in self.parts.items()}
+        """text to score."""
+        scorers = {kind: part.scorer() for kind, part in self.parts.items()}
         other = scorers.get(None, lambda text: self.share)
-        return lambda text, lang: scorers.get(lang, other)(text)
+
+        def score(text: bytes) -> float:
+            kind = int((self.centres @ profile(text)).argmax()) if len(self.centres) else None
+            return scorers.get(kind, other)(text)
+
+        return score
 
 
 def encoded(text) -> bytes:
@@ -279,10 +328,10 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches):
         score = model.scorer()
         for batch in batches:
-            values = [score(encoded(t), lang) for t, lang in zip(batch["text"], batch["lang"], strict=True)]
+            values = [score(encoded(t)) for t in batch["text"]]
             yield batch[["doc_id", "no_id"]].assign(score=np.array(values, float))
 
-    rows = carried(in_small_batches(docs), F.col("text"), language(docs))
+    rows = carried(in_small_batches(docs), F.col("text"))
     scored = restored(rows.mapInPandas(scan, "doc_id long, no_id boolean, score double"))
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
@@ -296,9 +345,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = train(docs, labels)
 
-    def keep(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def keep(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = model.scorer()
-        for texts, langs in columns:
-            yield pd.Series([score(encoded(t), lang) < 0.5 for t, lang in zip(texts, langs, strict=True)], dtype=bool)
+        for texts in columns:
+            yield pd.Series([score(encoded(t)) < 0.5 for t in texts], dtype=bool)
 
-    return in_small_batches(docs).where(F.pandas_udf(keep, "boolean")(docs["text"], language(docs)))
+    return in_small_batches(docs).where(F.pandas_udf(keep, "boolean")(docs["text"]))

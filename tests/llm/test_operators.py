@@ -119,27 +119,35 @@ def taken_by_hand(rows):
 
 
 def golden(rows):
-    """Slots and amounts in plain Python: (source, k) to slot, words taken of each stream as (rounds, rest), and a block's words."""
+    """Slots and amounts in plain Python: (source, k) to slot; of each source a block's words and what it gives as (rounds, rest)."""
     size, target = taken_by_hand(rows)
     names = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
     live = [s for s in names if size[s] > 0 and target[s] >= 1]
     quota = {s: int(target[s]) for s in live}
-    total = sum(quota.values())
-    block = max(1, -(-total // (mixing.SLOTS + mixing.SLOTS_EACH * len(live))))
-    edges = np.cumsum([0] + [quota[s] for s in live]) / total
-    blocks = {s: -(-size[s] // block) for s in live}
+    block = {s: max(1, min(-(-sum(quota.values()) // mixing.SLOTS), quota[s] // mixing.LEAST_SLOTS)) for s in live}
+    blocks = {s: -(-size[s] // block[s]) for s in live}
+    given = {s: divmod(quota[s], size[s]) for s in live}
+    n = {s: given[s][0] * blocks[s] - (-given[s][1] // block[s]) for s in live}
+    edges = np.cumsum([0] + [n[s] for s in live]) / sum(n.values())
     slot_of, drawn = {}, Counter()
-    for i in range(-(-total // block)):
+    for i in range(sum(n.values())):
         u = ((i >> 20) * mixing.PHI_20 + (i & 2**20 - 1) * mixing.PHI) % 1
         s = live[int(np.searchsorted(edges, u, "right")) - 1]
-        if drawn[s] < 2 * blocks[s]:
+        if drawn[s] < n[s]:
             slot_of[s, drawn[s]] = i
             drawn[s] += 1
-    return size, target, slot_of, {s: (drawn[s] // blocks[s], min(size[s], drawn[s] % blocks[s] * block)) for s in live}, block, blocks
+    had, after = dict(drawn), sum(n.values())
+    while any(drawn[s] < n[s] for s in live):
+        for s in live:
+            if drawn[s] < n[s]:
+                slot_of[s, drawn[s]] = after
+                drawn[s], after = drawn[s] + 1, after + 1
+    assert all(n[s] - had[s] <= 4 for s in live)
+    return size, target, slot_of, given, block
 
 
 def test_mixing(docs, rows):
-    size, target, slot_of, given, block, _ = golden(rows)
+    size, target, slot_of, given, block = golden(rows)
     out = mixing.mix(docs).collect()
     assert Counter((r["doc_id"], r["source"], r["size"]) for r in out) == Counter((i, s, len(WORD.findall(t or ""))) for i, t, s in rows)
     taken = Counter()
@@ -149,10 +157,10 @@ def test_mixing(docs, rows):
         rounds, rest = given.get(s, (0, 0))
         assert r["taken"] == rounds * r["size"] + max(0, min(r["size"], rest - r["first_word"]))
         assert r["taken"] <= 2 * r["size"]
-        assert r["first_slot"] == (slot_of[s, r["first_word"] // block] if r["taken"] else None)
+        assert r["first_slot"] == (slot_of[s, r["first_word"] // block[s]] if r["taken"] else None)
         taken[s] += r["taken"]
     for s in size:
-        assert abs(taken[s] - target[s]) <= 0.005 * target[s] + 8 * block
+        assert taken[s] == (int(target[s]) if s in given else 0)
         ends = sorted((r["first_word"], r["first_word"] + r["size"]) for r in out if r["source"] == s and r["size"])
         assert [a for a, _ in ends] == [0] * bool(ends) + [b for _, b in ends[:-1]]
     again = got(mixing.mix(docs.repartition(5)), "doc_id", "source", "size", "taken", "first_slot")
@@ -167,7 +175,7 @@ def test_mixing_keeps_repeated_rows_without_words(docs_of):
 
 def test_mix_schedule_spreads_sources(spark):
     sizes = spark.createDataFrame([(f"s{k}", 4000 * (k + 1)) for k in range(5)], "source string, size long")
-    plan, _, n = mixing.planned(mixing.source_targets(sizes))
+    plan, n = mixing.planned(mixing.source_targets(sizes))
     slots = sorted((r["slot"], r["source_key"]) for r in mixing.schedule(plan, n).collect())
     keys = [k for _, k in slots]
     for key, n in Counter(keys).items():  # every tenth of the mix has about a tenth of each source
@@ -176,6 +184,26 @@ def test_mix_schedule_spreads_sources(spark):
             assert abs(seen - n / 10) <= 0.002 * len(keys) / 10 + 8
 
 
+def test_mix_of_sources_of_unlike_size(spark):
+    """Every block that a source's target asks for has one slot, whether it has ten words or a thousand million."""
+    words = [10, 300, 2_000, 5_000, 12_000, 70_000, 4_000_000, 400_000_000, 1_000_000_000, 3]
+    sizes = spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(words)], "source string, size long")
+    sources = mixing.source_targets(sizes).cache()
+    plan, slots = mixing.planned(sources)
+    target = {r["source_key"]: r["target"] for r in sources.collect()}
+    size = {r["source_key"]: r["source_size"] for r in sources.collect()}
+    taken, seen = Counter(), Counter()
+    told = {r["source_key"]: r for r in plan.collect()}
+    for r in mixing.schedule(plan, slots).collect():
+        p = told[r["source_key"]]
+        seen[r["source_key"], r["k"]] += 1
+        turn, at = divmod(r["k"], p["blocks"])
+        end = size[r["source_key"]] if turn < p["rounds"] else p["rest"]
+        taken[r["source_key"]] += min(end, (at + 1) * p["block"]) - at * p["block"]
+    assert set(seen.values()) == {1} and slots < 2 * mixing.SLOTS
+    assert {k: int(t) for k, t in target.items()} == dict(taken)
+
+
 def test_mixed_documents(docs):
     """Each row comes as often as it is taken, at its slots, and the rest of it as its first words."""
     mixed = mixing.mixed_documents(docs)
@@ -473,9 +501,10 @@ def test_toxicity_against_a_slow_version(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in table] + [(None, None), (BIG, table[4][1] * 30)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    rows = [(None, y, t.encode().lower()) for i, t, y in table if zlib.crc32(str(i).encode()) % 5]
-    mine = toxicity.Model(rows, Counter(y for _, y, _ in rows))
-    part, other = model.parts[None], mine.parts[None]
+    rows = [(y, t.encode().lower()) for i, t, y in table if zlib.crc32(str(i).encode()) % 5]
+    mine = toxicity.Model(rows, Counter(y for y, _ in rows))
+    assert len(model.centres) == 1
+    part, other = model.parts[0], mine.parts[0]
     assert part.contents == other.contents and np.allclose(part.beta, other.beta)
     ordinary, toxic = part.contents
     both = ordinary + toxic + bytes(toxicity.PADDING)
@@ -516,6 +545,21 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert scores[0] == scores[1]
 
 
+def test_toxicity_depends_on_the_text_alone(spark):
+    """Neither training nor scoring sees lang, source or, beside the choice of training rows, doc_id."""
+    table = labelled(240, seed=5)
+    other = ["fr", "de", None, "en"]
+    plain = spark.createDataFrame([(i, t, "en", "s") for i, t, _ in table], "doc_id long, text string, lang string, source string")
+    mixed = spark.createDataFrame([(i, t, other[i % 4], f"s{i % 7}") for i, t, _ in table], "doc_id long, text string, lang string, source string")
+    moved = spark.createDataFrame([(i + 10_000, t, other[i % 3], None) for i, t, _ in table], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, toxic int")
+    model = toxicity.train(plain, labels)
+    first = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(plain, model).collect()}
+    assert first == {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(mixed, toxicity.train(mixed, labels)).collect()}
+    assert first == {r["doc_id"] - 10_000: r["score"] for r in toxicity.score_toxicity(moved, model).collect()}
+    assert len(set(first.values())) > 40  # one for each toxic text and some others
+
+
 def test_toxicity_in_each_language(spark):
     rng = random.Random(4)
     stems = {"de": "achlich", "es": "bomente"}
