@@ -108,13 +108,13 @@ def _siblings(base: int) -> Column:
     return F.expr(f"concat({', '.join(found)})")
 
 
-def _segments(units: DataFrame, part: DataFrame, base: int) -> DataFrame:
+def _segments(units: DataFrame, nodes: DataFrame, base: int) -> DataFrame:
     """(tree, n, _block, idx, rows, steps) of units (tree, n, idx, row): what stands left and right of each one's path in a stratum.
 
     One look-up per sibling: its coordinates are joined to the nodes. ``rows`` holds the unit's own row or null.
     """
     asked = units.select("tree", "n", "idx", F.explode(_siblings(base)).alias("_at")).select("tree", "n", "idx", "_at.*")
-    keyed = part.select("tree", "level", F.col("idx").alias("sibling"), "digest")
+    keyed = nodes.select("tree", "level", F.col("idx").alias("sibling"), "digest")
     told = asked.join(keyed, ["tree", "level", "sibling"])
     block = F.expr(f"idx div {BLOCK}").alias("_block")
     own = units.select("tree", "n", block, "idx", F.lit(None).cast("struct<level:int,sibling:bigint,digest:binary>").alias("_node"), "row")
@@ -143,7 +143,9 @@ def proofs(leaves: DataFrame, parts: list[DataFrame]) -> DataFrame:
             units = parts[k - 1].where((F.col("level") == base) & (F.expr(heights("n")) > base)).select("tree", "n", "idx", blank)
         else:
             units = leaves
-        own = _segments(units, parts[k], base)
+        # A stratum's lowest level is the highest of the part below.
+        nodes = parts[k].unionByName(parts[k - 1].where(F.col("level") == base)) if k else parts[k]
+        own = _segments(units, nodes, base)
         if k + 1 < len(parts):
             own = own.join(above, ["tree", "_block"], "left")
             own = own.withColumn("steps", F.concat("steps", F.coalesce("_upper", F.expr("slice(steps, 1, 0)"))))
