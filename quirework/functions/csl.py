@@ -30,7 +30,7 @@ from quirework.schema import DATE_FIELDS, NAME_FIELDS, column_name
 FOLDER = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "styles")
 
 #: A stop and a comma that the style adds, and its quotation marks, until the whole text is known.
-STOP, COMMA, OPEN, CLOSE = "", "", "", ""
+STOP, COMMA, OPEN, CLOSE = "\ue000", "\ue001", "\ue002", "\ue003"
 #: Options of names that a style may set further out.
 NAME_OPTIONS = {
     "form": "name-form", "delimiter": "name-delimiter", "and": "and", "delimiter-precedes-last": "delimiter-precedes-last",
@@ -274,7 +274,8 @@ class Style:
         context.reached.append((name, context.when))
         if some is False:
             return Piece(NOTHING(), True)
-        value = context.number if name == "citation-number" else context.columns[column_name(name)]
+        special = {"citation-number": context.number, "year-suffix": context.year_suffix}
+        value = special[name] if name in special else context.columns[column_name(name)]
         value = value.cast("string")
         return Piece(value if some is True else F.when(some, value), True, some, some)
 
@@ -283,6 +284,8 @@ class Style:
         column = context.columns.get(column_name(name))
         if name == "citation-number":
             return context.number is not None
+        if name == "year-suffix":
+            return False if context.year_suffix is None else F.coalesce(context.year_suffix != "", F.lit(False))
         if column is None:
             return False
         if name in NAME_FIELDS:

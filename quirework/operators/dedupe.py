@@ -1,4 +1,8 @@
-"""Duplicates: a disjunctive match rule as a union of equi-joins, and the greedy partition in input order."""
+"""Duplicates: a disjunctive match rule as shared keys, and the greedy partition in input order, in rounds.
+
+Two rows match if their DOIs are equal, or if their titles are equal and the years or the first authors are, or neither
+row has any. Each of these is a key that both hold, so a row has at most three keys, and rows match if they share one.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions.text import blank_to_null, doi_dedupe, match_text, year_of
+from quirework.storage import discard, durable
 
 KEYS = ("k_doi", "k_title", "k_year", "k_author")
 
@@ -48,31 +53,54 @@ def matching_pairs(left: DataFrame, right: DataFrame, within: list[str], extra:
     return by_doi.select(*pick).unionByName(by_title.select(*pick)).distinct()
 
 
+def held_keys(citations: DataFrame, *within: str) -> DataFrame:
+    """(within..., pos, key): the keys by which rows match, one row each. Rows without any do not come."""
+    sign = "\x01"  # no normalised field holds it
+    title, year, author = F.col("k_title"), F.col("k_year").cast("string"), F.col("k_author")
+    key = lambda kind, *parts: F.concat(F.lit(kind), *[x for p in parts for x in (F.lit(sign), p)])
+    alone = F.when(year.isNull() & author.isNull(), key("t", title))
+    keys = F.array_compact(F.array(key("d", F.col("k_doi")), key("y", title, year), key("a", title, author), alone))
+    return match_keys(citations).select(*within, "pos", F.explode(keys).alias("key"))
+
+
 def first_duplicates(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """DUP-2: each incoming row that matches a stored one, with the position of the first that it matches."""
-    pairs = matching_pairs(match_keys(incoming), match_keys(existing), ["bibliography_id"])
-    return pairs.groupBy("bibliography_id", F.col("a_pos").alias("pos")).agg(F.min("b_pos").alias("duplicate_of"))
+    first = held_keys(existing, "bibliography_id").groupBy("bibliography_id", "key").agg(F.min("pos").alias("_first"))
+    found = held_keys(incoming, "bibliography_id").join(first, ["bibliography_id", "key"])
+    return found.groupBy("bibliography_id", "pos").agg(F.min("_first").alias("duplicate_of"))
 
 
 def partition_duplicates(citations: DataFrame) -> DataFrame:
     """DUP-3: citations with ``duplicate``, by the greedy rule in the order of pos within each bibliography.
 
     A row is a duplicate when it matches a kept row before it; rejected rows count for nothing, so the rule
-    isn't transitive. Rows that match nothing are decided by the joins alone; only pairs that match are
-    folded, one bibliography at a time.
+    isn't transitive. In each round a row that is the first open one of all its keys is kept, and what shares a key with it
+    is rejected; a round costs joins on keys, never on pairs, so copies of one record cost no more than other
+    rows. There are as many rounds as the longest run of rows of which each waits for the one before. Rows that share
+    no key are kept without any. A null bibliography_id or pos keeps a row.
     """
-    keyed = match_keys(citations)
-    pairs = matching_pairs(keyed, keyed, ["bibliography_id"], F.col("a.pos") < F.col("b.pos"))
-    listed = pairs.groupBy("bibliography_id").agg(F.array_sort(F.collect_list(F.struct("b_pos", "a_pos"))).alias("pairs"))
-
-    def step(gone, pair):
-        """All that decides about a_pos came before, as pairs come in the order of b_pos."""
-        return F.when(F.array_contains(gone, pair["a_pos"]), gone).otherwise(F.array_union(gone, F.array(pair["b_pos"])))
-
-    none = F.expr("cast(array() as array<bigint>)")
-    rejected = listed.select("bibliography_id", F.explode(F.aggregate("pairs", none, step)).alias("pos"))
-    marked = rejected.withColumn("duplicate", F.lit(True))
-    return citations.join(marked, ["bibliography_id", "pos"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+    row, one = ["bibliography_id", "pos"], F.count(F.lit(1))
+    held = durable(held_keys(citations, "bibliography_id").where("bibliography_id IS NOT NULL AND pos IS NOT NULL").distinct())
+    shared = held.groupBy("bibliography_id", "key").agg(one.alias("_n")).where("_n > 1").drop("_n")
+    open_ = durable(held.join(shared, ["bibliography_id", "key"], "left_semi"))
+    discard(held)
+    rejected = []
+    while open_.take(1):
+        first = durable(open_.groupBy("bibliography_id", "key").agg(F.min("pos").alias("_first")))
+        leads = open_.join(first, ["bibliography_id", "key"]).groupBy(*row).agg(F.bool_and(F.col("pos") == F.col("_first")).alias("_kept"))
+        kept = durable(leads.where("_kept").drop("_kept"))
+        claimed = first.join(kept.withColumnRenamed("pos", "_first"), ["bibliography_id", "_first"], "left_semi").drop("_first")
+        hit = open_.join(claimed, ["bibliography_id", "key"], "left_semi").select(*row).distinct()
+        gone = durable(hit.join(kept, row, "left_anti"))
+        rest = durable(open_.join(kept, row, "left_anti").join(gone, row, "left_anti"))
+        discard(open_, first, kept)
+        rejected.append(gone)
+        open_ = rest
+    discard(open_)
+    if not rejected:
+        return citations.withColumn("duplicate", F.lit(False))
+    marked = reduce(DataFrame.unionByName, rejected).withColumn("duplicate", F.lit(True))
+    return citations.join(marked, row, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
 
 def repeats_of_key(citations: DataFrame, key: list[Column]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions.csl import FOLDER, Style, full_style
+from quirework.operators.disambiguate import disambiguated, rendered_apart
 from quirework.operators.sets import csl
 from quirework.schema import CITATION_COLUMNS, CITATION_DDL, CSL_TYPES, STYLES, column_name
 from quirework.schema import style as style_row
@@ -102,6 +104,66 @@ def test_elements(spark, body, opts):
     compare(spark, xml, "en-GB", random_records(92, body + opts))
 
 
+def apart_by_hand(records, least, first):
+    """(names shown, letters, label) of each record of one bibliography."""
+    told = []
+    for r in records:
+        names = r["author"] or r["editor"]
+        shorts = [s for s in (n.get("family") or n.get("literal") or n.get("given") for n in names) if s]
+        issued = r["issued"]
+        told.append((shorts, issued and issued[0] and issued[0][0] and issued[0][0][0] or None, r["title"] or ""))
+
+    def shown(shorts, k):
+        if k < len(shorts):
+            return ", ".join(shorts[:k]) + " et al."
+        return shorts[0] if k == 1 else ", ".join(shorts[:-1]) + (", and " if k > 2 else " and ") + shorts[-1]
+
+    options = [[(k, shown(s, k)) for k in range(min(first, len(s)) if len(s) >= least else len(s), len(s) + 1)] if s else [] for s, _, _ in told]
+    heads, widths = [], []
+    for (shorts, year, title), own in zip(told, options, strict=True):
+        clash = lambda text: any(other != shorts and y == year and text in [t for _, t in o] for (other, y, _), o in zip(told, options, strict=True))  # noqa: B023, E731
+        best = next(((k, t) for k, t in own if not clash(t)), (len(shorts), shown(shorts, len(shorts)) if shorts else title))
+        widths.append(best[0])
+        heads.append(best[1])
+    out = []
+    for k, (_, year, _) in enumerate(told):
+        same = sorted((re.sub(r"^(?i:a|an|the)\s+", "", told[j][2]).lower(), j) for j in range(len(told)) if heads[j] == heads[k] and told[j][1] == year)
+        letter = None
+        if len(same) > 1:
+            n, letter = [j for _, j in same].index(k) + 1, ""
+            while n:
+                n, letter = (n - 1) // 26, chr(97 + (n - 1) % 26) + letter
+        when = f"{year}{letter or ''}" if year else "n.d." + (f"-{letter}" if letter else "")
+        out.append((widths[k], letter, f"{heads[k]}, {when}" if heads[k] else when))
+    return out
+
+
+@pytest.mark.parametrize(("least", "first"), [(3, 1), (2, 1), (4, 3)])
+def test_records_told_apart(spark, least, first):
+    rng = random.Random(least)
+    records = random_records(150, "apart")
+    for r in records:
+        r["author"] = [{"family": rng.choice("AB") if k else "Doe"} for k in range(rng.choice([0, 1, 2, 3, 4, 5]))]
+        r["editor"] = []
+        r["issued"] = ([[rng.choice([2001, 2002])]], None) if rng.random() < 0.9 else None
+    out = {r["pos"]: (r["names_shown"], r["year_suffix"], r["label"]) for r in disambiguated(frame(spark, records), least, first).collect()}
+    expected = apart_by_hand(records, least, first)
+    assert [out[k] for k in range(len(records))] == expected
+    assert len({label for _, _, label in expected}) == len(records)
+    assert any(len(letter or "") == 1 for _, letter, _ in expected) and {w for w, _, _ in expected} > {1, 2, 3}
+
+
+def test_letters_stand_after_the_year(spark):
+    works = [{"type": "book", "title": t, "author": [{"family": "Doe", "given": "J"}], "editor": [], "issued": i} for t, i in (("Beta", ([[2001]], None)), ("Alpha", ([[2001]], None)), ("C", None), ("D", None))]
+    texts = {k: [r["text"] for r in rendered_apart(frame(spark, works), k).orderBy("pos").collect()] for k in ("apa-7", "chicago-author-date", "harvard")}
+    assert texts == {
+        "apa-7": ["Doe, J. (2001b). Beta.", "Doe, J. (2001a). Alpha.", "Doe, J. (n.d.-a). C.", "Doe, J. (n.d.-b). D."],
+        "chicago-author-date": ["Doe, J. 2001b. Beta.", "Doe, J. 2001a. Alpha.", "Doe, J. n.d.-a. C.", "Doe, J. n.d.-b. D."],
+        "harvard": ["Doe, J. (2001b), Beta.", "Doe, J. (2001a), Alpha.", "Doe, J. (n.d.-a), C.", "Doe, J. (n.d.-b), D."],
+    }
+    assert disambiguated(frame(spark, works).limit(0)).count() == 0
+
+
 def test_unknown_elements_are_refused():
     for body in ('<blink variable="title"/>', '<text macro="nothing"/>', '<choose><if moon="full"><text value="x"/></if></choose>', '<text variable="title" text-case="wavy"/>'):
         style = Style(MADE.format(opts="", bib="", body=body))

@@ -1,5 +1,7 @@
 """Operators over small bibliographies."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -10,7 +12,7 @@ from quirework.operators import dedupe as D
 from quirework.operators import documents as DOC
 from quirework.operators import ordering as O
 from quirework.operators import sets as S
-from quirework.schema import STYLES
+from quirework.schema import CITATION_DDL, DATE, NAMES, STYLES
 from tests.helpers import citations, person
 
 
@@ -114,6 +116,40 @@ def test_greedy_partition(spark, table):
     assert [r["duplicate"] for r in sorted(rows, key=lambda r: r["pos"])] == by_hand(table)
 
 
+def test_partition_of_a_large_bibliography(spark):
+    """100,000 rows of one bibliography, a third of them copies of one record, and chains of rows that wait for each other."""
+    rng = random.Random(11)
+    table = []
+    for k in range(100_000):
+        if k % 3 == 0:
+            table.append(("10.1/same", "One title", 1999, "Doe"))
+        else:
+            title = f"t{rng.randrange(4000)}"
+            table.append((rng.choice([None, f"10.1/{rng.randrange(30_000)}"]), title, rng.choice([0, 2001, 2002]), rng.choice([None, "A", "B", "C"])))
+    table[50_000:50_012] = [("", "chain", 1900 + (k + 1) // 2, f"P{k // 2}") for k in range(12)]
+    claimed, expected = set(), []
+    for doi, title, year, author in table:
+        keys = {("d", doi)} if doi else set()
+        keys |= {("y", title.lower(), year)} if year else set()
+        keys |= {("a", title.lower(), author)} if author else set()
+        keys |= {("t", title.lower())} if not year and not author else set()
+        expected.append(bool(keys & claimed))
+        if not expected[-1]:
+            claimed |= keys
+    rows = [(1, k, d, t, [(a, "X", None, None)] if a else [], ([[y]], None, None)) for k, (d, t, y, a) in enumerate(table)]
+    df = spark.createDataFrame(rows, f"bibliography_id long, pos long, DOI string, title string, author {NAMES}, issued {DATE}").repartition(8)
+    got = D.partition_duplicates(df).select("pos", "duplicate").collect()
+    assert [r["duplicate"] for r in sorted(got, key=lambda r: r["pos"])] == expected
+    assert expected[50_000:50_012] == [False, True] * 6 and 30_000 < sum(expected) < 99_000
+
+
+def test_partition_keeps_rows_without_keys(spark):
+    none = spark.createDataFrame([], CITATION_DDL)
+    assert D.partition_duplicates(none).count() == 0
+    rows = citations(spark, [{"title": None}, {"title": " "}, {"title": None}, {"title": "x", "bibliography_id": None}, {"title": "x", "bibliography_id": None}])
+    assert [r["duplicate"] for r in D.partition_duplicates(rows).collect()] == [False] * 5
+
+
 def test_partition_is_not_transitive(spark):
     table = [("10.1/a", "t", 1, "p"), ("10.1/b", "t", 1, "q"), ("10.1/b", "u", 2, "q")]
     rows = D.partition_duplicates(citations(spark, as_rows(table))).collect()
