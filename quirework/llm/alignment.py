@@ -2,7 +2,8 @@
 
 Each text is encoded by a byte-level BPE (A) and by a sentencepiece model (B). The running sums of the tokens' byte lengths
 are their ends; ends that both have (``intersect1d``) cut the text into groups, ``searchsorted`` gives each token its group,
-and each group's A and B tokens are linked by repeating indices, many texts at a time. The distinct pairs of a text
+and each group's A and B tokens are linked by repeating indices. This is done for the parts of texts that spaces set apart, which
+neither tokenizer joins, many at a time; a text's groups and links are those of its parts. The distinct pairs of a text
 count once; they are summed by pair and salt, then by pair.
 
 A text's links then need the counts of their pairs. The most frequent pairs, at most ``COMMON``, are broadcast; all rarer ones
@@ -36,8 +37,8 @@ COMMON, LINKS = 2**18, 2**21
 SALTS, COUNT_BINS = 16, 16
 #: An id's place in a pair: A id times this, plus B id.
 PLACE = 2**20
-#: Parts of texts whose tokens a worker remembers, and their greatest length.
-KNOWN, KNOWN_LENGTH = 2**17, 40
+#: Parts of texts that a worker remembers before it forgets them all, and signs of parts that are encoded at once.
+KNOWN, TOGETHER = 2**19, 2**15
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 SCHEMA = f"doc_id long, {', '.join(f'{n} long' for n in NUMBERS)}, groups_sha256 string, pairs array<long>, links array<long>"
@@ -81,113 +82,186 @@ def encoder_b(path: str):
 
 
 class Encoders:
-    """Both encoders over the parts of a text.
-
-    A text is parted at each single space between signs that are not white space. Neither tokenizer joins what stands on
-    both sides of such a space: A's parts begin at it, and no piece of B holds a space after another sign. So a text's tokens are
-    those of its parts, and the tokens of short parts are remembered.
-    """
-
-    APART = re.compile(r"(?<=\S) (?=\S)")
+    """Both encoders, with the byte lengths of their ids."""
 
     def __init__(self, path_a: str, path_b: str):
         (self.encode_a, self.spelled_a), (self.encode_b, self.spelled_b) = encoder_a(path_a), encoder_b(path_b)
         self.bytes_a, self.bytes_b = (np.array([len(t) for t in spelled], np.int64) for spelled in (self.spelled_a, self.spelled_b))
-        size = max(len(self.spelled_a), len(self.spelled_b))
-        self.size, self.written = size, [f"{n}{sign}" for sign in ",|;" for n in range(size)]
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
-
-    def part(self, part: str) -> tuple[list[int], list[int]]:
-        """The tokens of a space and the part."""
-        ids = self.encode_a(" " + part), self.encode_b(part)
-        if len(part) <= KNOWN_LENGTH:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            self.known[part] = ids
-        return ids
-
-    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
-        """The text's ids of A and B, or none where either does not spell a space and the text."""
-        if not text:
-            return [], []
-        ids_a, ids_b, known = [], [], self.known
-        for part in self.APART.split(text):
-            a, b = known.get(part) or self.part(part)
-            ids_a += a
-            ids_b += b
+        self.size = max(len(self.spelled_a), len(self.spelled_b))
+        self.written = [f"{n}{sign}" for sign in ",|;" for n in range(self.size)]
+
+    def __call__(self, text: str) -> tuple[list[int], list[int]] | None:
+        """The text's ids of A and B; None where either does not spell a space and the text."""
+        ids_a, ids_b = self.encode_a(" " + text), self.encode_b(text)
         whole = (" " + text).encode("utf-8", "surrogatepass")
         same = b"".join(map(self.spelled_a.__getitem__, ids_a)) == whole and b"".join(map(self.spelled_b.__getitem__, ids_b)) == whole
-        return (ids_a, ids_b) if same else ([], [])
+        return (ids_a, ids_b) if same else None
 
 
 class Aligned:
-    """Texts laid end to end: tokens' ids, texts and groups. A text's end is a cut, so groups never span texts."""
+    """Parts laid end to end: tokens' ids and groups. A part's end is a cut, so groups never span parts."""
 
-    def __init__(self, a: list[list[int]], b: list[list[int]], encoders: Encoders):
-        self.sizes_a, self.sizes_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-        self.a = np.array([i for x in a for i in x], np.int64)
-        self.b = np.array([i for x in b for i in x], np.int64)
-        ends_a, ends_b = np.cumsum(encoders.bytes_a[self.a]), np.cumsum(encoders.bytes_b[self.b])
+    def __init__(self, a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray, encoders: Encoders):
+        self.a, self.b, self.sizes_a, self.sizes_b, self.encoders = a, b, sizes_a, sizes_b, encoders
+        ends_a, ends_b = np.cumsum(encoders.bytes_a[a]), np.cumsum(encoders.bytes_b[b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         self.group_a, self.group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         self.in_a, self.in_b = np.bincount(self.group_a, minlength=len(cuts)), np.bincount(self.group_b, minlength=len(cuts))
         self.first_a, self.first_b = np.cumsum(self.in_a) - self.in_a, np.cumsum(self.in_b) - self.in_b
-        self.text_of_a = np.repeat(np.arange(len(a)), self.sizes_a)
-        self.text_of_group = self.text_of_a[self.first_a]
+        self.part_of_a = np.repeat(np.arange(len(sizes_a)), sizes_a)
+        self.part_of_group = self.part_of_a[self.first_a]
 
-    def numbers(self) -> dict[str, np.ndarray]:
+    def numbers(self) -> np.ndarray:
+        """The NUMBERS of each part, a row each."""
         n = len(self.sizes_a)
-        links = np.bincount(self.text_of_group, self.in_a * self.in_b, n).astype(np.int64)
-        return {"n_a": self.sizes_a, "n_b": self.sizes_b, "n_groups": np.bincount(self.text_of_group, minlength=n), "n_links": links}
+        links = np.bincount(self.part_of_group, self.in_a * self.in_b, n).astype(np.int64)
+        return np.stack([self.sizes_a, self.sizes_b, np.bincount(self.part_of_group, minlength=n), links], axis=1)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, pair, links) of the distinct pairs of each text, ordered by text."""
+        """(part, pair, links) of the distinct pairs of each part, ordered by part."""
         fan = self.in_b[self.group_a]
         reach, at = np.cumsum(fan), 0
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         while at < len(fan):
             done = reach[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(reach, done + LINKS, "right")))
-            part = fan[at:to]
-            left = np.repeat(np.arange(at, to), part)
-            right = self.first_b[self.group_a[left]] + np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part)
-            key, count = np.unique((self.text_of_a[left] * PLACE + self.a[left]) * PLACE + self.b[right], return_counts=True)
+            width = fan[at:to]
+            left = np.repeat(np.arange(at, to), width)
+            right = self.first_b[self.group_a[left]] + np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width)
+            key, count = np.unique(joined(self.part_of_a[left], self.a[left] * PLACE + self.b[right]), return_counts=True)
             if at:
-                key, where = np.unique(np.concatenate([keys, key]), return_inverse=True)
-                count = np.bincount(where, np.concatenate([counts, count])).astype(np.int64)
+                key, count = summed(np.concatenate([keys, key]), np.concatenate([counts, count]))
             keys, counts, at = key, count, to
-        return keys // PLACE**2, keys % PLACE**2, counts
+        return (*parted(keys), counts)
 
-    def digests(self, encoders: Encoders) -> list[str]:
-        """sha256 of each text's groups as ``a1,a2|b1;a3|b2,b3``; nothing where it has none."""
-        size = encoders.size
+    def written(self) -> list[str]:
+        """Each part's groups as ``a1,a2|b1;a3|b2,b3``."""
+        size, words = self.encoders.size, self.encoders.written
         said = np.empty(len(self.a) + len(self.b), np.int64)
         place_a = np.arange(len(self.a)) + self.first_b[self.group_a]
         place_b = np.arange(len(self.b)) + self.first_a[self.group_b] + self.in_a[self.group_b]
         said[place_a], said[place_b] = self.a, self.b
         said[place_a[self.first_a + self.in_a - 1]] += size
         said[place_b[self.first_b + self.in_b - 1]] += 2 * size
-        ends = np.cumsum(self.sizes_a + self.sizes_b)
-        out = []
-        for start, end in zip(ends - self.sizes_a - self.sizes_b, ends, strict=True):
-            text = "".join(map(encoders.written.__getitem__, said[start:end].tolist()))
-            out.append(hashlib.sha256(text[:-1].encode()).hexdigest() if text else "")
-        return out
+        ends, codes = np.cumsum(self.sizes_a + self.sizes_b).tolist(), said.tolist()
+        return ["".join(map(words.__getitem__, codes[start:end]))[:-1] for start, end in zip([0, *ends], ends, strict=False)]
+
+
+def joined(owner: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """One number for an owner below 2**23 and its pair."""
+    return owner * PLACE**2 + pair
+
+
+def parted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys // PLACE**2, keys % PLACE**2
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+class Parts:
+    """The parts of texts that are known so far, with their numbers, written groups and distinct pairs.
+
+    A text is parted at each single space between signs that are not white space. Neither tokenizer joins what stands on
+    both sides of such a space: A's parts begin at it, and no piece of B holds a space after another sign. So many
+    parts are encoded as one text, which is cut at their ends.
+    """
+
+    APART = re.compile(r"(?<=\S) (?=\S)")
+
+    def __init__(self, encoders: Encoders):
+        self.encoders = encoders
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.said: list[str | None] = []
+        self.numbers = np.zeros((0, len(NUMBERS)), np.int64)
+        self.first, self.pair, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encoded(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids of A, how many of each part, the same of B): parts in order. A part that is not spelled has no ids."""
+        encoders = self.encoders
+        smooth = not any(p[0].isspace() or p[-1].isspace() for p in parts)
+        ids = encoders(" ".join(parts)) if smooth else None
+        if ids is None and len(parts) > 1:
+            return [x for p in parts for x in self.encoded([p])]
+        if ids is None:
+            ids = encoders(parts[0])
+        if ids is None:
+            return [(np.zeros(0, np.int64), np.zeros(1, np.int64)) * 2]
+        ends, out = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in parts]), []
+        for own, lengths in zip(ids, (encoders.bytes_a, encoders.bytes_b), strict=True):
+            own = np.array(own, np.int64)
+            upto = np.searchsorted(np.cumsum(lengths[own]), ends, "right")
+            out += [own, np.diff(upto, prepend=0)]
+        return [tuple(out)]
+
+    def learn(self, parts: list[str]) -> None:
+        if not parts:
+            return
+        bunches, signs = [[]], 0
+        for part in parts:
+            signs += len(part) + 1
+            if bunches[-1] and signs > TOGETHER:
+                bunches.append([])
+                signs = len(part) + 1
+            bunches[-1].append(part)
+        told = [np.concatenate(x) for x in zip(*[x for bunch in bunches for x in self.encoded(bunch)], strict=True)]
+        new = Aligned(*told, self.encoders)
+        for part in parts:
+            self.place[part] = len(self.place)
+        spelled = new.sizes_a > 0
+        self.said += [text if good else None for text, good in zip(new.written(), spelled.tolist(), strict=True)]
+        of, pair, links = new.pairs()
+        upto = np.searchsorted(of, np.arange(1, len(parts) + 1))
+        self.first = np.concatenate([self.first, self.first[-1] + upto])
+        self.numbers = np.concatenate([self.numbers, new.numbers()])
+        self.pair, self.links = np.concatenate([self.pair, pair]), np.concatenate([self.links, links])
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its NUMBERS and the digest of its groups; (text, pair, links) of the distinct pairs of each."""
+        if len(self.place) > KNOWN or len(self.pair) > 8 * KNOWN:
+            self.forget()
+        parted_texts = [self.APART.split(text) if text else [] for text in texts]
+        place = self.place
+        self.learn(list({p: None for parts in parted_texts for p in parts if p not in place}))
+        numbers, digests, held = np.zeros((len(texts), len(NUMBERS)), np.int64), [], []
+        for k, parts in enumerate(parted_texts):
+            own = [place[p] for p in parts]
+            said = [self.said[i] for i in own]
+            if None in said or not own:
+                held.append(np.zeros(0, np.int64))
+                digests.append("")
+                continue
+            held.append(np.array(own, np.int64))
+            numbers[k] = self.numbers[held[-1]].sum(0)
+            digests.append(hashlib.sha256(";".join(said).encode()).hexdigest())
+        own = np.concatenate([*held, np.zeros(0, np.int64)])
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in held])
+        width = self.first[own + 1] - self.first[own]
+        at = np.repeat(self.first[own] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        keys, links = summed(joined(np.repeat(text, width), self.pair[at]), self.links[at])
+        return (numbers, digests, *parted(keys), links)
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, links): each text's distinct pairs and how often it links them."""
 
     def scan(batches):
-        encoders = Encoders(path_a, path_b)
+        parts = Parts(Encoders(path_a, path_b))
         for batch in batches:
-            ids = [encoders(text) for text in batch.column("text").to_pylist()]
-            texts = Aligned([a for a, _ in ids], [b for _, b in ids], encoders)
-            text, pair, links = texts.pairs()
-            offsets = pa.array(np.searchsorted(text, np.arange(len(ids) + 1)), pa.int32())
+            texts = batch.column("text").to_pylist()
+            numbers, digests, text, pair, links = parts.texts(texts)
+            offsets = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (pair, links)]
-            columns = [pa.array(texts.numbers()[n], pa.int64()) for n in NUMBERS]
-            columns = [batch.column("doc_id"), *columns, pa.array(texts.digests(encoders), pa.string()), *lists]
+            columns = [pa.array(column, pa.int64()) for column in numbers.T]
+            columns = [batch.column("doc_id"), *columns, pa.array(digests, pa.string()), *lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *NUMBERS, "groups_sha256", "pairs", "links"])
 
     fields = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
