@@ -11,55 +11,57 @@ from quirework.functions.text import blank_to_null, collapse, let
 REPEATED = 4
 
 
-def _without_extent(title: Column) -> Column:
-    """The sentences before the one that counts pages, where a price ends the title; a place with a year before it goes too."""
+def _places(words: Column, test) -> Column:
+    """The places of the words for which test(word, place) holds, ascending."""
+    marked = F.transform(words, lambda w, i: F.when(test(w, i), i))
+    return F.filter(marked, lambda i: i.isNotNull())
 
-    def of(sentences: Column) -> Column:
-        pages = F.filter(F.transform(sentences, lambda s, i: F.when(s.rlike(r"^[0-9]+\s+pp\.?$"), i)), lambda i: i.isNotNull())
 
-        def cut(at: Column) -> Column:
-            imprint = F.get(sentences, at - 1).rlike(r"^\p{Lu}.*,\s*[0-9]{4}$")
-            kept = F.slice(sentences, F.lit(1), F.greatest(at - F.coalesce(imprint, F.lit(False)).cast("int"), F.lit(0)))
-            priced = F.get(sentences, at + 1).rlike(r"^[$£€]?\s*[0-9]") & (F.size(sentences) <= at + 2)
-            return F.when(priced & (F.size(kept) > 0), F.array_join(kept, ". "))
+def _marks(words: Column) -> Column:
+    """Where a review's title may end: array<place>, each told by the words around it alone.
 
-        return F.coalesce(let(F.try_element_at(pages, F.lit(-1)), lambda at: F.when(at.isNotNull(), cut(at))), title)
+    A number before 'pp.' and the price that ends the title, or the sentence of place and year before that number; where the
+    title's opening comes again, and a word that runs into another before that; and a word that begins with one of the
+    names that come before the title.
+    """
+    n = F.size(words)
+    at = lambda i: F.get(words, i)
+    names_end = F.get(_places(words, lambda w, i: w.rlike(r"^\p{Lu}[\p{L}'’\-]+\.$") & (i < n - 1)), 0)
 
-    # A price may hold a point, which white space does not follow.
-    return let(F.split(title, r"\.\s+"), of)
+    def extents(_: Column) -> Column:
+        price = lambda i: at(i + 2).rlike(r"^[$£€]?[0-9]|^[$£€]$") & ~F.exists(F.slice(words, i + 4, n), lambda w: w.rlike(r"\.$") & (w != at(n - 1)))
+        counts = _places(words, lambda w, i: w.rlike("^[0-9]+$") & at(i + 1).rlike(r"^pp\.$") & price(i) & (i > 0))
 
+        def imprint(i: Column) -> Column:
+            stops = _places(words, lambda w, j: w.rlike(r"\.$") & (j < i - 1))
+            start = F.coalesce(F.try_element_at(stops, F.lit(-1)) + 1, F.lit(0))
+            told = F.array_join(F.slice(words, start + 1, i - start), " ")
+            return F.when(told.rlike(r"^\p{Lu}[^.]*,\s[0-9]{4}\.$") & (start > 0), start).otherwise(i)
 
-def _once(title: Column) -> Column:
-    """A title that begins again ends before its first words come for the second time, and before what runs into them."""
-    opening = F.substring_index(title, " ", REPEATED)
-    pieces = F.split(title, F.concat(F.lit("\\Q"), opening, F.lit("\\E")), -1)
-    told = F.regexp_replace(F.concat(opening, F.get(pieces, 1)), r"\s+\p{Lu}\p{Ll}+\p{Lu}.*$", "")
-    return F.when((opening != title) & (F.size(pieces) > 2), F.trim(told)).otherwise(title)
+        return F.transform(counts, imprint)
 
+    def of_title(first: Column) -> Column:
+        opening = F.slice(words, first + 1, REPEATED)
+        again = F.get(_places(words, lambda _, i: (i > first) & (i + REPEATED <= n) & (F.slice(words, i + 1, REPEATED) == opening)), 0)
+        run = F.filter(_places(words, lambda w, i: (i > first) & w.rlike(r"^\p{Lu}\p{Ll}+\p{Lu}")), lambda i: i < again)
+        names = F.filter(F.transform(F.slice(words, F.lit(1), first), lambda w: F.regexp_extract(w, r"^[\p{L}'’\-]{2,}", 0)), lambda x: x.rlike(r"^\p{Lu}"))
+        into = _places(words, lambda w, i: (i > first) & F.exists(names, lambda x: w.startswith(x) & F.substring(w, F.length(x) + 1, F.lit(1)).rlike(r"\p{Lu}")))
+        return F.array_compact(F.concat(F.array(again), F.coalesce(run, F.array().cast("array<int>")), into))
 
-def _before_name(title: Column, who: Column) -> Column:
-    """A title ends before a name of who wrote what is reviewed into which the next word runs."""
-    names = F.filter(F.regexp_extract_all(who, F.lit(r"[\p{L}'’\-]{2,}"), F.lit(0)), lambda n: n.rlike(r"^\p{Lu}"))
-    run_in = F.concat(F.lit(r"\s+(?:"), F.array_join(names, "|"), F.lit(r")\p{Lu}.*$"))
-    return F.when(F.size(names) > 0, F.trim(F.regexp_replace(title, run_in, ""))).otherwise(title)
+    inside = F.when(names_end.isNotNull(), let(names_end + 1, of_title)).otherwise(F.array().cast("array<int>"))
+    return F.concat(extents(n), inside)
 
 
 def review_title(type_: Column, title: Column, container: Column) -> Column:
-    """NRM-8: titles of journal articles that show pages, a price or words run together.
-
-    They are made of who wrote what is reviewed, its title, and what a registry ran in after it.
-    """
+    """NRM-8: titles of journal articles that show pages, a price or words run together end at the first of their marks."""
     shows = title.rlike(r"(?<![A-Za-z0-9_])[0-9]+\s+pp\.|[$£€]\s*[0-9]|[a-z][A-Z][a-z]")
 
-    def tidy(t: Column) -> Column:
-        # An initial does not end the names.
-        who = F.regexp_extract(t, r"^(.*?\p{Lu}[\p{L}'’\-]+)\. .", 1)
-        what = F.substring(t, F.length(who) + 3, F.length(t))
-        headed = F.concat_ws(". ", who, _once(_before_name(what, who)))
-        return F.regexp_replace(F.trim(F.when(who != "", headed).otherwise(t)), r"\.$", "")
+    def cut(words: Column) -> Column:
+        end = F.coalesce(F.array_min(_marks(words)), F.size(words))
+        return F.regexp_replace(F.array_join(F.slice(words, F.lit(1), end), " "), r"\.$", "")
 
     wanted = (type_ == "article-journal") & blank_to_null(container).isNotNull() & shows
-    return F.when(wanted, let(_without_extent(F.regexp_replace(collapse(title), r"\.$", "")), tidy)).otherwise(title)
+    return F.when(wanted, let(F.split(collapse(title), " "), cut)).otherwise(title)
 
 
 def review_warnings(input_format: Column, type_: Column, container: Column, before: Column, after: Column, page: Column) -> Column:

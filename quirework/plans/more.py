@@ -98,10 +98,10 @@ def bounded_text(spark, d):
 
 #: Inputs that no rule reads; {n} is a name.
 REJECTED = (
-    "Binder and Kidder, {n}, 117–18.",
-    "Ada Smith, “{n},” WordPress Daily, March 3, 2024, see page one.",
-    "Jane Q. Scholar, \"{n},\" Digital Humanities Review 8, no. 2 (2021): 55-72. Useful overview for classroom discussion.",
-    "OpenAI Docs, https://example.org/api.",
+    "Poe and Moe, {n}, 40–41.",
+    "Lena Weaver, “{n},” The Harbour Evening Post, June 9, 2011, continued inside.",
+    "Omar T. Field, \"{n},\" Annals of Weaving 4, no. 1 (2009): 3-8. Read this one before the exam.",
+    "Press office notes, https://example.org/api.",
     "{n}",
     "“{n}.” Journal 12 (2001): 5-9.",
     "Jane Doe (n.d.). {n}. Press.",

@@ -201,6 +201,11 @@ def test_review_titles(spark):
     assert make("Jane Doe. The Long Road to Rome and Back DoeThe Long Road. 90 pp. $3") == "Jane Doe. The Long Road to Rome and Back"
     assert make("Jane Doe. The Book of Two Rivers The Book of Two Rivers Again. 90 pp. $3") == "Jane Doe. The Book of Two Rivers"
     assert make("A Plain Title costs $5 here") == "A Plain Title costs $5 here"
+    assert make("J. B. Doe and Ann Roe. Rivers of the North. 210 pp. $19.95") == "J. B. Doe and Ann Roe. Rivers of the North"
+    assert make("Doe. A \\E Sign of (the) Times A \\E Sign of (the) Times Again McDoe") == "Doe. A \\E Sign of (the) Times"
+    assert make("Doe. A \\E Sign of (the) Times A \\E Sign of (the) Times Again") == "Doe. A \\E Sign of (the) Times A \\E Sign of (the) Times Again"
+    assert make("Doe. A \\E Sign of (the) Times McRoe x A \\E Sign of (the) Times RoePoe") == "Doe. A \\E Sign of (the) Times"
+    assert make("12 pp. $3") == "12 pp. $3" and make("") == "" and make(None) is None
     warn = lambda before, after, page: value(spark, review_warnings(F.lit("doi"), F.lit("article-journal"), F.lit("J"), F.lit(before), F.lit(after), F.lit(page)))
     assert warn("A", "B", None) == ["review-metadata-incomplete"] and warn("A", "A", None) == [] and warn("A", "B", "3") == []
 
