@@ -33,6 +33,20 @@ def clean_text(value: Column, mode: str) -> Column:
     return strip_markup(value) if mode == "strict" else strip_tags(value)
 
 
+def largest_text(c: dict[str, Column]) -> Column:
+    """VAL-3: UTF-8 bytes of a record's longest text, those in names, dates and lists among them."""
+    most = lambda texts: F.array_max(F.transform(texts, F.octet_length))
+    sizes = []
+    for field, value in c.items():
+        if field in ("author", "editor", "reviewed_author"):
+            sizes.append(F.array_max(F.transform(value, lambda n: F.greatest(*[F.octet_length(n[k]) for k in ("family", "given", "literal", "ORCID")]))))
+        elif field in ("issued", "accessed"):
+            sizes += [F.octet_length(value["literal"]), F.octet_length(value["raw"])]
+        else:
+            sizes.append(most(value) if field in ("ISBN", "ISSN") else F.octet_length(value))
+    return F.greatest(*sizes, F.lit(0))
+
+
 def errors(c: dict[str, Column], mode: str) -> Column:
     """VAL-1, VAL-2, VAL-3: what makes a record invalid; an empty array if nothing does."""
     found = [
@@ -46,8 +60,7 @@ def errors(c: dict[str, Column], mode: str) -> Column:
         empty = F.exists(names, lambda n: F.coalesce(n["family"], n["given"], n["literal"]).isNull())
         found.append(F.when(empty, f"{field}_invalid"))
     if mode == "strict":
-        sizes = [F.octet_length(v) for k, v in c.items() if k not in ("author", "editor", "reviewed_author", "issued", "accessed", "ISBN", "ISSN")]
-        found.append(F.when(F.greatest(*sizes, F.lit(0)) > FIELD_BYTES, "field_too_large"))
+        found.append(F.when(largest_text(c) > FIELD_BYTES, "field_too_large"))
     return F.array_compact(F.array(*found))
 
 

@@ -72,3 +72,14 @@ def content_checks(bibliographies: DataFrame, citations: DataFrame) -> DataFrame
         (~F.coalesce("_raw", F.lit(False))).alias("raw_url_link_text"),
         (outputs[0] | outputs[1] | outputs[2]).alias("all_metadata_disabled"),
     )
+
+
+def first_bad(citations: DataFrame, found: Column, batch: str = "bibliography_id") -> DataFrame:
+    """VAL-2: (batch, rows, bad, pos, error) of each batch: how many rows it has and how many are bad, and of these the first, with its first error.
+
+    found: the errors of a row. A batch without bad rows has no pos and error: it is accepted whole; any other is refused.
+    """
+    rows = citations.select(batch, "pos", found.alias("_found"))
+    first = F.min(F.when(F.size("_found") > 0, F.struct("pos", F.get("_found", 0).alias("error"))))
+    told = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("_found") > 0).alias("bad"), first.alias("_first"))
+    return told.select(batch, "rows", "bad", "_first.*")
