@@ -79,15 +79,17 @@ def _letters() -> np.ndarray:
     return of
 
 
-LETTERS = _letters()
+LETTERS, PAIRS = _letters(), 1024
+#: The place of each pair of these numbers in a profile: multiplicative hashing.
+FOLDED = (np.arange(64 * 64, dtype=np.uint64) * np.uint64(2654435761) % np.uint64(2**32) >> np.uint64(22)).astype(np.int64)
 
 
 def profile(text: bytes) -> np.ndarray:
     """How often each letter follows each other one in a text: roots of shares, of length one; zeros without letters."""
     signs = LETTERS[np.frombuffer(text, np.uint8)]
-    counts = np.bincount(signs[:-1] * np.uint16(64) + signs[1:], minlength=4096)
+    counts = np.bincount(FOLDED[signs[:-1] * np.uint16(64) + signs[1:]], minlength=PAIRS)
     counts[0] = 0
-    return np.sqrt(counts / max(1, counts.sum()))
+    return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
 
 
 def kinds(profiles: np.ndarray) -> np.ndarray:
@@ -292,9 +294,10 @@ class Model:
         self.share = counts.get(1, 0) / known if known else 0.0
         here = Counter(label for label, _ in rows)
         by_class = {label: counts[label] / n for label, n in here.items()}
-        profiles = np.array([profile(text) for _, text in rows]).reshape(len(rows), 4096)
+        profiles = np.array([profile(text) for _, text in rows], np.float32).reshape(len(rows), PAIRS)
         self.centres = kinds(profiles)
         of = (profiles @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(rows), int)
+        del profiles
         self.parts: dict[int | None, Part] = {}
         for kind in [*range(len(self.centres)), None]:
             part = without_copies([row for row, k in zip(rows, of, strict=True) if kind in (None, k)])
