@@ -1,12 +1,14 @@
 """MUT-1 to MUT-10 as one ordered log: a bibliography's adds, edits, deletes and moves, replayed at once.
 
 Fields do not need the order of operations, only the latest of each: they are one aggregation over the log. Places do: they
-follow from the places before, where no record was moved, by a window, and else by walking ids and operations of one
-bibliography, without their fields.
+follow from the places before, where no record was moved, by a window, and else by walking ids and operations,
+bibliography by bibliography, without their fields: what is held at once are the ids of one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,19 +58,23 @@ class Chain:
             i = self.after[i]
 
 
-def _walked(rows: pd.DataFrame) -> pd.DataFrame:
-    """Places of the ids of one bibliography. rows: stored ids with their pos as seq and op 'have', then operations."""
-    rows = rows.assign(late=rows["op"] != "have").sort_values(["late", "seq"])
-    chain = Chain([])
-    for row in rows.itertuples():
-        if row.op in ("have", "add"):
-            chain.add(row.id)
-        elif row.op == "delete":
-            chain.remove(row.id)
-        elif row.op == "move":
-            chain.move(row.id, int(row.step))
-    ids = list(chain)
-    return pd.DataFrame({"bibliography_id": rows["bibliography_id"].iloc[:1].repeat(len(ids)).to_numpy(), "id": ids, "pos": range(len(ids))})
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of ids. Rows come bibliography by bibliography, in order: stored ids (op 'have'), then operations."""
+    of, chain = None, Chain([])
+    for batch in batches:
+        places = []
+        for b, i, op, step in zip(batch["bibliography_id"], batch["id"], batch["op"], batch["step"], strict=True):
+            if b != of:
+                places += [(of, i_, k) for k, i_ in enumerate(chain)]
+                of, chain = b, Chain([])
+            if op in ("have", "add"):
+                chain.add(i)
+            elif op == "delete":
+                chain.remove(i)
+            else:
+                chain.move(i, step)
+        yield pd.DataFrame(places, columns=[*ROW, "pos"])
+    yield pd.DataFrame([(of, i, k) for k, i in enumerate(chain)], columns=[*ROW, "pos"])
 
 
 def replay(citations: DataFrame, log: DataFrame) -> DataFrame:
@@ -110,7 +116,8 @@ def _places(citations: DataFrame, ops: DataFrame, lives: DataFrame) -> DataFrame
     still = lives.join(moved, "bibliography_id", "left_anti").join(have, ROW, "left")
     order = Window.partitionBy("bibliography_id").orderBy(F.col("_born").asc_nulls_first(), F.when(F.col("_old"), F.col("pos")))
     by_window = still.select(*ROW, (F.row_number().over(order) - 1).cast("long").alias("pos"))
-    narrow = have.select(*ROW, F.lit("have").alias("op"), F.col("pos").alias("seq"), F.lit(0).alias("step"))
-    narrow = narrow.unionByName(ops.where("op <> 'edit'").select(*ROW, "op", "seq", F.coalesce("step", F.lit(0)).alias("step")))
-    walked = narrow.join(moved, "bibliography_id", "left_semi").groupBy("bibliography_id").applyInPandas(_walked, "bibliography_id long, id string, pos long")
-    return by_window.unionByName(walked)
+    narrow = have.select(*ROW, F.lit("have").alias("op"), F.col("pos").alias("seq"), F.lit(0).alias("step"), F.lit(False).alias("late"))
+    walks = ops.where("op <> 'edit'").select(*ROW, "op", "seq", F.coalesce("step", F.lit(0)).alias("step"), F.lit(True).alias("late"))
+    dealt = narrow.unionByName(walks).join(moved, "bibliography_id", "left_semi").repartition("bibliography_id")
+    ordered = dealt.sortWithinPartitions("bibliography_id", "late", "seq", "op").select(*ROW, "op", "step")
+    return by_window.unionByName(ordered.mapInPandas(_walked, "bibliography_id long, id string, pos long"))
