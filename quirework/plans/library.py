@@ -19,7 +19,7 @@ from quirework.operators import ordering as O
 from quirework.operators import sets as S
 from quirework.plans import oracle as Q
 from quirework.plans.cites import cites
-from quirework.schema import STYLES, styles
+from quirework.schema import STYLES, with_styles
 from quirework.sources import blocks as B
 from quirework.sources.bibtex import read_bibtex
 from quirework.sources.manual import manual_citations
@@ -85,13 +85,19 @@ for _name, _style, _template in (
     query(Q.with_cites(f"SELECT bibliography_id, pos, {Q.rendered(_template)} AS text FROM c"), _name)(_rendered(_style))
 
 
+_STYLE_ROWS = ", ".join("('" + "', '".join(r) + "')" for r in STYLES)
+
+
 @query(
-    "SELECT * FROM (VALUES "
-    + ", ".join("('" + "', '".join(r) + "')" for r in STYLES)
-    + ") AS t(style, label, template, list_type, family, locale, heading)"
+    f"""SELECT o_orderkey AS bibliography_id, label, template, list_type, family, locale, heading
+    FROM orders JOIN (SELECT *, row_number() OVER () - 1 AS n FROM (VALUES {_STYLE_ROWS}) AS t(style, label, template, list_type, family, locale, heading)) AS s
+    ON n = CASE WHEN o_orderkey % 11 > 8 THEN 0 ELSE o_orderkey % 11 END"""
 )
 def style_dimension(spark, d):
-    return styles(spark)
+    """Each bibliography with its style's row; an unknown style has the default's."""
+    keys = F.array(*[F.lit(r[0]) for r in STYLES], F.lit("unknown"), F.lit(""))
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("bibliography_id"), F.get(keys, (F.col("o_orderkey") % 11).cast("int")).alias("key"))
+    return with_styles(rows, "key").drop("key", "style")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NAME = "struct<family:string,given:string,literal:string,ORCID:string>"
 NAMES = f"array<{NAME}>"
@@ -73,6 +74,14 @@ def styles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STYLES), STYLE_COLUMNS)
 
 
+def with_styles(rows: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of their style, by a column of its key; an unknown or null key has the default style's."""
+    table = styles(rows.sparkSession)
+    known = F.when(F.col(key).isin(*[row[0] for row in STYLES]), F.col(key)).otherwise(DEFAULT_STYLE)
+    # Nine rows.
+    return rows.join(F.broadcast(table), known == table["style"])
+
+
 def style(key: str | None) -> dict[str, str]:
     """A style's row; an unknown key has the default style's."""
     names = [c.split()[0] for c in STYLE_COLUMNS.split(", ")]

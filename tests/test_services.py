@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.exports import pretty_json
 from quirework.functions.validate import errors
+from quirework.operators import documents
 from quirework.operators.aggregate import first_bad
 from quirework.operators.documents import pretty_csl_json
 from quirework.operators.incremental import STORE, rendered
@@ -147,6 +148,19 @@ def test_pretty_json(spark):
     assert [r["title"] for r in json.loads(content)] == ["A", 'B "q"']
 
 
+# Older markup.
+def test_older_markup_is_brought_up_to_date(spark, monkeypatch):
+    monkeypatch.setattr(documents, "VERSIONS", (documents.VERSIONS[0], documents.VERSIONS[3]))
+    works = [{"bibliography_id": b, "pos": k, "id": f"{b}{k}", "title": f"Work {b}{k}", "DOI": f"10.1/{b}{k}", "formatted_text": f"Work {b}{k}. https://doi.org/10.1/{b}{k}"} for b in (1, 2, 3) for k in (0, 1)]
+    rows = citations(spark, works).cache()
+    heads = spark.createDataFrame([(b, "References", True, True, False, False) for b in (1, 2, 3)], "bibliography_id long, heading_text string, output_json_ld boolean, output_coins boolean, output_csl_json boolean, output_cite_export boolean")
+    newest, older = ({r["bibliography_id"]: r["html"] for r in documents.html(heads, rows, "apa-7", v).collect()} for v in (0, 1))
+    assert "<h2" in older[1] and "<h2" not in newest[1]
+    stored = spark.createDataFrame([(1, newest[1]), (2, older[2]), (3, older[3] + "<!-- by hand -->")], "bibliography_id long, html string")
+    told = {r["bibliography_id"]: (r["html"], r["version"]) for r in documents.migrated(stored, heads, rows, "apa-7").collect()}
+    assert told == {1: (newest[1], 0), 2: (newest[2], 1), 3: (older[3] + "<!-- by hand -->", None)}
+
+
 # Batch checks.
 def test_first_bad_row(spark):
     long = "x" * 65_537
