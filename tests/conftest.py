@@ -16,6 +16,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # else each Column made asks where it was made
         .config("spark.driver.memory", "4g")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
