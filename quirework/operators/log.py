@@ -118,6 +118,7 @@ def _places(citations: DataFrame, ops: DataFrame, lives: DataFrame) -> DataFrame
     by_window = still.select(*ROW, (F.row_number().over(order) - 1).cast("long").alias("pos"))
     narrow = have.select(*ROW, F.lit("have").alias("op"), F.col("pos").alias("seq"), F.lit(0).alias("step"), F.lit(False).alias("late"))
     walks = ops.where("op <> 'edit'").select(*ROW, "op", "seq", F.coalesce("step", F.lit(0)).alias("step"), F.lit(True).alias("late"))
-    dealt = narrow.unionByName(walks).join(moved, "bibliography_id", "left_semi").repartition("bibliography_id")
-    ordered = dealt.sortWithinPartitions("bibliography_id", "late", "seq", "op").select(*ROW, "op", "step")
+    # A window, unlike repartition() and a sort, has each bibliography in one partition and in order however the join before it is run.
+    turn = F.row_number().over(Window.partitionBy("bibliography_id").orderBy("late", "seq", "op"))
+    ordered = narrow.unionByName(walks).join(moved, "bibliography_id", "left_semi").select(*ROW, "op", "step", turn.alias("turn"))
     return by_window.unionByName(ordered.mapInPandas(_walked, "bibliography_id long, id string, pos long"))
