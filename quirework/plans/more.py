@@ -172,7 +172,7 @@ def reset_override(spark, d):
 )
 def manual_additions(spark, d):
     """A form row is added unless it has the DOI of a stored citation."""
-    rows = cites(spark, d)
+    rows = durable(cites(spark, d))  # read five times
     doi = F.when(F.col("bibliography_id") % 2 == 0, F.col("DOI"))
     new = rows.where("pos = 0").withColumn("DOI", doi).withColumn("title", F.concat(F.lit("Zz "), "id")).withColumn("id", F.concat(F.lit("new-"), "id"))
     return S.add_manual(rows, new, "apa-7").groupBy("bibliography_id").agg(F.count(F.lit(1)).alias("entries"))
