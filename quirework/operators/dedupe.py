@@ -64,9 +64,21 @@ def held_keys(citations: DataFrame, *within: str) -> DataFrame:
 
 
 def first_duplicates(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """DUP-2: each incoming row that matches a stored one, with the position of the first that it matches."""
-    first = held_keys(existing, "bibliography_id").groupBy("bibliography_id", "key").agg(F.min("pos").alias("_first"))
-    found = held_keys(incoming, "bibliography_id").join(first, ["bibliography_id", "key"])
+    """DUP-2: each incoming row that matches a stored one, with the position of the first that it matches.
+
+    A window over each key's rows tells its first stored one: nothing is joined, so nothing is broadcast. Where both sides are
+    one table its keys are made once, and where that is dealt by bibliography already nothing is dealt anew.
+    """
+    held = held_keys(incoming, "bibliography_id").withColumn("_in", F.lit(True))
+    if incoming is existing:
+        held = held.withColumn("_at", F.col("pos"))
+    else:
+        stored = held_keys(existing, "bibliography_id").withColumn("_in", F.lit(False)).withColumn("_at", F.col("pos"))
+        held = held.withColumn("_at", F.lit(None).cast(stored.schema["pos"].dataType)).unionByName(stored)
+    of_key = Window.partitionBy("bibliography_id", "key")
+    first = F.min("_at").over(of_key)
+    some = F.lit(True) if incoming is existing else F.bool_or(~F.col("_in")).over(of_key)
+    found = held.where("bibliography_id IS NOT NULL").select("*", first.alias("_first"), some.alias("_some")).where("_in AND _some")
     return found.groupBy("bibliography_id", "pos").agg(F.min("_first").alias("duplicate_of"))
 
 

@@ -253,3 +253,11 @@ def test_documents(spark):
     assert DOC.html(heads, rows.where("1 = 0"), "apa-7").count() == 0
     items = rows.withColumn("index", F.col("pos"))
     assert [r["index"] for r in DOC.format_request(items, "ieee").orderBy("index").collect()] == [0, 1]
+
+
+def test_first_duplicates_of_odd_rows(spark):
+    """A null bibliography matches none; an incoming row without a place is told of the first stored one."""
+    have = citations(spark, [{"title": "Alpha", "year": 1990, "pos": k, "bibliography_id": b} for k, b in ((4, 1), (2, 1), (0, None))])
+    new = citations(spark, [{"title": "Alpha", "year": 1990, "pos": k, "bibliography_id": b} for k, b in ((7, 1), (None, 1), (5, None), (6, 2))])
+    assert {(r["bibliography_id"], r["pos"], r["duplicate_of"]) for r in D.first_duplicates(new, have).collect()} == {(1, 7, 2), (1, None, 2)}
+    assert {(r["bibliography_id"], r["pos"], r["duplicate_of"]) for r in D.first_duplicates(have, have).collect()} == {(1, 4, 2), (1, 2, 2)}

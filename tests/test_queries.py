@@ -71,3 +71,17 @@ def test_rows_are_dealt_once(spark, name, most):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plan.count("Exchange hashpartitioning") <= most
+
+
+def shuffles(spark, df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_first_duplicates_are_dealt_as_citations_are(spark):
+    """Keys of one table are made once, and their windows need no shuffle beside those of the citations."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert shuffles(spark, plans.QUERIES["dedupe_first"](spark, SF)) <= 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
