@@ -87,32 +87,33 @@ def partition_duplicates(citations: DataFrame) -> DataFrame:
 
     A row is a duplicate when it matches a kept row before it; rejected rows count for nothing, so the rule
     isn't transitive. In each round a row that is the first open one of all its keys is kept, and what shares a key with it
-    is rejected; a round costs joins on keys, never on pairs, so copies of one record cost no more than other
+    is rejected; a round costs windows over keys and over rows, never pairs, so copies of one record cost no more than other
     rows. There are as many rounds as the longest run of rows of which each waits for the one before. Rows that share
-    no key are kept without any. A null bibliography_id or pos keeps a row.
+    no key are kept without any, and only those that share one are written. A null bibliography_id or pos keeps a row.
     """
-    row, one = ["bibliography_id", "pos"], F.count(F.lit(1))
-    held = durable(held_keys(citations, "bibliography_id").where("bibliography_id IS NOT NULL AND pos IS NOT NULL").distinct())
-    shared = held.groupBy("bibliography_id", "key").agg(one.alias("_n")).where("_n > 1").drop("_n")
-    open_ = durable(held.join(shared, ["bibliography_id", "key"], "left_semi"))
-    discard(held)
+    row, key = ["bibliography_id", "pos"], ["bibliography_id", "key"]
+    of_key, of_row = Window.partitionBy(*key), Window.partitionBy(*row)
+    held = held_keys(citations, "bibliography_id").where("bibliography_id IS NOT NULL AND pos IS NOT NULL")
+    several = F.min("pos").over(of_key) < F.max("pos").over(of_key)
+    open_ = durable(held.select(*row, "key", several.alias("_several")).where("_several").drop("_several"))
     rejected = []
     while open_.take(1):
-        first = durable(open_.groupBy("bibliography_id", "key").agg(F.min("pos").alias("_first")))
-        leads = open_.join(first, ["bibliography_id", "key"]).groupBy(*row).agg(F.bool_and(F.col("pos") == F.col("_first")).alias("_kept"))
-        kept = durable(leads.where("_kept").drop("_kept"))
-        claimed = first.join(kept.withColumnRenamed("pos", "_first"), ["bibliography_id", "_first"], "left_semi").drop("_first")
-        hit = open_.join(claimed, ["bibliography_id", "key"], "left_semi").select(*row).distinct()
-        gone = durable(hit.join(kept, row, "left_anti"))
-        rest = durable(open_.join(kept, row, "left_anti").join(gone, row, "left_anti"))
-        discard(open_, first, kept)
+        told = open_.withColumn("_leads", F.col("pos") == F.min("pos").over(of_key))
+        told = told.withColumn("_kept", F.bool_and("_leads").over(of_row))
+        # A kept row is the first of each of its keys, so a key that holds one is claimed by it.
+        told = told.withColumn("_claimed", F.bool_or("_kept").over(of_key))
+        told = durable(told.withColumn("_hit", F.bool_or("_claimed").over(of_row)).select(*row, "key", "_kept", "_hit"))
+        gone = durable(told.where("_hit AND NOT _kept").select(*row).distinct())
+        rest = durable(told.where("NOT _hit").select(*row, "key"))
+        discard(open_, told)
         rejected.append(gone)
         open_ = rest
     discard(open_)
     if not rejected:
         return citations.withColumn("duplicate", F.lit(False))
     marked = reduce(DataFrame.unionByName, rejected).withColumn("duplicate", F.lit(True))
-    return citations.join(marked, row, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+    # What is rejected grows with the data, and its files are far smaller than its rows: it is never broadcast.
+    return citations.join(marked.hint("merge"), row, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
 
 def repeats_of_key(citations: DataFrame, key: list[Column]) -> DataFrame:

@@ -255,6 +255,14 @@ def test_documents(spark):
     assert [r["index"] for r in DOC.format_request(items, "ieee").orderBy("index").collect()] == [0, 1]
 
 
+def test_rejected_rows_are_not_broadcast(spark):
+    """Their files are far smaller than their rows, so sizes of files must not decide on it."""
+    rows = citations(spark, [{"title": "Alpha", "year": 1990 + k % 2, "pos": k} for k in range(6)])
+    marked = D.partition_duplicates(rows)
+    assert "BroadcastExchange" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert {r["pos"]: r["duplicate"] for r in marked.collect()} == {k: k > 1 for k in range(6)}
+
+
 def test_first_duplicates_of_odd_rows(spark):
     """A null bibliography matches none; an incoming row without a place is told of the first stored one."""
     have = citations(spark, [{"title": "Alpha", "year": 1990, "pos": k, "bibliography_id": b} for k, b in ((4, 1), (2, 1), (0, None))])
