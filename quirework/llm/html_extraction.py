@@ -1,11 +1,13 @@
 """Operator 11: main text of pages, by marks of the article and by differencing each page with those of nearest URL.
 
 Pages of a host are put in the order of their URL paths, so that a page's neighbours are those which share most of its
-path. Each page is paired with the one before and the one after; the blocks of a pair are aligned by a longest common
-subsequence, and shared blocks are deleted. An exact check follows: what stands in an element that marks the article (``article``,
-``main``, or else a class or id that says so) is the page's own, also where a copy of it is near, and is kept; what stands in
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments is dropped, shared or not. So the pairs decide on the pages
-which mark no article. A pair that shares ``COPY`` of the shorter page's text is one of copies, and deletes nothing.
+path. Each page is paired with the one before and the one after; all blocks of a pair are aligned by a longest common
+subsequence, and shared blocks are deleted. Every page goes this way. An exact check of what is left and what was deleted follows: what
+stands in an element that marks the article (``article``, ``main``, or else a class or id that says so) is the page's own, also where a
+copy of it is near, and is restored; what stands in menus, headers, footers, sidebars, notices, adverts, forms and reader comments is
+dropped, and so is all outside the article of a page that marks one. On pages which mark no article the pairs alone decide on what no
+frame holds. A pair that shares ``COPY`` of the shorter page's text, frames not counted, is one of copies, and deletes nothing; nor does a
+block that stands in the other page's marked article.
 
 Defined results: null and empty html give an empty text; a page whose url is null or has no host has no pair; rows that repeat
 are read alike, once in the pairing; a page alone on its host keeps all that no mark drops; an empty table gives an empty
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.common import durable, in_small_batches
-from quirework.llm.html_blocks import MAIN, OPEN, blocks_of
+from quirework.llm.html_blocks import FRAME, MAIN, OPEN, blocks_of
 from quirework.llm.ranks import ranked
 
 #: Share of the shorter page's text that makes two pages copies.
@@ -105,40 +107,29 @@ def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
     return found + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
 
 
-def shared_blocks(one: list[int], other: list[int], sizes: list[int], other_sizes: list[int]) -> tuple[list[int], list[int]]:
+def shared_blocks(one: list[int], other: list[int], sizes: list[int], other_sizes: list[int]) -> list[tuple[int, int]]:
     """Places of the blocks that two pages share, in each; none where the pages are copies."""
     pairs = common_subsequence(one, other)
-    if sum(sizes[i] for i, _ in pairs) >= COPY * min(sum(sizes), sum(other_sizes)):
-        return [], []
-    return [i for i, _ in pairs], [j for _, j in pairs]
+    return [] if sum(sizes[i] for i, _ in pairs) >= COPY * min(sum(sizes), sum(other_sizes)) else pairs
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, key, marked, lines, sizes, texts): digests and sizes of each page's blocks that no frame holds.
-
-    texts: the blocks themselves, of pages that mark no article; null of others.
-    """
+    """(page_id, url, key, lines, sizes, main): of all blocks of each page the digests, the sizes (none of a frame's), and whether the article holds them."""
 
     def scan(batches):
         for batch in batches:
-            lines, sizes, texts, marked = [], [], [], []
+            lines, sizes, main = [], [], []
             for page in batch.column("html").to_pylist():
                 blocks = blocks_of(page)
-                own = any(part == MAIN for _, part in blocks)
-                held = [text for text, part in blocks if part == OPEN]
-                marked.append(own)
-                lines.append([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63 for text in held])
-                sizes.append([len(text) for text in held])
-                texts.append(None if own else held)
-            columns = [pa.array(marked, pa.bool_()), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))]
-            columns.append(pa.array(texts, pa.list_(pa.string())))
+                lines.append([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63 for text, _ in blocks])
+                sizes.append([0 if part == FRAME else len(text) for text, part in blocks])
+                main.append([part == MAIN for _, part in blocks])
+            columns = [pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(main, pa.list_(pa.bool_()))]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("page_id", "url", "key")], *columns],
-                names=["page_id", "url", "key", "marked", "lines", "sizes", "texts"],
+                [*[batch.column(c) for c in ("page_id", "url", "key")], *columns], names=["page_id", "url", "key", "lines", "sizes", "main"]
             )
 
-    schema = "page_id long, url string, key long, marked boolean, lines array<long>, sizes array<long>, texts array<string>"
-    return _fields(pages).mapInArrow(scan, schema)
+    return _fields(pages).mapInArrow(scan, "page_id long, url string, key long, lines array<long>, sizes array<int>, main array<boolean>")
 
 
 def _fields(pages: DataFrame) -> DataFrame:
@@ -146,26 +137,35 @@ def _fields(pages: DataFrame) -> DataFrame:
     return in_small_batches(pages).select(*fields, F.xxhash64("page_id", "url", "html").alias("key"))
 
 
-def marked_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of the pages that mark an article."""
+def checked_blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, url, key, marked, texts, places): the blocks that the check may let pass, with their places among all blocks of the page.
+
+    Of a page that marks its article those in it, of another those that no frame holds.
+    """
 
     def scan(batches):
         for batch in batches:
-            texts = []
+            marked, texts, places = [], [], []
             for page in batch.column("html").to_pylist():
-                own = [text for text, part in blocks_of(page) if part == MAIN]
-                texts.append("\n".join(own) if own else None)
-            told = pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-            yield told.filter(told.column("text").is_valid())
+                blocks = blocks_of(page)
+                own = any(part == MAIN for _, part in blocks)
+                passed = [k for k, (_, part) in enumerate(blocks) if part == (MAIN if own else OPEN)]
+                marked.append(own)
+                texts.append([blocks[k][0] for k in passed])
+                places.append(passed)
+            columns = [pa.array(marked, pa.bool_()), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("page_id", "url", "key")], *columns], names=["page_id", "url", "key", "marked", "texts", "places"]
+            )
 
-    return _fields(pages).mapInArrow(scan, "page_id long, url string, text string")
+    return _fields(pages).mapInArrow(scan, "page_id long, url string, key long, marked boolean, texts array<string>, places array<int>")
 
 
 def differences(read: DataFrame) -> DataFrame:
-    """(page_id, key, own) of the pages that mark no article: for each block whether no page of nearest URL shares it."""
+    """(page_id, key, own) of each page that has a host: for each block whether no page of nearest URL shares it."""
     host, path = F.lower(F.regexp_extract("url", HOST, 1)), F.regexp_extract("url", PATH, 1)
     lone = read.withColumn("host", host).where("host <> ''").withColumn("path", path)
-    lone = lone.groupBy("host", "path", "page_id", "key").agg(*[F.first(c).alias(c) for c in ("marked", "lines", "sizes")])
+    lone = lone.groupBy("host", "path", "page_id", "key").agg(*[F.first(c).alias(c) for c in ("lines", "sizes", "main")])
     placed = ranked(durable(lone), "host", "path", "page_id", "key")
     group = F.expr(f"rank div {TOGETHER}")
     # The first page of a group is also the group's before, and its last the group's after.
@@ -175,30 +175,34 @@ def differences(read: DataFrame) -> DataFrame:
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank").reset_index(drop=True)
         pages = list(rows.itertuples())
-        own = [[True] * len(p.lines) for p in pages]
+        lines, sizes, main = [[getattr(p, k).tolist() for p in pages] for k in ("lines", "sizes", "main")]
+        own = [[True] * len(held) for held in lines]
         for k, (one, other) in enumerate(zip(pages, pages[1:], strict=False)):
-            if one.host != other.host or other.rank != one.rank + 1 or one.marked and other.marked:
+            if one.host != other.host or other.rank != one.rank + 1:
                 continue
-            for page, places in zip((k, k + 1), shared_blocks(list(one.lines), list(other.lines), list(one.sizes), list(other.sizes)), strict=True):
-                for at in places:
-                    own[page][at] = False
+            for i, j in shared_blocks(lines[k], lines[k + 1], sizes[k], sizes[k + 1]):
+                own[k][i] &= main[k + 1][j]
+                own[k + 1][j] &= main[k][i]
         rows = rows.assign(own=own)
         # What a group's neighbours say of its ends is said in the group's own rows: each has the pages on both sides.
-        rows = rows[(rows["home"] == rows["together"]) & ~rows["marked"]]
+        rows = rows[rows["home"] == rows["together"]]
         return pd.DataFrame({"no_id": rows["no_id"], "page_id": rows["page_id"], "key": rows["key"], "own": rows["own"]})
 
-    given = dealt.select("together", "home", "rank", "host", "marked", "lines", "sizes", "key", F.col("page_id").isNull().alias("no_id"), F.coalesce("page_id", F.lit(0).cast("long")).alias("page_id"))
+    given = dealt.select("together", "home", "rank", "host", "lines", "sizes", "main", "key", F.col("page_id").isNull().alias("no_id"), F.coalesce("page_id", F.lit(0).cast("long")).alias("page_id"))
     told = given.groupBy("together").applyInPandas(compare, "no_id boolean, page_id long, key long, own array<boolean>")
     return told.select(F.when(~F.col("no_id"), F.col("page_id")).alias("page_id"), "key", "own")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, marked (whether the page marks its article)."""
-    read = durable(read_pages(pages))
-    told = durable(differences(read)).withColumnsRenamed({"page_id": "_id", "key": "_key"})
-    plain = read.where("not marked")
-    plain = plain.join(told, plain["page_id"].eqNullSafe(told["_id"]) & (plain["key"] == told["_key"]), "left")
-    kept = F.filter("texts", lambda text, at: F.coalesce(F.element_at("own", at + 1), F.lit(True)))
-    unmarked = plain.select("page_id", "url", F.array_join(kept, "\n").alias("text"), F.lit(False).alias("marked"))
-    out = marked_texts(pages).withColumn("marked", F.lit(True)).unionByName(unmarked)
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "marked")
+    """One row per page: page_id, url, text, n_chars, marked (whether the page marks its article), n_shared (blocks that its neighbours share).
+
+    Every page is differenced; the check then restores what the page marks as its article.
+    """
+    told = durable(differences(durable(read_pages(pages)))).withColumnsRenamed({"page_id": "_id", "key": "_key"})
+    rows = checked_blocks(pages)
+    # Neither side is small enough to be broadcast.
+    rows = rows.join(told.hint("merge"), rows["page_id"].eqNullSafe(told["_id"]) & (rows["key"] == told["_key"]), "left")
+    kept = F.filter("texts", lambda _, k: F.coalesce(F.get("own", F.get("places", k)), F.lit(True)) | F.col("marked"))
+    shared = F.when(F.col("own").isNull(), 0).otherwise(F.size(F.filter("own", lambda own: ~own))).cast("long")
+    out = rows.select("page_id", "url", F.array_join(kept, "\n").alias("text"), "marked", shared.alias("n_shared"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "marked", "n_shared")

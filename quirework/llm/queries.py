@@ -66,7 +66,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def op11_html_extraction(spark, sf_dir):
-    return html_extraction.extract_text(table(spark, sf_dir, "pages"))
+    return html_extraction.extract_text(table(spark, sf_dir, "pages")).drop("n_shared")
 
 
 def op12_merkle_manifest(spark, sf_dir):

@@ -165,6 +165,20 @@ def test_differences_of_unmarked_pages(spark):
     assert "the same article" in got[41]
 
 
+def test_marked_pages_are_differenced_too(spark):
+    """Marked pages share their menus, and the check restores a line of an article that a neighbour's article shares."""
+    menu = "<nav>Home</nav><div>The daily paper of the town</div>"
+    page = lambda k, tag: f"{menu}<{tag}><p>{f'own words of {k}. ' * 9}</p><p>Both say this.</p></{tag}>"
+    rows = [(k, f"http://h.example/{k}", page(k, tag)) for k, tag in enumerate(["article", "article", "div", "article"])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_extraction.extract_text(df).collect()}
+    own = {k: f"own words of {k}. " * 9 for k in range(4)}
+    assert {k: r["text"] for k, r in got.items()} == {k: own[k].strip() + "\nBoth say this." for k in range(4)}
+    assert {k: r["marked"] for k, r in got.items()} == {0: True, 1: True, 2: False, 3: True}
+    # Pages 1 and 3 share the line with an unmarked page, so it is deleted there, and restored; articles delete none of each other's.
+    assert {k: r["n_shared"] for k, r in got.items()} == {0: 2, 1: 3, 2: 2, 3: 3}
+
+
 def test_odd_pages(spark):
     rows = [
         (None, None, None), (1, None, ""), (2, "no address", "<p>alone</p>"), (2, "no address", "<p>alone</p>"), (3, "http://h.example/a", None),
