@@ -90,7 +90,8 @@ def import_paste(
     rows = normalised(items_as_citations(found, doi_metadata, pmid_metadata)).withColumnRenamed("paste_id", "bibliography_id")
     rows = durable(rows.withColumn("DOI", blank_to_null(doi_input(F.col("DOI")))))
     stored = first_duplicates(rows, existing).select("bibliography_id", "pos", F.lit(True).alias("_stored"))
-    rows = rows.join(stored, ["bibliography_id", "pos"], "left")
+    # Lists that grow with the pastes are never broadcast: their files are far smaller than their rows.
+    rows = rows.join(stored.hint("merge"), ["bibliography_id", "pos"], "left")
     fresh = partition_duplicates(rows.where("_stored IS NULL").drop("_stored"))
     new = fresh.where("not duplicate").drop("duplicate")
     digest = F.sha2(F.to_json(F.struct("bibliography_id", "pos", "title", "DOI", "author")), 256)
@@ -100,7 +101,7 @@ def import_paste(
         "bibliography_id", "pos", F.when(F.col("duplicate"), "duplicate").otherwise("added").alias("outcome"), "parse_warnings"
     )
     read = rows.select("bibliography_id", "pos")
-    failed = found.where("not overflow").withColumnRenamed("paste_id", "bibliography_id").join(read, ["bibliography_id", "pos"], "left_anti")
+    failed = found.where("not overflow").withColumnRenamed("paste_id", "bibliography_id").join(read.hint("merge"), ["bibliography_id", "pos"], "left_anti")
     errors = failed.select("bibliography_id", "pos", F.lit("error").alias("outcome"), F.expr("cast(array() as array<string>)").alias("parse_warnings"))
     missing = [F.lit(None).cast(t).alias(k) for k, t in CITATION_COLUMNS.items() if k not in new.columns]
     after = resorted(formatted_in(append(existing, new.select("*", *missing)), style), style)

@@ -125,3 +125,13 @@ def test_stream(spark, tmp_path):
     write_items(first_dois(stream_items(stream)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r["paste_id"], r["format"]) for r in got) == [(1, "doi"), (1, "freetext"), (2, "doi")]
+
+
+def test_imported_rows_are_not_broadcast(spark):
+    """What is stored, read or a duplicate grows with the pastes: none of it goes through the driver."""
+    existing = citations(spark, [{"id": "old", "title": "Zed", "author": [person("Zim", "A")], "year": 1990}])
+    none = spark.createDataFrame([], "key string, csl_json string")
+    pastes = spark.createDataFrame([(1, "Jane Doe, Light (Press, 2001).\n\nJane Doe, Light (Press, 2001).\n\nnothing to read")], "paste_id long, text string")
+    _, outcomes = api.import_paste(existing, pastes, "apa-7", none, none)
+    assert "BroadcastExchange" not in outcomes._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["outcome"] for r in outcomes.collect()) == ["added", "duplicate", "error"]
