@@ -85,3 +85,9 @@ def test_first_duplicates_are_dealt_as_citations_are(spark):
         assert shuffles(spark, plans.QUERIES["dedupe_first"](spark, SF)) <= 6
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_records_are_indented_after_they_are_collected(spark):
+    """What the aggregation holds, and spills, are short records: no text is indented below it or in what it collects."""
+    plan = plans.QUERIES["export_csl_json_pretty"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and "regexp_extract_all" not in plan
