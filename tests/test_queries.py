@@ -91,3 +91,18 @@ def test_records_are_indented_after_they_are_collected(spark):
     """What the aggregation holds, and spills, are short records: no text is indented below it or in what it collects."""
     plan = plans.QUERIES["export_csl_json_pretty"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" in plan and "regexp_extract_all" not in plan
+
+
+def test_cite_apart_beyond_702_alike(spark, duck, tmp_path):
+    """Six thousand works of one editor and year in one bibliography: the letters are those of the SQL."""
+    where = {t: f"{tmp_path}/{t}.parquet" for t in ("lineitem", "orders", "part", "supplier")}
+    keys = "REPLACE (l_orderkey * 50 AS l_orderkey, 22 AS l_partkey)", "REPLACE (o_orderkey * 50 AS o_orderkey, DATE '1995-03-01' AS o_orderdate)"
+    for t, some in zip(where, (*keys, "", ""), strict=True):
+        duck.execute(f"COPY (SELECT * {some} FROM '{SF}/{t}.parquet') TO '{where[t]}'")
+    con = duckdb.connect()
+    for t, path in where.items():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
+    told = con.execute(f"SELECT bibliography_id, pos, year_suffix, label, text FROM ({plans.ORACLES['cite_apart']})").fetchall()
+    assert len(told) == len(set(told)) > 5000 and {len(r[2]) for r in told} == {1, 2}
+    rows = plans.QUERIES["cite_apart"](spark, str(tmp_path)).select("bibliography_id", "pos", "year_suffix", "label", "text")
+    assert {tuple(r) for r in rows.collect()} == set(told)
