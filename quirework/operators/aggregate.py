@@ -47,11 +47,12 @@ def first_per_group(items: DataFrame, by: str, order: str, most: int = PASTE_CAP
     return items.withColumn("overflow", F.row_number().over(window) > most)
 
 
-def collected(rows: DataFrame, by: str, order: str, value: Column, separator: str, end: str = "", each=None) -> DataFrame:
-    """AGG-5: one text per group, its rows' values in order; each: what is made of a value after it is collected."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
-    text = F.array_join(F.transform(pairs, lambda p: each(p["v"]) if each else p["v"]), separator)
-    return rows.groupBy(by).agg(F.concat(text, F.lit(end)).alias("content"))
+def collected(rows: DataFrame, by: str, order: str, value: Column, separator: str, end: str = "") -> DataFrame:
+    """AGG-5: one text per group, its rows' values in order."""
+    # Values are made below the aggregation: Spark compiles no expression inside collect_list().
+    made = rows.select(by, F.struct(F.col(order).alias("o"), value.alias("v")).alias("pair"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("pair")), lambda p: p["v"]), separator)
+    return made.groupBy(by).agg(F.concat(text, F.lit(end)).alias("content"))
 
 
 def content_checks(bibliographies: DataFrame, citations: DataFrame) -> DataFrame:

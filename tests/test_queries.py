@@ -106,3 +106,9 @@ def test_cite_apart_beyond_702_alike(spark, duck, tmp_path):
     assert len(told) == len(set(told)) > 5000 and {len(r[2]) for r in told} == {1, 2}
     rows = plans.QUERIES["cite_apart"](spark, str(tmp_path)).select("bibliography_id", "pos", "year_suffix", "label", "text")
     assert {tuple(r) for r in rows.collect()} == set(told)
+
+
+def test_no_record_is_parted_into_tokens_to_be_indented(spark):
+    """Lines are marked where a record is written, so its text is not read again sign by sign."""
+    plan = plans.QUERIES["export_csl_json_pretty"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "regexp_extract_all" not in plan

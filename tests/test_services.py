@@ -13,7 +13,7 @@ from quirework.functions.validate import errors
 from quirework import plans
 from quirework.operators import documents
 from quirework.operators.aggregate import first_bad
-from quirework.operators.documents import pretty_csl_json
+from quirework.operators.documents import csl_json_file, pretty_csl_json
 from quirework.operators.incremental import STORE, rendered
 from quirework.operators.log import LOG, Chain, replay
 from quirework.operators.requests import guarded
@@ -193,3 +193,18 @@ def test_first_bad_row(spark):
         1: (3, 2, 1, "field_too_large"), 2: (1, 0, None, None), 3: (2, 2, 3, "author_invalid"), 4: (1, 1, 0, "field_too_large"),
         5: (1, 1, 0, "issued_invalid"), 6: (1, 0, None, None), 7: (1, 1, 0, "field_too_large"),
     }
+
+
+def test_pretty_file_of_odd_records(spark):
+    """Signs that JSON escapes, what is empty, and nulls in lists: the file is that of a plain writer over the short file."""
+    odd = 'a"b\\c\x01\x02\n\x7f{}[],:é漢😀'
+    rows = [
+        {"title": odd, "ISBN": [odd, None, ""], "author": [person(odd), person()], "issued": ([[2001, 2], [], None, [None]], odd, None)},
+        {"title": "", "ISBN": ["1"], "issued": ([], None, ""), "accessed": (None, None, None)},
+        {"type": None, "id": None, "title": None},
+    ]
+    table = citations(spark, rows)
+    for style in (None, "apa-7"):
+        short = json.loads(csl_json_file(table, style).first()["content"])
+        assert len(short) == 3 and {} in short
+        assert pretty_csl_json(table, style).first()["content"] == json.dumps(short, indent=2, ensure_ascii=False) + "\n"
