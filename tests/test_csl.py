@@ -164,6 +164,12 @@ def test_letters_stand_after_the_year(spark):
     assert disambiguated(frame(spark, works).limit(0)).count() == 0
 
 
+def test_records_told_apart_are_dealt_once(spark):
+    df = frame(spark, random_records(60, "dealt")).repartition(3)
+    plan = disambiguated(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_unknown_elements_are_refused():
     for body in ('<blink variable="title"/>', '<text macro="nothing"/>', '<choose><if moon="full"><text value="x"/></if></choose>', '<text variable="title" text-case="wavy"/>'):
         style = Style(MADE.format(opts="", bib="", body=body))
